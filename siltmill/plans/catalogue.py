@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import corpus_queries, graph_queries, parse_queries, search_queries  # noqa: F401
+from .tables import ORACLE_SQL, QUERIES  # noqa: F401
