@@ -163,7 +163,7 @@ def test_streaming_windows_drop_late_rows(spark, tmp_path):
     t = lambda m: datetime.datetime(2024, 1, 1, 0, 0) + datetime.timedelta(minutes=m)
     schema = "ts timestamp, event_type string, user_id long"
     src = tmp_path / "in"
-    for i, rows in enumerate([[(t(1), "error", 1), (t(50), "view", 1)], [(t(200), "view", 2)], [(t(2), "view", 1), (t(201), "error", 2)], [(t(500), "view", 2)]]):
+    for i, rows in enumerate([[(t(1), "error", 1), (t(50), "view", 1)], [(t(200), "view", 2)], [(t(210), "view", 2)], [(t(2), "view", 1), (t(201), "error", 2)], [(t(500), "view", 2)]]):
         frame(spark, rows, schema).coalesce(1).write.mode("append").parquet(str(src / f"b{i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
     q = S.windowed_counts(stream).writeStream.outputMode("append").format("memory").queryName("wins").trigger(availableNow=True).start()
