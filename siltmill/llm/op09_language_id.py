@@ -131,8 +131,10 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     return docs.withColumn("_siltmill_lid", predict("text")).withColumns({"lang_pred": F.col("_siltmill_lid.lang"), "score": F.col("_siltmill_lid.score")}).drop("_siltmill_lid")
 
 
-def accepted(docs: DataFrame, profiles: Profiles, least: float = 0.25) -> DataFrame:
-    """Rows of docs, all columns, that have a language: not `und`, and a cosine of at least `least` with a prototype."""
+def accepted(docs: DataFrame, profiles: Profiles, least: float = 0.05) -> DataFrame:
+    """Rows of docs, all columns, that have a language: not `und`, and a cosine of at least `least` with a prototype.
+
+    The bound is low on purpose: a clean text of one or two words has few n-grams and reaches 0.1 only."""
     name = "_siltmill_language"
     named = identify(docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)), profiles)
     return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(f"{name}.*")
