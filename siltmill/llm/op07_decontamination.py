@@ -43,7 +43,9 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     texts that are just those words. Null texts contain nothing. Case, punctuation and spacing don't count. Repeated
     item rows are one. Empty tables give no rows. Other columns are ignored, whatever their names.
     """
-    it = items.select("item_id", F.array_distinct(shingles(words(F.col("text")), n)).alias("item_shingles"), F.array_sort(F.array_distinct(_hashes(F.transform(words(F.col("text")), lambda x: F.xxhash64(x)), n))).alias("h"))
+    # Words are columns of their own: inside a lambda the whole expression would be computed for each shingle.
+    it = items.select("item_id", words(F.col("text")).alias("w")).withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
+    it = it.select("item_id", F.array_distinct(shingles(F.col("w"), n)).alias("item_shingles"), F.array_sort(F.array_distinct(_hashes(F.col("hw"), n))).alias("h"))
     it = it.where(F.size("item_shingles") > 0).dropDuplicates(["item_id", "item_shingles"]).withColumn("m", F.size("item_shingles"))
     least = F.ceil(F.lit(threshold) * F.col("m") - 1e-9)
     sketch = it.select("item_id", F.floor(F.log2("m")).cast("int").alias("part"), F.explode(F.slice("h", 1, (F.col("m") - least + 1).cast("int"))).alias("hash"))
@@ -59,8 +61,9 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     pairs = probes.join(hint(sketch.select("item_id", "hash")), "hash").select("digest", "item_id").distinct()
 
     texts = docs.select(digest().alias("digest"), F.col("text").alias("_text"))
-    both = texts.join(pairs, "digest").join(hint(it.select("item_id", "item_shingles", "m")), "item_id")
-    shared = F.size(F.array_intersect("item_shingles", shingles(words(F.col("_text")), n)))
+    both = texts.join(pairs, "digest").withColumn("w", words(F.col("_text"))).select("digest", "item_id", shingles(F.col("w"), n).alias("doc_shingles"))
+    both = both.join(hint(it.select("item_id", "item_shingles", "m")), "item_id")
+    shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
     found = both.select("digest", "item_id", shared.alias("n_shared"), F.col("m").alias("n_shingles"))
     found = found.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)).distinct()
     return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
