@@ -41,8 +41,8 @@ ENDINGS = {
 }
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _WORD = r"[^\W\d_a-zß-öø-ÿа-яά-ώ][^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)"
-_NAME = re.compile(rf"\b({_TITLE})\b(\.?[ \u00a0])({_WORD}(?:[ \u00a0]{_WORD}){{0,3}})")
-_HINT = re.compile(r"[0-9@]|" + "|".join(rf"\b{t}\b" for t in sorted(x for xs in TITLES.values() for x in xs))).search
+_NAME = re.compile(rf"({_TITLE})\b(\.?[ \u00a0])({_WORD}(?:[ \u00a0]{_WORD}){{0,3}})").match
+_NUMERIC = re.compile(r"[0-9@]").search
 _SECRET_WORD = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)"
 _PATTERNS = [
     ("secret", re.compile(rf"(?i:\b{_SECRET_WORD})[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_\-]{{8,}})")),
@@ -77,9 +77,11 @@ def normal(kind: str, raw: str) -> str:
 def detect(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind), sorted and apart. Kinds: secret, email, iban, ip, ssn, phone, card, and the parts of names:
     given-m, given-f, given-n, surname. A name that a title announces is found in the rest of its text, too."""
-    if not _HINT(text):
-        return []
     out: list[tuple[int, int, str]] = []
+    titles = [t for ts in TITLES.values() for t in ts if t in text]
+    numeric = _NUMERIC(text)
+    if not numeric and not titles:
+        return out
     taken = bytearray(len(text))
 
     def add(a: int, z: int, kind: str) -> None:
@@ -87,18 +89,23 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             taken[a:z] = b"\1" * (z - a)
             out.append((a, z, kind))
 
-    lines, at = text.split("\n"), 0
-    for line in lines:
-        if any(c in line for c in "0123456789@"):
+    at = text.rfind("\n", 0, numeric.start()) + 1 if numeric else len(text)
+    for line in text[at:].split("\n"):  # a search by character class, then patterns on the few lines that it finds
+        if _NUMERIC(line):
             for kind, pattern in _PATTERNS:
-                for m in pattern.finditer(line):
-                    add(at + m.start(1), at + m.end(1), kind)
+                if kind != "email" or "@" in line:
+                    for m in pattern.finditer(line):
+                        add(at + m.start(1), at + m.end(1), kind)
         at += len(line) + 1
     known: dict[str, str] = {}
-    for m in _NAME.finditer(text):
-        parts = list(re.finditer(_WORD, m[3]))
-        for i, w in enumerate(parts):
-            known.setdefault(w[0], "surname" if i == len(parts) - 1 else f"given-{gender_of(m[1])}")
+    for title in titles:
+        at = text.find(title)
+        while at >= 0:
+            if (at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")) and (m := _NAME(text, at)):
+                parts = list(re.finditer(_WORD, m[3]))
+                for i, w in enumerate(parts):
+                    known.setdefault(w[0], "surname" if i == len(parts) - 1 else f"given-{gender_of(m[1])}")
+            at = text.find(title, at + 1)
     if known:
         for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")\b", text):
             add(m.start(), m.end(), known[m[0]])
