@@ -54,7 +54,7 @@ def slots(scored: DataFrame, passed: DataFrame, key: str, cfg: RetrieverConfig)
     order = Window.partitionBy("query_id").orderBy(F.col("_slot.variant_id").asc_nulls_last(), F.col("_slot._r").asc_nulls_last(), F.col("final").desc(), key)
     cut = all_.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.greatest(F.lit(cfg.top_k), cfg.per_query * F.col("_nv")))
     again = Window.partitionBy("query_id").orderBy(F.col("final").desc(), key)
-    return cut.withColumn("position", F.row_number().over(again)).select("query_id", key, "final", "position")
+    return cut.withColumn("position", F.row_number().over(again).cast("long")).select("query_id", key, "final", "position")
 
 
 def carry_neighbours(kept: DataFrame, neighbours: DataFrame, key: str, cfg: RetrieverConfig) -> DataFrame:
@@ -68,7 +68,7 @@ def carry_neighbours(kept: DataFrame, neighbours: DataFrame, key: str, cfg: Retr
         new.select("query_id", F.col("dst").alias(key), F.round(F.col("_f") - 1e-3, 6).alias("final"), F.lit("graph").alias("origin"), F.col("_p").alias("position"), "_r")
     )
     order = Window.partitionBy("query_id").orderBy("position", "_r")
-    return rows.withColumn("position", F.row_number().over(order)).drop("_r")
+    return rows.withColumn("position", F.row_number().over(order).cast("long")).drop("_r")
 
 
 def append_faq(kept: DataFrame, faq: DataFrame, key: str, cfg: RetrieverConfig) -> DataFrame:

@@ -22,7 +22,7 @@ def small(df: DataFrame, rows: int | None) -> DataFrame:
 def top_k(df: DataFrame, keys: list[str], score: str, ties: list[str], k: int, rank: str = "rank") -> DataFrame:
     """The k best rows of each key by score, then ties ascending; `rank` from 1. Cut before the shuffle, too."""
     w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), *ties)
-    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -37,7 +37,7 @@ def bm25_okapi(spark, sf):
     return R.top_k(_lexical(spark, sf, "okapi"), ["query_id"], "score", ["doc_id"], 10)
 
 
-@query(f"select term, count(*) as df, sum(tf) as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({tok('text')}) as term from documents) group by all) group by 1")
+@query(f"select term, count(*) as df, cast(sum(tf) as bigint) as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({tok('text')}) as term from documents) group by all) group by 1")
 def df_table(spark, sf):
     p = R.postings(table(spark, sf, "documents"))
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -184,7 +184,8 @@ def _matrix(spark, sf):
     seeds = A.fuse_variants(_variant_hits(spark, sf), CFG, "doc_id").select("query_id", "doc_id")
     pairs = seeds.join(variants(spark, sf), "query_id").join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("doc_text")), "doc_id")
     a, b = F.array_distinct(T.tokens(F.col("text"))), F.array_distinct(T.tokens(F.col("doc_text")))
-    return pairs.select("query_id", "variant_id", "doc_id", F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)), 6).alias("score"))
+    # Seeds x variants rows of ids and scores; the stages after it read it several times.
+    return pairs.select("query_id", "variant_id", "doc_id", F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)), 6).alias("score")).persist()
 
 
 def neighbours(spark, sf):
