@@ -1,0 +1,61 @@
+"""Cases in which an operator or stage once did less than its whole job."""
+
+import random
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from siltmill.llm import near_duplicates
+
+MIDDLE = "/root/testdata/sf0.01"
+SCHEMA = "doc_id long, text string, n_chars long"
+
+
+def docs(spark, *texts):
+    return spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+
+
+def brute_keep_one(rows):
+    """doc_ids that stay, by Python's sets of five-word tuples and all pairs."""
+    texts = {}
+    for i, t in sorted(rows):
+        texts.setdefault(t, i)
+    words = {t: (t or "").encode().lower().split() for t in texts}
+    sets = {t: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for t, w in words.items()}
+    up = {t: t for t in texts}
+
+    def root(t):
+        while up[t] != t:
+            t = up[t]
+        return t
+
+    for a, b in combinations(texts, 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+            up[root(a)] = root(b)
+    least = {}
+    for t, i in texts.items():
+        least[root(t)] = min(i, least.get(root(t), i))
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("block_texts,sample", [(1024, 32_768), (7, 40)])
+def test_pipeline_near_duplicates_by_five_words(spark, block_texts, sample):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(90)]
+    edited = [" ".join(w if r.random() > k % 5 / 90 else word() for w in base) for k in range(40)]
+    shared = [" ".join([*base[:60], *(word() for _ in range(40))]) for _ in range(10)]
+    rows = docs(spark, *edited, *shared, edited[0].upper(), None, "", " \n", "one two", "One  two", "one two three")
+    expected = brute_keep_one([(x.doc_id, x.text) for x in rows.collect()])
+    got = near_duplicates.keep_one(rows, block_texts=block_texts, sample=sample)
+    assert got.columns == rows.columns and sorted(x.doc_id for x in got.collect()) == expected
+
+
+def test_pipeline_near_duplicates_on_documents(spark):
+    import corpus_pipeline as P
+
+    d = spark.read.parquet(f"{MIDDLE}/documents.parquet")
+    expected = brute_keep_one([tuple(x) for x in d.select("doc_id", "text").collect()])
+    assert sorted(x.doc_id for x in P.near_duplicate_stage(spark, d, MIDDLE).select("doc_id").collect()) == expected
