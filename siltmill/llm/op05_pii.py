@@ -42,11 +42,15 @@ ENDINGS = {
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _WORD = r"[^\W\d_a-zß-öø-ÿа-яά-ώ][^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)"
 _NAME = re.compile(rf"({_TITLE})\b(\.?[ \u00a0])({_WORD}(?:[ \u00a0]{_WORD}){{0,3}})").match
-_NUMERIC = re.compile(r"[0-9@]").search
+_NUMERIC = re.compile(r"[\d@]").search
 _SECRET_WORD = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)"
-_PATTERNS = [
+_KEY_STARTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
+_SECRETS = [
     ("secret", re.compile(rf"(?i:\b{_SECRET_WORD})[\"']?\s*[:=]\s*[\"']?([A-Za-z0-9+/_\-]{{8,}})")),
     ("secret", re.compile(r"\b(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,})\b")),
+]
+#: Each needs a digit or an @, and none spans two lines.
+_PATTERNS = [
     ("email", re.compile(r"([\w.%+\-]+@[^\W_][\w\-]*(?:\.[\w\-]+)*\.[^\W\d_]{2,})")),
     ("iban", re.compile(r"\b([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b")),
     ("ip", re.compile(r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)")),
@@ -62,16 +66,36 @@ def gender_of(title: str) -> str:
 
 def script_of(word: str) -> str:
     name = next((unicodedata.name(c, "") for c in word if c.isalpha()), "")
-    return "cyrillic" if name.startswith("CYRILLIC") else "greek" if name.startswith("GREEK") else "latin"
+    first = name.split(" ")[0].lower()
+    return first if first in SYLLABLES or letters(first) else "latin"
+
+
+@lru_cache(None)
+def letters(script: str) -> str:
+    """Small or caseless letters beyond ASCII of a script, named as in Unicode's character names."""
+    made = (chr(i) for i in range(0x80, 0x10000))
+    return "".join(c for c in made if unicodedata.category(c) in ("Ll", "Lo") and unicodedata.name(c, "").lower().startswith(script + " ") and unicodedata.normalize("NFKC", c).casefold() == c)
+
+
+def ascii_digits(s: str) -> str:
+    return s if s.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in s)
 
 
 def normal(kind: str, raw: str) -> str:
     """What two mentions of one entity share."""
     if kind in ("phone", "card", "ssn"):
-        return "".join(c for c in raw if c.isdigit())
-    if kind == "iban":
-        return raw.replace(" ", "")
-    return raw if kind == "secret" else raw.lower() if kind in ("email", "ip") else unicodedata.normalize("NFC", raw).casefold()
+        return ascii_digits("".join(c for c in raw if c.isdecimal()))
+    if kind in ("iban", "ip"):
+        return ascii_digits(raw.replace(" ", ""))
+    return raw if kind == "secret" else raw.lower() if kind == "email" else unicodedata.normalize("NFC", raw).casefold()
+
+
+def _may_name_secret(text: str) -> bool:
+    """False only for texts that the first of _SECRETS cannot match; beyond ASCII, more characters fold to its letters."""
+    if ":" not in text and "=" not in text:
+        return False
+    low = text.lower() if text.isascii() else ""
+    return not low or any(w in low for w in ("token", "secret", "passw", "pwd", "key"))
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -80,7 +104,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     titles = [t for ts in TITLES.values() for t in ts if t in text]
     numeric = _NUMERIC(text)
-    if not numeric and not titles:
+    secrets = [p for p, wanted in zip(_SECRETS, (_may_name_secret(text), any(k in text for k in _KEY_STARTS))) if wanted]
+    if not numeric and not titles and not secrets:
         return out
     taken = bytearray(len(text))
 
@@ -89,6 +114,10 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             taken[a:z] = b"\1" * (z - a)
             out.append((a, z, kind))
 
+    for kind, pattern in secrets:  # over line ends, too
+        for m in pattern.finditer(text):
+            if any(c.isalnum() for c in m[1]):  # a row of signs is a blank to fill in
+                add(m.start(1), m.end(1), kind)
     at = text.rfind("\n", 0, numeric.start()) + 1 if numeric else len(text)
     for line in text[at:].split("\n"):  # a search by character class, then patterns on the few lines that it finds
         if _NUMERIC(line):
@@ -164,6 +193,10 @@ def _iban(country: str, rest: str) -> str:
     return f"{country}{98 - n % 97:02d}{rest}"
 
 
+def generated(key: bytes, tweak: str, alphabet: str, length: int) -> str:
+    return "".join(alphabet[_number(key, tweak, str(i)) % len(alphabet)] for i in range(length))
+
+
 @lru_cache(100_000)
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     """The replacement of a normal form, itself in normal form (names: lower case). attempt: 1 and up draw again."""
@@ -192,6 +225,8 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     if kind in ("phone", "ssn"):
         return encipher(key, tweak, norm)
     script = script_of(norm)
+    if script not in SYLLABLES:
+        return generated(key, f"{kind}|{norm}|{attempt}", letters(script), (2 if len(letters(script)) > 1000 else 5) + attempt)
     ends = ENDINGS[script]["s" if kind == "surname" else kind[-1]]
     n = _number(key, kind, norm, str(attempt))
     n, end = divmod(n, len(ends))
@@ -202,11 +237,20 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     return "".join(made) + ends[end]
 
 
+def in_digits_of(like: str, c: str) -> str:
+    """A digit c in the digits that `like` belongs to; other characters stay."""
+    return chr(ord(like) - unicodedata.decimal(like) + int(c)) if like.isdecimal() and c in _SETS["d"] else c
+
+
 def dress(kind: str, raw: str, norm: str, new: str) -> str:
     """The surrogate in the mention's own layout: its separators, its case."""
     if kind in ("phone", "card", "ssn", "iban"):
         source = iter(new)
-        return "".join(next(source) if c.isalnum() else c for c in raw)
+        same = "".join(in_digits_of(c, next(source)) if c.isalnum() else c for c in raw)
+        return same + "".join(in_digits_of(raw[-1], c) for c in source)
+    if kind == "ip" and not raw.isascii():
+        like = next(c for c in raw if c.isdecimal() and not c.isascii())
+        return "".join(in_digits_of(like, c) for c in new)
     if kind == "email":
         return "".join(n.upper() if c.isupper() else n for c, n in zip(raw, new)) if len(raw) == len(new) else new
     if kind.startswith(("given", "surname")):
