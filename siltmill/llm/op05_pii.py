@@ -4,7 +4,7 @@ Detected entities get keyed replacements of their own type and format: numbers,
 a keyed permutation of the strings with their pattern of character classes (so different ones stay different and one
 entity is replaced alike in all documents); names get generated names of the same gender and script. A check over the
 corpus's different entities finds surrogates that two entities share, or that equal a real entity, and those entities
-draw again until none is left.
+draw again, in the end from longer patterns, until none is left.
 """
 
 from __future__ import annotations
@@ -163,27 +163,50 @@ def _permute(key: bytes, tweak: str, x: int, size: int) -> int:
 _SETS = {"d": "0123456789", "h": "0123456789abcdef", "H": "0123456789ABCDEF", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "г": "абвгдежзиклмнопрстуфхцчшщэюя", "γ": "αβγδεζηθικλμνξοπρστυφχψω"}
 
 
+@lru_cache(100_000)
+def class_of(c: str) -> str | None:
+    """The class of a character: one of _SETS, or the digits or letters of another script."""
+    if found := next((k for k in ("d", "a", "A", "г", "γ") if c in _SETS[k]), None):
+        return found
+    if c.isdecimal():
+        return "0" + chr(ord(c) - unicodedata.decimal(c))
+    script = unicodedata.name(c, "").split(" ")[0].lower()
+    return script if c.isalpha() and c in class_members(script) else None
+
+
+@lru_cache(None)
+def class_members(cls: str) -> str:
+    if cls in _SETS:
+        return _SETS[cls]
+    if cls[0] == "0":
+        return "".join(chr(ord(cls[1]) + i) for i in range(10))
+    return "".join(c for c in letters(cls) if c not in _SETS["г"] and c not in _SETS["γ"])
+
+
 def encipher(key: bytes, tweak: str, s: str, fixed: int = 0, hexa: bool = False) -> str:
     """Another string with the same pattern of character classes; characters of no class, and the first `fixed`, stay."""
     plan = []
     for i, c in enumerate(s):
-        cls = None if i < fixed else next((k for k in (("h",) if hexa and c in _SETS["h"] else ("d", "a", "A", "г", "γ")) if c in _SETS[k]), None)
-        plan.append(cls)
+        plan.append(None if i < fixed else "h" if hexa and c in _SETS["h"] else class_of(c))
     x, size = 0, 1
     for c, cls in zip(s, plan):
         if cls:
-            x = x * len(_SETS[cls]) + _SETS[cls].index(c)
-            size *= len(_SETS[cls])
+            x = x * len(class_members(cls)) + class_members(cls).index(c)
+            size *= len(class_members(cls))
     x = _permute(key, tweak + "".join(k or c for k, c in zip(plan, s)), x, size)
     out = []
     for c, cls in zip(reversed(s), reversed(plan)):
         if cls:
-            x, r = divmod(x, len(_SETS[cls]))
-            c = _SETS[cls][r]
+            x, r = divmod(x, len(class_members(cls)))
+            c = class_members(cls)[r]
         out.append(c)
     return "".join(reversed(out))
 
 
+#: The first attempt that leaves a string's own pattern.
+WIDEN = 3
+
+
 def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
@@ -199,16 +222,24 @@ def generated(key: bytes, tweak: str, alphabet: str, length: int) -> str:
 
 @lru_cache(100_000)
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """The replacement of a normal form, itself in normal form (names: lower case). attempt: 1 and up draw again."""
+    """The replacement of a normal form, itself in normal form (names: lower case). attempt: 1 and up draw again.
+
+    From WIDEN on, a draw leaves the pattern, which may be too small or too full, for one that is longer by two
+    characters an attempt (of an IPv4 address: for an IPv6 address), so redraws end for any number of entities.
+    """
     tweak = f"{kind}|{attempt}|"
+    more = 2 * max(0, attempt - WIDEN + 1)
     if kind == "card":
         if luhn(norm):
-            body = encipher(key, tweak + "valid|", norm[:-1])
+            body = encipher(key, tweak + "valid|", norm[:-1] + "0" * more)
             return next(body + str(d) for d in range(10) if luhn(body + str(d)))
-        out = encipher(key, tweak, norm)
+        out = encipher(key, tweak, norm + "0" * more)
         while luhn(out):
             out = encipher(key, tweak, out)
         return out
+    if kind == "ip" and more:
+        x = _number(key, kind, norm, str(attempt))
+        return "fd" + ":".join(f"{x >> 16 * i & 0xFFFF:04x}" for i in range(8))[2:]
     if kind == "ip":
         x = 0
         for part in norm.split("."):
@@ -216,14 +247,16 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         x = _permute(key, tweak, x, 1 << 32)
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     if kind == "iban":
-        return _iban(norm[:2], encipher(key, tweak, norm[4:]))
+        return _iban(norm[:2], encipher(key, tweak, norm[4:] + "0" * more))
     if kind == "email":
         dot = norm.rindex(".")
-        return encipher(key, tweak, norm[:dot]) + norm[dot:]
+        # a letter of no class cannot be enciphered, and gives way to a generated one
+        body = "".join(c if not c.isalnum() or class_of(c) else generated(key, f"{norm}|{i}", _SETS["a"], 1) for i, c in enumerate(norm[:dot]))
+        return encipher(key, tweak, "a" * more + body) + norm[dot:]
     if kind == "secret":
-        return encipher(key, tweak, norm, hexa=bool(re.fullmatch(r"[0-9a-f]+", norm)))
+        return encipher(key, tweak, norm + "a" * more, hexa=bool(re.fullmatch(r"[0-9a-f]+", norm)))
     if kind in ("phone", "ssn"):
-        return encipher(key, tweak, norm)
+        return encipher(key, tweak, norm + "0" * more)
     script = script_of(norm)
     if script not in SYLLABLES:
         return generated(key, f"{kind}|{norm}|{attempt}", letters(script), (2 if len(letters(script)) > 1000 else 5) + attempt)
@@ -279,15 +312,18 @@ def mentions(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select(digest().alias("digest"), "text").mapInPandas(find, "digest binary, kind string, norm string").distinct()
 
 
-def redraws(entities: DataFrame, key: bytes, most: int = 30) -> DataFrame:
-    """kind, norm, attempt of the entities whose first surrogate another one has, or that is itself a real entity."""
+def redraws(entities: DataFrame, key: bytes) -> DataFrame:
+    """kind, norm, attempt of the entities whose first surrogate another one has, or that is itself a real entity.
+
+    Each attempt from WIDEN on has at least a hundred times the room of the one before, so the rounds end.
+    """
 
     @F.pandas_udf("string")
     def draw(kind: pd.Series, norm: pd.Series, attempt: pd.Series) -> pd.Series:
         return pd.Series([surrogate(key, k, n, a) for k, n, a in zip(kind, norm, attempt)], dtype=object)
 
     held = stored(entities.select("kind", "norm", F.lit(0).alias("attempt")).withColumn("new", draw("kind", "norm", "attempt")), "surrogates")
-    for _ in range(most):
+    while True:
         first = held.groupBy("kind", "new").agg(F.min("norm").alias("norm"), F.count("*").alias("n")).where("n > 1").select("kind", "new", F.col("norm").alias("winner"))
         lost = held.join(first, ["kind", "new"]).where("norm <> winner").select("kind", "norm")
         real = held.join(entities.select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_semi").select("kind", "norm")
@@ -296,7 +332,6 @@ def redraws(entities: DataFrame, key: bytes, most: int = 30) -> DataFrame:
             return held.where("attempt > 0").select("kind", "norm", "attempt")
         drawn = held.join(again, ["kind", "norm"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("new", draw("kind", "norm", "attempt"))
         held = stored(held.join(again, ["kind", "norm"], "left_anti").unionByName(drawn), "surrogates")
-    raise RuntimeError("surrogates still collide")
 
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:

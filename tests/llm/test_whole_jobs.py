@@ -82,3 +82,33 @@ def test_op5_finds_what_its_patterns_match(text, private):
     assert op5.normal(kind, new[a : len(new) - len(text) + z]) != op5.normal(kind, text[a:z])
     script = lambda t: {op5.unicodedata.name(c).split()[0] for c in t if c.isalnum()}
     assert kind == "secret" or script(new) == script(text)
+
+
+def test_op5_odd_entities_do_not_stop_the_run(spark):
+    blank = "Password: ________ (min 8)"
+    mails = ["\u7528\u6237@\u4f8b\u5b50.\u4e2d\u56fd", "\U00010330\U00010331@\U00010332\U00010333.\U00010334\U00010335", "a@b.co"]
+    rows = {r.doc_id: r.text for r in op5.pseudonymize(docs(spark, blank, *mails), b"k").collect()}
+    assert rows[0] == blank
+    for i, mail in enumerate(mails, 1):
+        assert rows[i].count("@") == 1 and not set(rows[i].split("@")[0]) & set(mail.split("@")[0])
+
+
+@pytest.mark.parametrize(
+    "kind,norms",
+    [
+        ("phone", [f"{i:04d}" for i in range(10_000)]),
+        ("secret", [f"_______{i}" for i in range(10)]),
+        ("email", [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]),
+    ],
+)
+def test_op5_full_patterns_fall_back_to_longer_ones(spark, kind, norms):
+    entities = spark.createDataFrame([(kind, n) for n in norms], "kind string, norm string")
+    again = {r.norm: r.attempt for r in op5.redraws(entities, b"k").collect()}
+    made = {op5.surrogate(b"k", kind, n, again.get(n, 0)) for n in norms}
+    assert len(made) == len(norms) and not made & set(norms)
+
+
+@pytest.mark.parametrize("kind,norm", [("ip", "10.1.2.254"), ("card", "4417744280351547"), ("iban", "DE89370400440532013000"), ("ssn", "987654321")])
+def test_op5_later_draws_differ(kind, norm):
+    made = [op5.surrogate(b"k", kind, norm, a) for a in range(8)]
+    assert len({norm, *made}) == 9 and (kind != "card" or all(map(op5.luhn, made)))
