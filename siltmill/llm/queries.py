@@ -18,7 +18,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op02_packing.pack_pow2(documents(spark, sf_dir), 2048, 1, with_ids=False).drop("ids")
+    packed = op02_packing.pack_pow2(documents(spark, sf_dir), 2048, 1)
+    return packed.withColumn("ids_crc32", F.crc32("ids"))  # of the ids as they are emitted
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

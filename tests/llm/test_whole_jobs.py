@@ -1,13 +1,18 @@
 """Cases in which an operator or stage once did less than its whole job."""
 
 import random
+import zlib
+from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siltmill.llm import near_duplicates
 from siltmill.llm import op05_pii as op5
+from siltmill.llm import queries
+from siltmill.llm.tokens import coder, default_tokenizer
 
 MIDDLE = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, n_chars long"
@@ -112,3 +117,20 @@ def test_op5_full_patterns_fall_back_to_longer_ones(spark, kind, norms):
 def test_op5_later_draws_differ(kind, norm):
     made = [op5.surrogate(b"k", kind, norm, a) for a in range(8)]
     assert len({norm, *made}) == 9 and (kind != "card" or all(map(op5.luhn, made)))
+
+
+@pytest.mark.parametrize("step", ["op2_packing", "pipeline"])
+def test_packing_emits_every_token(spark, step):
+    import corpus_pipeline as P
+
+    small = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{small}/documents.parquet")
+    rows = (queries.op2_packing(spark, small) if step == "op2_packing" else P.packing_stage(spark, d, small)).collect()
+    pieces = defaultdict(list)
+    for r in rows:
+        assert len(r.ids) == 4 * r.length and r.ids_crc32 == zlib.crc32(r.ids)
+        pieces[r.doc_id].append((r.start, bytes(r.ids)))
+    tok = coder(default_tokenizer()).tok
+    for doc, text in d.select("doc_id", "text").collect():
+        expected = [*tok.encode(text or "", add_special_tokens=False).ids, 1]
+        assert np.frombuffer(b"".join(p for _, p in sorted(pieces[doc])), "<u4").tolist() == expected
