@@ -75,17 +75,55 @@ def test_op1_overlaps_periods_and_odd_rows(spark, odd):
     assert op1.remove_repeats(odd.limit(0), 64).count() == 0
 
 
-def test_op1_merge_equals_one_transform():
+def common_prefix(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_op1_merge_gives_the_common_prefixes_of_all_strings():
     rng = np.random.default_rng(0)
-    symbols = rng.integers(1, 4, (200, op1.PARTS))
-    rows = [np.arange(j, 200, 3) for j in range(3)]
-    made = [op1.ShardTransform(symbols[r]) for r in rows]
-    z, block = op1.merge_transforms(made)
-    merged = np.empty(len(z), object)
-    for j, (r, s) in enumerate(zip(rows, made)):
-        merged[z == j] = [tuple(symbols[r[x]][lv:]) for x, lv in zip(s.row, s.level)]
-    assert [tuple(x) for x in merged] == sorted(tuple(x) for x in merged)
-    assert len(set(merged)) == block[-1] + 1
+    symbols = rng.integers(1, 4, (120, 30)).astype(np.uint16)
+    symbols[60:90, 10:] = symbols[:30, 10:]  # copies but for the left
+    symbols[90:] = symbols[30:60]
+    for i in range(0, 120, 7):
+        symbols[i, : i % 5] = 0
+        symbols[i, 30 - i % 4 :] = 0
+    shard = rng.integers(0, 5, 120)
+    strings = lambda c: [row[c:].tolist() for row in symbols]
+    for column, rows, common in op1.merge_transforms(op1.ShardTransforms(np.ascontiguousarray(symbols.T), shard), 30):
+        own = [s[: s.index(0)] if 0 in s else s for s in strings(column)]
+        expected = [max(common_prefix(own[i], own[j]) for j in range(120) if j != i) for i in rows]
+        assert common.tolist() == expected
+
+
+def test_op1_windows_against_brute_force():
+    r = random.Random(8)
+    length = 64
+    base = "".join(r.choice("ab") for _ in range(300)).encode()
+    parts, places = [], []
+    for _ in range(200):
+        a = r.randint(100, 140)
+        left, right = r.randint(0, 30), r.randint(34, 64)
+        p = bytearray(base[a - left : a + right + r.randint(0, 20)])
+        for _ in range(r.randint(0, 2)):
+            p[r.randrange(len(p))] = r.choice(b"abc")
+        parts.append(bytes(p)), places.append(left)
+    got = op1.repeated_windows(parts, places, [i % 7 for i in range(200)], length)
+    seen = Counter((s - q, p[s : s + length]) for p, q in zip(parts, places) for s in range(max(0, len(p) - length + 1)))
+    for p, q, spans in zip(parts, places, got):
+        expected = [s for s in range(max(0, min(len(p) - length, q) + 1)) if seen[(s - q, p[s : s + length])] > 1]  # a window holds its anchor
+        assert [s for a, b in spans for s in range(a, b)] == expected
+
+
+def test_op1_splits_a_passage_in_many_contexts(spark, monkeypatch):
+    r = random.Random(6)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, tails = noise(90), [noise(40) for _ in range(6)]
+    rows = [noise(r.randint(0, 50)) + passage + r.choice(tails) + noise(r.randint(0, 30)) for _ in range(60)] + [noise(30) + passage] * 3 + ["y" * 200 + noise(9) for _ in range(20)]
+    d = docs(spark, *rows)
+    whole = op1.repeated_spans
+    monkeypatch.setattr(op1, "repeated_spans", lambda docs, length: whole(docs, length, bucket_rows=5))
+    monkeypatch.setattr(op1, "BLOCK", 70)
+    assert [tuple(x)[1:] for x in op1.remove_repeats(d, 64).orderBy("doc_id").collect()] == brute_repeats(rows, 64)
 
 
 def check_packing(rows, texts):
