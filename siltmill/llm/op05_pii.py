@@ -14,6 +14,7 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Iterator
+from datetime import date
 from functools import lru_cache
 
 import pandas as pd
@@ -28,6 +29,15 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Doña", "Госпожа", "Κυρία"],
     "n": ["Dr", "Prof"],
 }
+#: Words that announce a person's name without a title.
+ANNOUNCED = ["my name is", "My name is", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "Dear", "Contact", "contact", "Signed by", "signed by"]
+#: Calling codes of two digits; 1 and 7 have one, the others three.
+CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+#: Private and loopback IPv4 ranges, as first address and number of low bits.
+PRIVATE = [("10.0.0.0", 24), ("127.0.0.0", 24), ("172.16.0.0", 20), ("192.168.0.0", 16)]
+#: Words before a date of birth, and before a telephone number without a calling code.
+BORN = ["born", "date of birth", "dob", "geboren am", "geboren", "née le", "né le", "nacido el", "nacida el"]
+CALL = ["tel", "phone", "telephone", "call", "fax", "mobile", "telefon", "téléphone", "teléfono"]
 #: Syllables and endings of generated names, by script.
 SYLLABLES = {
     "latin": "ba be bi bo da de di do fa fe ga go ha jo ka ki la le li lo ma me mi mo na ni no ra ri ro sa ta".split(),
@@ -42,6 +52,7 @@ ENDINGS = {
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _WORD = r"[^\W\d_a-zß-öø-ÿа-яά-ώ][^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)"
 _NAME = re.compile(rf"({_TITLE})\b(\.?[ \u00a0])({_WORD}(?:[ \u00a0]{_WORD}){{0,3}})").match
+_SAID = re.compile(rf"(?<!\w)({'|'.join(ANNOUNCED)})(:?[ \u00a0])({_WORD}[ \u00a0]{_WORD}(?:[ \u00a0]{_WORD})?)")
 _NUMERIC = re.compile(r"[\d@]").search
 _SECRET_WORD = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?key)"
 _KEY_STARTS = ("AKIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-")
@@ -56,6 +67,8 @@ _PATTERNS = [
     ("ip", re.compile(r"(?<![\d.])((?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?![\d]|\.\d)")),
     ("ssn", re.compile(r"(?<![\d-])(\d{3}-\d{2}-\d{4})(?![\d-])")),
     ("phone", re.compile(r"(?<![\w+])(\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])")),
+    ("birth", re.compile(rf"(?i:\b(?:{'|'.join(BORN)}))\b[ :]{{1,3}}(?:on )?(\d{{4}}-\d\d-\d\d|\d\d?[./]\d\d?[./]\d{{4}})(?!\d)")),
+    ("phone", re.compile(rf"(?i:\b(?:{'|'.join(CALL)}))\b[.:]{{0,2}} ?(\d{{2,5}}(?:[ -]\d{{2,6}}){{1,4}})(?![\w])")),
     ("card", re.compile(r"(?<![\w-])(\d(?:[ -]?\d){12,18})(?![\w])")),
 ]
 
@@ -83,13 +96,26 @@ def ascii_digits(s: str) -> str:
 
 def normal(kind: str, raw: str) -> str:
     """What two mentions of one entity share."""
+    if kind == "birth":
+        return str(_days(raw))
     if kind in ("phone", "card", "ssn"):
-        return ascii_digits("".join(c for c in raw if c.isdecimal()))
+        return "+" * (kind == "phone" and raw[:1] == "+") + ascii_digits("".join(c for c in raw if c.isdecimal()))
     if kind in ("iban", "ip"):
         return ascii_digits(raw.replace(" ", ""))
     return raw if kind == "secret" else raw.lower() if kind == "email" else unicodedata.normalize("NFC", raw).casefold()
 
 
+def _days(raw: str) -> int | None:
+    """Days from the year 1 of a date; day and month swap if only that makes one."""
+    a, b, c = map(int, re.split(r"[./-]", raw))
+    for y, m, d in [(a, b, c)] if "-" in raw else [(c, b, a), (c, a, b)]:
+        try:
+            return date(y, m, d).toordinal()
+        except ValueError:
+            continue
+    return None
+
+
 def _may_name_secret(text: str) -> bool:
     """False only for texts that the first of _SECRETS cannot match; beyond ASCII, more characters fold to its letters."""
     if ":" not in text and "=" not in text:
@@ -99,13 +125,15 @@ def _may_name_secret(text: str) -> bool:
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind), sorted and apart. Kinds: secret, email, iban, ip, ssn, phone, card, and the parts of names:
-    given-m, given-f, given-n, surname. A name that a title announces is found in the rest of its text, too."""
+    """(start, end, kind), sorted and apart. Kinds: secret, email, iban, ip, ssn, phone, birth, card (numbers with a right
+    check digit), and the parts of names: given-m, given-f, given-n, surname. A name that a title or another word
+    announces is found in the rest of its text, too, also in capitals."""
     out: list[tuple[int, int, str]] = []
     titles = [t for ts in TITLES.values() for t in ts if t in text]
+    said = any(w in text for w in ANNOUNCED)
     numeric = _NUMERIC(text)
     secrets = [p for p, wanted in zip(_SECRETS, (_may_name_secret(text), any(k in text for k in _KEY_STARTS))) if wanted]
-    if not numeric and not titles and not secrets:
+    if not numeric and not titles and not secrets and not said:
         return out
     taken = bytearray(len(text))
 
@@ -124,7 +152,8 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             for kind, pattern in _PATTERNS:
                 if kind != "email" or "@" in line:
                     for m in pattern.finditer(line):
-                        add(at + m.start(1), at + m.end(1), kind)
+                        if (kind != "card" or luhn(normal(kind, m[1]))) and (kind != "birth" or _days(m[1]) is not None):
+                            add(at + m.start(1), at + m.end(1), kind)
         at += len(line) + 1
     known: dict[str, str] = {}
     for title in titles:
@@ -135,7 +164,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
                 for i, w in enumerate(parts):
                     known.setdefault(w[0], "surname" if i == len(parts) - 1 else f"given-{gender_of(m[1])}")
             at = text.find(title, at + 1)
+    for m in _SAID.finditer(text) if said else ():
+        parts = m[3].split(m[3][len(re.match(_WORD, m[3])[0])])
+        for i, w in enumerate(parts):
+            known.setdefault(w, "surname" if i == len(parts) - 1 else "given-n")
     if known:
+        known |= {w.upper(): kind for w, kind in known.items() if len(w) > 2 and w.upper() not in known}
         for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(known, key=len, reverse=True))) + r")\b", text):
             add(m.start(), m.end(), known[m[0]])
     return sorted(out)
@@ -211,6 +245,15 @@ def luhn(digits: str) -> bool:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 
 
+def calling_code(digits: str) -> int:
+    """Digits of the calling code that an international number starts with."""
+    return 1 if digits[0] in "17" else 2 if digits[:2] in CODES else 3
+
+
+def _address(ip: str) -> int:
+    return int.from_bytes(bytes(map(int, ip.split("."))), "big")
+
+
 def _iban(country: str, rest: str) -> str:
     n = int("".join(str(int(c, 36)) for c in rest + country + "00"))
     return f"{country}{98 - n % 97:02d}{rest}"
@@ -241,10 +284,9 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         x = _number(key, kind, norm, str(attempt))
         return "fd" + ":".join(f"{x >> 16 * i & 0xFFFF:04x}" for i in range(8))[2:]
     if kind == "ip":
-        x = 0
-        for part in norm.split("."):
-            x = x * 256 + int(part)
-        x = _permute(key, tweak, x, 1 << 32)
+        x = _address(norm)
+        first, bits = next(((_address(a), n) for a, n in PRIVATE if x >> n == _address(a) >> n), (0, 32))
+        x = first + _permute(key, tweak + str(first), x - first, 1 << bits)  # a private address stays one of its range
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     if kind == "iban":
         return _iban(norm[:2], encipher(key, tweak, norm[4:] + "0" * more))
@@ -255,6 +297,11 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
         return encipher(key, tweak, "a" * more + body) + norm[dot:]
     if kind == "secret":
         return encipher(key, tweak, norm + "a" * more, hexa=bool(re.fullmatch(r"[0-9a-f]+", norm)))
+    if kind == "birth":
+        span = 36_525  # days of a century; later draws leave it
+        return str(int(norm) // span * span + _permute(key, tweak, int(norm) % span, span) + span * more)
+    if kind == "phone" and norm[0] == "+":
+        return encipher(key, tweak, norm + "0" * more, fixed=1 + calling_code(norm[1:]))
     if kind in ("phone", "ssn"):
         return encipher(key, tweak, norm + "0" * more)
     script = script_of(norm)
@@ -277,8 +324,12 @@ def in_digits_of(like: str, c: str) -> str:
 
 def dress(kind: str, raw: str, norm: str, new: str) -> str:
     """The surrogate in the mention's own layout: its separators, its case."""
+    if kind == "birth":
+        d = date.fromordinal((int(new) - 1) % 3_652_059 + 1)
+        sign = re.search(r"\D", raw)[0]
+        return d.isoformat() if sign == "-" else sign.join((f"{d.day:02d}", f"{d.month:02d}", f"{d.year:04d}"))
     if kind in ("phone", "card", "ssn", "iban"):
-        source = iter(new)
+        source = iter(new.removeprefix("+"))
         same = "".join(in_digits_of(c, next(source)) if c.isalnum() else c for c in raw)
         return same + "".join(in_digits_of(raw[-1], c) for c in source)
     if kind == "ip" and not raw.isascii():

@@ -144,3 +144,38 @@ def test_pipeline_near_duplicates_refutes_no_link():
         links = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(x := np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - len(x))}
         found = near_duplicates.may_link(np.zeros(len(sets)), np.array([len(x) for x in sets]), [near_duplicates.parities(x) for x in sets], 0.8)
         assert links <= {(int(i), int(j)) for a, b in found for i, j in zip(a, b)}
+
+
+@pytest.mark.parametrize(
+    "text,gone",
+    [
+        ("my name is Peter Gray, Peter", ["Peter", "Gray"]),
+        ("Contact Jane Doe now. JANE DOE", ["Jane", "Doe", "JANE", "DOE"]),
+        ("born 1984-03-12 in May", ["1984-03-12"]),
+        ("Date of birth: 31.12.1999.", ["31.12.1999"]),
+        ("call 020 7946 0958 today", ["020 7946 0958"]),
+        ("Mr. Smith wrote; a note by SMITH", ["Smith", "SMITH"]),
+    ],
+)
+def test_op5_finds_names_dates_and_numbers_that_words_announce(text, gone):
+    new, found = op5.replace(text, b"k", {})
+    assert len(found) == len(gone) + (text.count("Peter") - gone.count("Peter") if "Peter" in gone else 0) and not any(g in new for g in gone)
+
+
+@pytest.mark.parametrize("text", ["order 1234567890123456 came", "born 1984-13-45", "version 2.0.1 of May 3", "Sir, the Don is a river", "call me at 5", "dear all"])
+def test_op5_leaves_clean_texts_alone(text):
+    assert op5.replace(text, b"k", {}) == (text, [])
+
+
+def test_op5_surrogates_keep_their_type():
+    new = lambda kind, norm: op5.surrogate(b"k", kind, norm)
+    assert new("ip", "10.1.2.3").startswith("10.") and new("ip", "192.168.7.8").startswith("192.168.") and 16 <= int(new("ip", "172.20.0.1").split(".")[1]) < 32
+    assert new("phone", "+442079460958").startswith("+44") and new("phone", "+10175557713").startswith("+1") and new("phone", "+351210000000").startswith("+351")
+    assert len({new("birth", str(op5._days(f"19{y:02d}-01-01"))) for y in range(100)}) == 100
+
+
+def test_op5_odd_tables(spark):
+    d = docs(spark, "Mr. John Smith", "Mr. John Smith", None).unionByName(spark.createDataFrame([(None, "a@b.co", 6)], SCHEMA))
+    got = [r.text for r in op5.pseudonymize(d, b"k").orderBy("doc_id").collect()]
+    assert len(got) == 4 and got[1] == got[2] and "@" in got[0] and "Smith" not in got[1]
+    assert op5.pseudonymize(d.limit(0), b"k").count() == 0
