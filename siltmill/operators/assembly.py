@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .retrieval import rrf, top_k
+from ..functions.text import tokens
+from ..session import visible
+from .retrieval import Index, bm25, dense_top, rrf, top_k
 
 
 @dataclass(frozen=True)
@@ -21,6 +24,9 @@ class RetrieverConfig:
     threshold: float = float("-inf")
     rank_by: str = "primary"  # or "max"
     faq_k: int = 2
+    graph_position: str = "after"  # its seed, or "end"
+    faq_mode: str = "separate"  # or "mixed"
+    rerank_chars: int = 1200
 
 
 def fuse_variants(ranked: DataFrame, cfg: RetrieverConfig, key: str) -> DataFrame:
@@ -29,14 +35,15 @@ def fuse_variants(ranked: DataFrame, cfg: RetrieverConfig, key: str) -> DataFram
 
 
 def rerank(scored: DataFrame, key: str, rank_by: str = "primary") -> DataFrame:
-    """query_id, key, final, best_variant from a score of each (query_id, variant_id, key): variant 0's or the best."""
-    best = F.max(F.struct("score", (-F.col("variant_id")).alias("v")))
-    g = scored.groupBy("query_id", key).agg(best.alias("_b"), F.max(F.when(F.col("variant_id") == 0, F.col("score"))).alias("_p"))
-    return g.select("query_id", key, (F.col("_b.score") if rank_by == "max" else F.col("_p")).alias("final"), (-F.col("_b.v")).alias("best_variant"))
+    """query_id, key, final (variant 0's score, or the best), best, best_variant from (query_id, variant_id, key, score)."""
+    top = F.max(F.struct("score", (-F.col("variant_id")).alias("v")))
+    g = scored.groupBy("query_id", key).agg(top.alias("_b"), F.max(F.when(F.col("variant_id") == 0, F.col("score"))).alias("_p"))
+    return g.select("query_id", key, (F.col("_b.score") if rank_by == "max" else F.col("_p")).alias("final"), F.col("_b.score").alias("best"), (-F.col("_b.v")).alias("best_variant"))
 
 
-def passing(df: DataFrame, threshold: float, key: str, score: str = "final") -> DataFrame:
-    """Rows at or above the threshold; a query with none keeps its single best row."""
+def passing(df: DataFrame, threshold: float, key: str, score: str = "best") -> DataFrame:
+    """Rows at or above the threshold; a query with none keeps its single best row. A row stays for its best score over
+    the variants; `final` only orders."""
     w = Window.partitionBy("query_id")
     n = F.row_number().over(w.orderBy(F.col(score).desc(), key))
     top = F.max(score).over(w)
@@ -59,21 +66,110 @@ def slots(scored: DataFrame, passed: DataFrame, key: str, cfg: RetrieverConfig)
 
 def carry_neighbours(kept: DataFrame, neighbours: DataFrame, key: str, cfg: RetrieverConfig) -> DataFrame:
     """kept and, after each seed, its first graph_per_seed neighbours (seed, dst, ord) that are not kept and that no
-    earlier seed carried; the cut comes before that check. A neighbour scores its seed less 0.001."""
+    earlier seed carried; the cut comes before that check. A neighbour scores its seed less 0.001; with graph_position
+    `end` it comes after all seeds and scores the lowest of them less 0.001 a place."""
     few = neighbours.withColumn("_r", F.row_number().over(Window.partitionBy("seed").orderBy("ord", "dst"))).where(F.col("_r") <= cfg.graph_per_seed)
     got = kept.select("query_id", F.col(key).alias("seed"), F.col("final").alias("_f"), F.col("position").alias("_p")).join(few, "seed")
     once = got.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "dst").orderBy("_p", "_r"))).where("_n = 1")
     new = once.join(kept.select("query_id", F.col(key).alias("dst")), ["query_id", "dst"], "left_anti")
+    final = F.col("_f") - 1e-3
+    if cfg.graph_position == "end":
+        ends = kept.groupBy("query_id").agg(F.min("final").alias("_least"), F.max("position").alias("_last"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("_p", "_r"))
+        new = new.withColumn("_i", place).join(ends, "query_id").withColumn("_p", F.col("_last") + F.col("_i"))
+        final = F.col("_least") - 1e-3 * F.col("_i")
     rows = kept.select("query_id", key, "final", F.lit("search").alias("origin"), "position", F.lit(0).alias("_r")).unionByName(
-        new.select("query_id", F.col("dst").alias(key), F.round(F.col("_f") - 1e-3, 6).alias("final"), F.lit("graph").alias("origin"), F.col("_p").alias("position"), "_r")
+        new.select("query_id", F.col("dst").alias(key), F.round(final, 6).alias("final"), F.lit("graph").alias("origin"), F.col("_p").alias("position"), "_r")
     )
     order = Window.partitionBy("query_id").orderBy("position", "_r")
     return rows.withColumn("position", F.row_number().over(order).cast("long")).drop("_r")
 
 
 def append_faq(kept: DataFrame, faq: DataFrame, key: str, cfg: RetrieverConfig) -> DataFrame:
-    """kept and up to faq_k FAQ rows (query_id, key, rank) after it, scored below the lowest by 1 and 0.001 a place."""
+    """kept and, after it, the first faq_k FAQ rows (query_id, key, rank) that it does not hold already: the i-th scores
+    the lowest score less 1 and i times 0.001."""
     floor = kept.groupBy("query_id").agg(F.min("final").alias("_floor"), F.max("position").alias("_last"))
-    tail = faq.where(F.col("rank") <= cfg.faq_k).join(floor, "query_id")
-    tail = tail.select("query_id", key, F.round(F.col("_floor") - 1 - 1e-3 * (F.col("rank") - 1), 6).alias("final"), F.lit("faq").alias("origin"), (F.col("_last") + F.col("rank")).alias("position"))
+    fresh = faq.where(F.col("rank") <= cfg.faq_k).join(kept.select("query_id", key), ["query_id", key], "left_anti")
+    fresh = fresh.withColumn("_i", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    tail = fresh.join(floor, "query_id").select("query_id", key, F.round(F.col("_floor") - 1 - 1e-3 * F.col("_i"), 6).alias("final"), F.lit("faq").alias("origin"), (F.col("_last") + F.col("_i")).alias("position"))
     return kept.unionByName(tail)
+
+
+def gate(scored: DataFrame, key: str, threshold: float = 0.20, top: int = 5) -> DataFrame:
+    """query_id, key, score, rank: rows at the threshold or above, the best `top`; the single best where none passes."""
+    return top_k(passing(scored, threshold, key, "score"), ["query_id"], "score", [key], top)
+
+
+def clean_variants(queries: DataFrame) -> DataFrame:
+    """query_id, variant_id, text: repeated texts of a query are dropped, then texts are trimmed and blank ones go;
+    variants are numbered anew from 0."""
+    first = queries.where("text is not null").groupBy("query_id", "text").agg(F.min("variant_id").alias("variant_id"))
+    rows = first.withColumn("text", F.trim(F.regexp_replace("text", r"^\s+|\s+$", ""))).where("text <> ''")
+    number = F.row_number().over(Window.partitionBy("query_id").orderBy("variant_id")) - 1
+    return rows.select("query_id", number.cast("int").alias("variant_id"), "text")
+
+
+def overlap(query_text: Column, chunk_text: Column) -> Column:
+    """A stand-in for a cross-encoder: the share of a query's different terms that the chunk has."""
+    a, b = F.array_distinct(tokens(query_text)), F.array_distinct(tokens(chunk_text))
+    return F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)), 6)
+
+
+@dataclass(frozen=True)
+class Store:
+    """What a search reads. chunks: chunk_id, kind, org_id, text; index: over the chunks' texts; vectors: chunk_id,
+    embedding; neighbours: seed, dst, ord."""
+
+    chunks: DataFrame
+    index: Index
+    vectors: DataFrame
+    neighbours: DataFrame
+
+
+def store_search(store: Store, queries: DataFrame, vectors: DataFrame | None, org: str, k: int, kinds: list[str] | None = None, excluded: list[str] | None = None, rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank of hybrid search; tenant and kind filters hold in both legs, before ranking.
+    vectors: query_id, q; without any the lexical leg alone is fused."""
+    seen = visible(store.chunks, org)
+    seen = seen.where(F.col("kind").isin(kinds)) if kinds else seen
+    seen = (seen.where(~F.col("kind").isin(excluded)) if excluded else seen).select("chunk_id")
+    depth = max(3 * k, 30)
+    legs = [top_k(bm25(store.index, queries, within=seen), ["query_id"], "score", ["chunk_id"], depth)]
+    if vectors is not None:
+        legs.append(dense_top(store.vectors.join(seen, "chunk_id", "left_semi"), vectors, "chunk_id", depth))
+    return top_k(rrf(legs, "chunk_id", rrf_k), ["query_id"], "score", ["chunk_id"], k)
+
+
+def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: str, cfg: RetrieverConfig = RetrieverConfig(), scorer: Callable[[Column, Column], Column] | None = overlap, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, DataFrame]:
+    """(query_id, chunk_id, final, origin, position; one row of stats for each query) of a batch of questions.
+
+    queries: query_id, variant_id, text; vectors: query_id, variant_id, q. Recall for each variant is fused over the
+    variants, the seeds are scored against every variant by `scorer`, thresholded, given slots, followed by what they
+    cite, and, with faq_mode `separate`, by FAQ cases found for variant 0. Without a scorer the fused order decides.
+    keep(df, name) may store a table that several later stages read.
+    """
+    v = keep(clean_variants(queries), "variants")
+    apart = cfg.faq_mode == "separate"
+    pair = F.struct("query_id", "variant_id").alias("query_id")
+    asked = v.select(pair, "text")
+    meant = vectors.join(v.select("query_id", "variant_id"), ["query_id", "variant_id"], "left_semi").select(pair, "q") if vectors is not None else None
+    hits = store_search(store, asked, meant, org, cfg.search_top_k, excluded=["faq"] if apart else None)
+    hits = keep(hits.select("query_id.query_id", "query_id.variant_id", "chunk_id", "rank"), "hits")
+    seeds = keep(fuse_variants(hits, cfg, "chunk_id"), "seeds")
+    near = store.neighbours.join(visible(store.chunks, org).select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
+    if scorer is None:
+        kept = seeds.where(F.col("rank") <= cfg.top_k).select("query_id", "chunk_id", F.col("score").alias("final"), F.col("rank").alias("position"))
+    else:
+        texts = store.chunks.select("chunk_id", F.substring("text", 1, cfg.rerank_chars).alias("_chunk"))
+        pairs = seeds.select("query_id", "chunk_id").join(texts, "chunk_id").join(v, "query_id")
+        matrix = keep(pairs.select("query_id", "variant_id", "chunk_id", scorer(F.col("text"), F.col("_chunk")).alias("score")), "matrix")
+        kept = slots(matrix, passing(rerank(matrix, "chunk_id", cfg.rank_by), cfg.threshold, "chunk_id"), "chunk_id", cfg)
+    kept = keep(kept, "kept")
+    out = carry_neighbours(kept, near, "chunk_id", cfg)
+    if apart and cfg.faq_k > 0:
+        first = asked.where("query_id.variant_id = 0").select("query_id.query_id", "text")
+        q0 = vectors.where("variant_id = 0").select("query_id", "q") if vectors is not None else None
+        out = append_faq(out, store_search(store, first, q0, org, cfg.faq_k, kinds=["faq"]), "chunk_id", cfg)
+    counts = out.groupBy("query_id").agg(F.count_if(F.col("origin") == "search").alias("kept"), F.count_if(F.col("origin") == "graph").alias("carried"), F.count_if(F.col("origin") == "faq").alias("faq"))
+    recalled = hits.groupBy("query_id").agg(F.countDistinct("chunk_id").alias("recalled")).join(seeds.groupBy("query_id").agg(F.count("*").alias("seeds")), "query_id")
+    stats = v.groupBy("query_id").agg(F.count("*").alias("queries")).join(recalled, "query_id", "left").join(counts, "query_id", "left").na.fill(0)
+    return out, stats

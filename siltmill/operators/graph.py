@@ -36,6 +36,19 @@ def next_edges(units: DataFrame, keys: list[str], order: list[str], unit: str, n
     return units.select(F.col(unit).alias("src"), F.lead(unit).over(w).alias("dst"), step.alias("_ok")).where("_ok").drop("_ok")
 
 
+def successors(df: DataFrame, keys: list[str], order: str, block: int) -> DataFrame:
+    """seed, dst: each value of the integer `order` and the next one of the same keys.
+
+    Rows are numbered within blocks of `block` values, and blocks are joined by their ends, so a key that holds most
+    rows is not one task.
+    """
+    b = df.select(*keys, F.col(order).alias("seed"), F.floor(F.col(order) / block).alias("_b"))
+    inside = b.withColumn("dst", F.lead("seed").over(Window.partitionBy(*keys, "_b").orderBy("seed"))).where("dst is not null").select("seed", "dst")
+    ends = b.groupBy(*keys, "_b").agg(F.max("seed").alias("seed"), F.min("seed").alias("_first"))
+    over = ends.withColumn("dst", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_b"))).where("dst is not null").select("seed", "dst")
+    return inside.unionByName(over)
+
+
 def both_ways(next_section: DataFrame) -> DataFrame:
     """Two ADJACENT_SECTION edges, next and previous, for each reading-order edge."""
     fwd = next_section.select("src", "dst", F.lit("next").alias("direction"))

@@ -1,17 +1,25 @@
 """Lexical, dense and hybrid retrieval over batches of queries.
 
 Every stage is keyed by the query's id, so one query and ten thousand take the same plan. Documents are ranked on ids
-and hydrated last. The query side is broadcast only while it has at most BROADCAST_ROWS rows.
+and hydrated last. Texts are tokenised once, into postings; a saved index is sorted by term, so that a search reads the
+parts of the files that hold its terms. A side is broadcast only while its measured bytes or rows are below a bound.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import tokens
 
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 500_000  # of terms and ids
+QUERY_BYTES = 64 << 20  # of query vectors that every task holds
 
 
 def small(df: DataFrame, rows: int | None) -> DataFrame:
@@ -25,57 +33,87 @@ def top_k(df: DataFrame, keys: list[str], score: str, ties: list[str], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
-def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row: n documents, average length in tokens."""
-    return docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text)))).alias("avg_len"))
-
-
 def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
     """key, term, qtf: the terms of each query and how often it has them."""
     return queries.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, key: str = "doc_id", text: str = "text", term_rows: int | None = None) -> DataFrame:
-    """key, term, tf, doc_len; with `terms` only those terms, filtered before the shuffle."""
-    t = tokens(F.col(text))
-    rows = docs.select(key, t.alias("_t")).select(key, F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
-    if terms is not None:
-        rows = rows.join(small(terms, term_rows), "term", "left_semi")
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, term, tf, doc_len. The empty term stands once for each document, also one without terms."""
+    rows = docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("doc_len"), F.explode(F.array_append("_t", F.lit(""))).alias("term"))
     return rows.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """Postings (key, term, tf, doc_len), vocabulary (term, df) and stats (one row: n_docs, avg_len) of a collection."""
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    stats: DataFrame
+    key: str
+
+
+def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+    """The index of docs as a plan; nothing is written."""
+    return _index(postings(docs, key, text), None, key)
+
+
+def _index(p: DataFrame, vocabulary: DataFrame | None, key: str) -> Index:
+    stats = p.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
+    return Index(p.where("term <> ''"), vocabulary if vocabulary is not None else p.where("term <> ''").groupBy("term").agg(F.count("*").alias("df")), stats, key)
+
+
+def save_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> None:
+    """Writes postings, in files of term ranges, and the vocabulary; texts are read and tokenised once."""
+    postings(docs, key, text).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings")
+    p = docs.sparkSession.read.parquet(f"{folder}/postings")
+    p.where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/vocabulary")
+
+
+def open_index(spark: SparkSession, folder: str, key: str = "doc_id") -> Index:
+    return _index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocabulary"), key)
+
+
 def saturation(tf: Column, length: Column, average: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, variant: str = "sparse", key: str = "doc_id", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(docs: DataFrame | Index, queries: DataFrame, variant: str = "sparse", key: str = "doc_id", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25, within: DataFrame | None = None) -> DataFrame:
     """query_id, key, score (6 decimals) of documents that share a term with a query.
 
     sparse: k1 1.2, weights rounded to 5 decimals, each different query term once, idf ln(1 + (N-n+.5)/(n+.5)).
     okapi: k1 1.5, query terms count as often as they occur, idf ln((N-n+.5)/(n+.5)) with negative values replaced by
-    epsilon times the mean idf of the vocabulary.
+    epsilon times the mean idf of the vocabulary. within: keys that may be found (statistics stay the collection's).
     """
+    index = docs if isinstance(docs, Index) else index_of(docs, key)
     k1 = k1 if k1 is not None else 1.2 if variant == "sparse" else 1.5
     q = query_terms(queries)
     rows = q.count()
-    stats = F.broadcast(corpus_stats(docs))  # one row
-    wanted = q.select("term").distinct() if variant == "sparse" else None
-    p = postings(docs, wanted, key, term_rows=rows)
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
+    stats = F.broadcast(index.stats)  # one row
     n, d = F.col("n_docs"), F.col("df")
+    found = index.vocabulary.join(small(q.select("term").distinct(), rows), "term", "left_semi")
     if variant == "sparse":
-        df = df.crossJoin(stats).select("term", "n_docs", "avg_len", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))
+        idf = found.crossJoin(stats).select("term", "avg_len", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))
     else:
-        raw = df.crossJoin(stats).select("term", "n_docs", "avg_len", F.log((n - d + 0.5) / (d + 0.5)).alias("raw"))
-        mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
-        df = raw.crossJoin(mean).select("term", "n_docs", "avg_len", F.when(F.col("raw") < 0, epsilon * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+        raw = F.log((n - d + 0.5) / (d + 0.5))
+        mean = F.broadcast(index.vocabulary.crossJoin(stats).agg(F.avg(raw).alias("mean")))  # one row
+        idf = found.crossJoin(stats).crossJoin(mean).select("term", "avg_len", F.when(raw < 0, epsilon * F.col("mean")).otherwise(raw).alias("idf"))
     weight = saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len"), k1, b)
-    if variant == "sparse":
-        part = F.col("idf") * F.round(weight, 5)
-    else:
-        part = F.col("qtf") * F.col("idf") * weight
-    wq = small(q.join(df, "term"), rows)
-    return p.join(wq, "term").groupBy("query_id", key).agg(F.round(F.sum(part), 6).alias("score"))
+    part = F.col("idf") * F.round(weight, 5) if variant == "sparse" else F.col("qtf") * F.col("idf") * weight
+    p = index.postings if within is None else index.postings.join(within.select(index.key), index.key, "left_semi")
+    return p.join(small(q.join(idf, "term"), rows), "term").groupBy("query_id", index.key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def filled_top(scores: DataFrame, items: DataFrame, queries: DataFrame, key: str, k: int, digits: int = 4) -> DataFrame:
+    """query_id, key, score, rank: the k best rows of non-negative scores; where fewer than k are above zero, items of
+    score zero fill up by key. Such a query needs no other items than the 2 k that sort first."""
+    scored = scores.withColumn("score", F.round("score", digits)).where("score > 0")
+    n = scored.groupBy("query_id").agg(F.count("*").alias("_n"))
+    short = queries.select("query_id").distinct().join(n, "query_id", "left").where(F.coalesce("_n", F.lit(0)) < k).select("query_id")
+    first = F.broadcast(items.select(key).orderBy(key).limit(2 * k))
+    zeros = short.crossJoin(first).join(scored, ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(scored.unionByName(zeros.select(scored.columns)), ["query_id"], "score", [key], k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -96,6 +134,35 @@ def dense(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_row
     return unit.crossJoin(small(q, query_rows)).select("query_id", key, F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("score"))
 
 
+def dense_top(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
+    """query_id, key, score, rank: the k nearest vectors (key, embedding) of each query (query_id, q) by cosine.
+
+    Each Arrow batch of vectors meets all queries in one matrix product and keeps k for each query, so pairs are never
+    rows. Queries of more than QUERY_BYTES go through `dense` instead, with the same result.
+    """
+    size, n = queries.agg(F.sum(F.size("q") * 8), F.count("*")).first()
+    if not n or size > QUERY_BYTES:
+        return top_k(dense(vectors, queries, key), ["query_id"], "score", [key], k)
+    held = queries.select("query_id", "q").collect()
+    ids = queries.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(held)], StructType([StructField("_i", IntegerType()), queries.schema["query_id"]]))
+    q = np.array([r["q"] for r in held], "f8")
+    q /= np.maximum(np.sqrt((q * q).sum(axis=1)), 1e-9)[:, None]
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                v = np.stack(pdf["embedding"].map(np.asarray).to_list()).astype("f8")
+                v /= np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-9)[:, None]
+                score = np.round(q @ v.T, 6) + 0.0
+                order = pdf[key].argsort(kind="stable").to_numpy()
+                best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]  # ties: the smaller key
+                yield pd.DataFrame({"_i": np.repeat(np.arange(len(q)), best.shape[1]), key: pdf[key].to_numpy()[best.ravel()], "score": np.take_along_axis(score, best, axis=1).ravel()})
+
+    rows = vectors.select(key, "embedding").mapInPandas(search, f"_i int, {key} {dict(vectors.dtypes)[key]}, score double")
+    best = top_k(rows, ["_i"], "score", [key], k)
+    return best.join(F.broadcast(ids), "_i").select("query_id", key, "score", "rank")
+
+
 def rrf(legs: list[DataFrame], key: str, k: int = 60, by: str = "query_id", weights: list[float] | None = None) -> DataFrame:
     """by, key, score (8 decimals): sum of weight / (k + rank) over the ranked legs (by, key, rank)."""
     rows = None

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import retrieval
 from ..operators.graph import next_edges
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +30,43 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+_INDEXES: dict[tuple, str] = {}
+
+
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A new folder below spark.checkpoint.dir; where that is empty, on a local master only, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _INDEXES.setdefault(("scratch", spark.sparkContext.applicationId), "file://" + tempfile.mkdtemp(prefix="siltmill-"))
+    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """df as a written table below the scratch folder: later stages read it, and lost executors cost nothing."""
+    path = scratch(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def lexical_index(df: DataFrame, name: str, key: str) -> retrieval.Index:
+    """The saved index of df (key, text), built when it is first asked for in an application; files that change (names,
+    lengths or times) get a new one."""
+    spark = df.sparkSession
+    hadoop, at = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    state = []
+    for f in sorted(df.inputFiles()):
+        status = at(f).getFileSystem(hadoop).getFileStatus(at(f))
+        state.append((f, status.getLen(), status.getModificationTime()))
+    known = (spark.sparkContext.applicationId, name, key, tuple(state))
+    if known not in _INDEXES:
+        folder = scratch(spark, f"index-{name}")
+        retrieval.save_index(df, folder, key)
+        _INDEXES[known] = folder
+    return retrieval.open_index(spark, _INDEXES[known], key)
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     """documents with tenant and title: src0 to src2 are public, the other sources are tenants."""
     org = F.when(F.col("source").isin("src0", "src1", "src2"), "PUBLIC").otherwise(F.upper("source"))
