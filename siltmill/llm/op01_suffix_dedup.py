@@ -190,42 +190,62 @@ def collapsed(segments: DataFrame) -> DataFrame:
     return segments.groupBy("name").agg(*least, F.least(F.sum("n"), F.lit(2)).cast("int").alias("n"), F.min("shard").alias("s0"), F.max("shard").alias("s1"))
 
 
-def narrower(width: int, length: int):
-    """Cuts segments into runs of at most `width` windows by distance from the anchor. All windows of such a run share
-    length - width + 1 bytes, which become the new key."""
+def runs_of(windows: int, q: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """(number, farthest, nearest distance from the anchor) of the runs of at most `width` windows of a segment."""
+    for r in range(max(0, q - windows + 1) // width, q // width + 1):
+        yield r, min(q, (r + 1) * width - 1), max(r * width, q - windows + 1)
+
+
+def marks(width: int, length: int):
+    """name, run, narrow (key of the run), n: all windows of a run share length - width + 1 bytes, which make its key."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for b in batches:
                 for name, key, q, piece, n in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                    windows = len(piece) - length + 1
-                    for r in range(max(0, q - windows + 1) // width, q // width + 1):
-                        far, near = min(q, (r + 1) * width - 1), max(r * width, q - windows + 1)  # distances from the anchor
-                        part = piece[q - far : q - near + length]
+                    for r, _, _ in runs_of(len(piece) - length + 1, q, width):
                         common = piece[q - r * width : q - (r + 1) * width + 1 + length]
-                        new = int.from_bytes(hashlib.blake2b(common, digest_size=8, key=f"{key} {r} {width}".encode()).digest(), "little", signed=True)
-                        own = hashlib.md5(b"%d %d " % (far, new) + part).digest()
-                        yield len(part), (own, new, far, part, n, name[0] % SHARDS, name, q - far)
+                        narrow = hashlib.blake2b(common, digest_size=8, key=f"{key} {r} {width}".encode()).digest()
+                        yield 0, (name, r, int.from_bytes(narrow, "little", signed=True), n)
+
+        yield from in_batches(rows(), {"name": pa.binary(), "run": pa.int32(), "narrow": pa.int64(), "n": pa.int32()})
+
+    return emit
+
+
+def narrower(width: int, length: int):
+    """The wanted runs of segments as segments of their own, with their parent and their place in it."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for b in batches:
+                for name, q, piece, n, wanted in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    keys = {w["run"]: w["narrow"] for w in wanted}
+                    for r, far, near in runs_of(len(piece) - length + 1, q, width):
+                        if r in keys:
+                            part = piece[q - far : q - near + length]
+                            own = hashlib.md5(b"%d %d " % (far, keys[r]) + part).digest()
+                            yield len(part), (own, keys[r], far, part, n, name[0] % SHARDS, name, q - far)
 
         yield from in_batches(rows(), _FIELDS | {"parent": pa.binary(), "shift": pa.int32()})
 
     return emit
 
 
-def repeated_in_segments(rows: DataFrame, length: int, bucket_rows: int, width: int, whole: bool = True) -> DataFrame:
-    """name, a, b: runs of repeated windows of collapsed segments (a written table). whole: each key has two or more.
+def repeated_in_segments(rows: DataFrame, length: int, bucket_rows: int, width: int) -> DataFrame:
+    """name, a, b: runs of repeated windows of collapsed segments (a written table; each key has two places or more).
 
-    Keys fall into buckets of about bucket_rows segments. A key of more segments than that is split: its segments are cut
-    into narrower runs of windows, keyed by more of the bytes that they share, and solved in the same way. Runs of one
-    window are equal where their keys are, so the splitting ends with tasks of bounded size.
+    Keys fall into buckets of about bucket_rows segments. A key of more than twice that is split: its segments fall into
+    narrower runs of windows, keyed by more of the bytes that they share; runs whose key occurs once are dropped before
+    any bytes move, the others are solved in the same way. Runs of one window are equal where their keys are, so the
+    splitting ends with tasks of bounded size.
     """
-    counts = stored(rows.groupBy("key").agg(F.sum("n").alias("rows")).where("rows > 1"), "segment-counts")
+    counts = stored(rows.groupBy("key").agg(F.sum("n").alias("rows")), "segment-counts")
     total, most = counts.agg(F.sum("rows"), F.max("rows")).first()
     buckets = max(1, math.ceil((total or 0) / bucket_rows))
-    split = (most or 0) > bucket_rows and width > 1
-    large = counts.where(F.col("rows") > bucket_rows).select("key")  # at most one for each bucket
-    small = rows if whole else rows.join(counts.select("key"), "key", "left_semi")
-    small = small.join(large, "key", "left_anti") if split else small
+    split = (most or 0) > 2 * bucket_rows and width > 1
+    large = counts.where(F.col("rows") > 2 * bucket_rows).select("key")  # less than one for each bucket
+    small = rows.join(large, "key", "left_anti") if split else rows
     entries = small.select("name", "key", "q", "piece", F.explode(F.when(F.col("n") > 1, F.array("s0", "s1")).otherwise(F.array("s0"))).alias("shard"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,18 +258,22 @@ def repeated_in_segments(rows: DataFrame, length: int, bucket_rows: int, width:
         return hits
     heavy = rows.join(large, "key", "left_semi").select("name", "key", "q", "piece", "n")
     less = max(1, width // 8)
-    cut = heavy.mapInArrow(narrower(less, length), f"{SEGMENT}, parent binary, shift int")
-    parts = stored(collapsed(cut), "narrower-segments")
-    inside = stored(repeated_in_segments(parts, length, bucket_rows, less, whole=False), "narrower-windows")
+    marked = stored(heavy.mapInArrow(marks(less, length), "name binary, run int, narrow long, n int"), "narrower-keys")
+    shared = stored(marked.groupBy("narrow").agg(F.sum("n").alias("n")).where("n > 1").select("narrow"), "shared-narrower-keys")
+    wanted = marked.join(shared, "narrow").groupBy("name").agg(F.collect_list(F.struct("run", "narrow")).alias("wanted"))
+    cut = heavy.join(wanted, "name").select("name", "q", "piece", "n", "wanted").mapInArrow(narrower(less, length), f"{SEGMENT}, parent binary, shift int")
+    cut = stored(cut, "narrower-segments")
+    parts = stored(collapsed(cut), "different-narrower-segments")
+    inside = stored(repeated_in_segments(parts, length, bucket_rows, less), "narrower-windows")
     parents = cut.select("name", "parent", "shift").join(inside, "name").select(F.col("parent").alias("name"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
     return hits.unionByName(parents)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, bucket_rows: int = 8192) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, bucket_rows: int = 16_384) -> DataFrame:
     """digest, n_bytes, spans (array of start, end: maximal removed runs), kept (the other bytes) of each different text
     that has any.
 
-    One task solves about bucket_rows segments of at most 2 * length bytes. Equal segments are one row before they are
+    One task solves about bucket_rows segments, three times that at most, of at most 2 * length bytes. Equal segments are one row before they are
     shuffled, however many rows share them; it enters the merge from the first and the last shard that hold it. Only
     texts that share an anchor with another place are stored and cut.
     """
@@ -275,7 +299,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, bucket_rows: int = 8192)
         return pa.RecordBatch.from_arrays([keys, *columns], ["digest", "anchor", "first", "last", "at"])
 
     found = stored(long.mapInArrow(anchors, "digest binary, anchor long, first int, last int, at int"), "anchors")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    shared = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
     marked = found.join(shared, "anchor").groupBy("digest").agg(F.collect_set(F.struct("first", "last", "at", "anchor")).alias("cuts"))
     texts = long.groupBy("digest").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"))
     cut = stored(texts.join(marked, "digest"), "texts-with-shared-anchors")

@@ -121,7 +121,7 @@ def test_op1_splits_a_passage_in_many_contexts(spark, monkeypatch):
     rows = [noise(r.randint(0, 50)) + passage + r.choice(tails) + noise(r.randint(0, 30)) for _ in range(60)] + [noise(30) + passage] * 3 + ["y" * 200 + noise(9) for _ in range(20)]
     d = docs(spark, *rows)
     whole = op1.repeated_spans
-    monkeypatch.setattr(op1, "repeated_spans", lambda docs, length: whole(docs, length, bucket_rows=5))
+    monkeypatch.setattr(op1, "repeated_spans", lambda docs, length: whole(docs, length, bucket_rows=2))
     monkeypatch.setattr(op1, "BLOCK", 70)
     assert [tuple(x)[1:] for x in op1.remove_repeats(d, 64).orderBy("doc_id").collect()] == brute_repeats(rows, 64)
 
