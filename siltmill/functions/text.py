@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,30 +90,107 @@ def cited_units(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(to_arabic(c), F.lit(r"((?:มาตรา|ข้อ)\s*\d+)"), F.lit(1)), lambda x: F.regexp_replace(x, r"\s+", " ")))
 
 
-def hierarchy_multiplier(title: Column) -> Column:
-    """Weight of a source by its rank: forms and annexes less, enacted law more."""
-    return F.when(title.rlike("แบบฟอร์ม|ภาคผนวก|form"), 0.75).when(title.rlike("พระราชบัญญัติ|กฎกระทรวง|ระเบียบ|act"), 1.25).otherwise(1.0)
+# Words of forms (weight 0.75) and of enacted law (1.25).
+FORMS = ["แบบสัญญา", "แบบฟอร์ม", "สัญญาสำเร็จรูป", "ตัวอย่างสัญญา"]
+LAW = ["พระราชบัญญัติ", "ระเบียบกระทรวงการคลัง", "กฎกระทรวง", "ประกาศคณะกรรมการ"]
+#: Fixed value: a regulation of this year is repealed.
+REPEALED = "2535"
+
+
+def any_of(c: Column, words: list[str]) -> Column:
+    return reduce(lambda x, y: x | y, [F.contains(c, F.lit(w)) for w in words])
+
+
+def hierarchy_multiplier(title: Column, entry: Column | None = None, text: Column | None = None) -> Column:
+    """Weight of a source by its rank, from its title, entry and first 300 characters: forms less, enacted law more."""
+    parts = [title, *([entry] if entry is not None else []), *([F.substring(text, 1, 300)] if text is not None else [])]
+    c = F.lower(F.concat_ws(" ", *parts))
+    return F.when(any_of(c, FORMS), 0.75).when(any_of(c, LAW), 1.25).otherwise(1.0)
+
+
+def marked_year(c: Column) -> Column:
+    """A year 25xx after its mark or as a number of its own; null when there is none."""
+    return F.nullif(F.regexp_extract(c, r"(?:พ\.ศ\.|ปี|(?<![\p{L}\p{N}_]))(25\d\d)(?![\p{L}\p{N}_])", 1), F.lit("")).cast("int")
 
 
 def recency_boost(year: Column, newest: Column, floor_year: int = 2560) -> Column:
     """0 for superseded years, else 1.30 less 0.02 a year of age, at least 1.05; 1 for an unknown year."""
-    return F.when(year.isNull(), 1.0).when(year < floor_year, 0.0).otherwise(F.greatest(F.lit(1.05), 1.30 - 0.02 * (newest - year)))
+    age = F.greatest(F.lit(0), newest - year)
+    return F.when(year.isNull(), 1.0).when(year < floor_year, 0.0).otherwise(F.greatest(F.lit(1.05), 1.30 - 0.02 * age))
+
+
+def source_boost(title: Column, entry: Column, text: Column, newest: Column) -> Column:
+    """Rank times recency; a repealed regulation has 0. The year is the title's or entry's, else that of the first 400
+    characters."""
+    year = F.coalesce(marked_year(F.concat_ws(" ", title, entry)), marked_year(F.substring(text, 1, 400)))
+    gone = F.contains(title, F.lit(REPEALED)) | F.contains(entry, F.lit(REPEALED))
+    return F.when(gone, 0.0).otherwise(hierarchy_multiplier(title, entry, text) * recency_boost(year, newest))
+
+
+def newest_year(title: Column, entry: Column) -> Column:
+    """Aggregate: the newest year from 2500 to 2650 among the candidates; 2569 without any."""
+    y = marked_year(F.concat_ws(" ", title, entry))
+    return F.coalesce(F.max(F.when(y.between(2500, 2650), y)), F.lit(2569))
+
+
+# What a question's words add to it, in this order.
+EXPANSIONS = [
+    (["made in thailand", "mit", "ผลิตในประเทศ", "ผลิตภายในประเทศ", "สินค้าไทย"], ["พัสดุที่ผลิตภายในประเทศ", "ส่งเสริมหรือสนับสนุน", "แต้มต่อ"]),
+    (["ลงนาม", "ทำสัญญา", "ชนะการเสนอราคา", "ผู้ชนะ"], ["การทำสัญญา", "การลงนามในสัญญา", "การอุทธรณ์"]),
+    (["e-market", "ตลาดอิเล็กทรอนิกส์"], ["การจัดซื้อจัดจ้าง", "วิธีตลาดอิเล็กทรอนิกส์", "e-catalog"]),
+    (["ปรับ", "ล่าช้า", "ไม่ปฏิบัติตามสัญญา", "ทิ้งงาน"], ["อัตราค่าปรับ", "การคิดค่าปรับ", "ค่าปรับรายวัน"]),
+    (["บอกเลิก", "เลิกสัญญา"], ["การบอกเลิกสัญญา", "การแก้ไขสัญญา", "สัญญาสิ้นสุด"]),
+    (["คัดเลือก", "เชิญชวน"], ["วิธีคัดเลือก", "หนังสือเชิญชวน"]),
+    (["คณะกรรมการ", "แต่งตั้ง", "ประธาน", "องค์ประกอบ"], ["คณะกรรมการซื้อหรือจ้าง", "การแต่งตั้งคณะกรรมการ", "ประธานกรรมการ"]),
+    (["ราคากลาง", "factor f", "ดอกเบี้ย"], ["หลักเกณฑ์ราคากลาง", "อัตราดอกเบี้ย", "การคำนวณราคากลาง"]),
+    (["กี่", "เท่าใด", "เท่าไหร่", "ร้อยละ", "เปอร์เซ็นต์", "%", "บาท", "วงเงิน", "อัตรา", "สัดส่วน", "วันทำการ", "กำหนดเวลา", "ปัดเศษ", "ไม่เกิน", "ไม่น้อยกว่า", "ขั้นต่ำ", "สูงสุด"], ["เกณฑ์", "อัตรา", "หลักเกณฑ์", "กำหนดไว้"]),
+    (["tor", "ขอบเขตของงาน", "สเปก", "สเปค", "ยี่ห้อ"], ["คุณลักษณะเฉพาะ", "การกำหนดคุณลักษณะเฉพาะ"]),
+]
+
+
+def expand_query(c: Column) -> Column:
+    """The question followed by the terms that its words call for, each once."""
+    none = F.array().cast("array<string>")
+    added = F.array_distinct(F.concat(*[F.when(any_of(F.lower(c), words), F.array(*map(F.lit, terms))).otherwise(none) for words, terms in EXPANSIONS]))
+    return F.when(F.size(added) > 0, F.concat(c, F.lit(" "), F.array_join(added, " "))).otherwise(c)
+
+
+# Tags that evidence matching looks through, named entities, and signs that don't count.
+EVIDENCE_TAGS = "table thead tbody tr td th br p b i u strong em span div ul ol li".split()
+ENTITIES = [("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+IGNORED = "|#*`\"'“”‘’"
 
 
 def normal_evidence(c: Column) -> Column:
-    """Text for evidence matching: no tags, Arabic digits, word characters only, lower case."""
-    return F.lower(F.regexp_replace(to_arabic(F.regexp_replace(c, r"<[^>]*>", " ")), r"[^\p{L}\p{N}]+", ""))
+    """Text for evidence matching: without markup tags, white space, quotes and table signs; entities read (the named ones
+    of ENTITIES), digits Arabic, lower case. Vowel and tone marks and all other signs count."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?i)</?(?:{'|'.join(EVIDENCE_TAGS)})(?:\s[^>]*)?/?>", " ")
+    for name, char in ENTITIES:
+        t = F.replace(t, F.lit(name), F.lit(char))
+    return F.lower(F.regexp_replace(to_arabic(t), rf"[\s\u00a0{re.escape(IGNORED)}]+", ""))
+
+
+def doc_key(c: Column) -> Column:
+    """What a path and a title of one document share: the file's name without its ending, as evidence text."""
+    name = F.element_at(F.split(F.replace(F.coalesce(c, F.lit("")), F.lit("\\"), F.lit("/")), "/"), -1)
+    return normal_evidence(F.regexp_replace(name, r"(?i)\.md$", ""))
+
+
+def same_document(expected: Column, found: Column, least: int = 20) -> Column:
+    """Document keys agree: the found one holds the expected one; the other way round only from `least` characters."""
+    return (expected != "") & (found != "") & (F.contains(found, expected) | ((F.length(found) >= least) & F.contains(expected, found)))
 
 
-def same_document(a: Column, b: Column, least: int = 20) -> Column:
-    """Either key holds the other; the reverse way only for long keys."""
-    return F.contains(a, b) | (F.contains(b, a) & (F.length(a) >= least))
+# Amounts in words.
+AMOUNTS = {"หนึ่งแสน": 100_000, "ห้าแสน": 500_000, "หนึ่งล้าน": 1_000_000, "สองล้าน": 2_000_000, "ห้าล้าน": 5_000_000}
 
 
 def baht_ceilings(c: Column) -> Column:
-    """Amounts of `not more than N baht` with five characters or more, as numbers."""
-    found = F.regexp_extract_all(to_arabic(c), F.lit(r"ไม่เกิน\s*([\d,]{5,})\s*บาท"), F.lit(1))
-    return F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")).cast("long"))
+    """Different amounts of `not more than (a budget of) N baht`, in digits (five characters or more) or in words."""
+    t, lead = to_arabic(c), r"ไม่เกิน\s*(?:วงเงิน\s*)?"
+    digits = F.transform(F.regexp_extract_all(t, F.lit(lead + r"([\d,]{5,})\s*บาท"), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("long"))
+    words = F.array(*[F.when(F.regexp_like(t, F.lit(f"{lead}{w}บาท")), F.lit(n).cast("long")) for w, n in AMOUNTS.items()])
+    return F.array_sort(F.filter(F.array_union(digits, words), lambda x: x.isNotNull()))
 
 
 def money(c: Column) -> Column:

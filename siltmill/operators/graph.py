@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..session import PUBLIC, visible
 
 
 def heads(units: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -86,17 +91,44 @@ def related(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select("seed", "dst", F.lit(k).alias("relation")) for k, df in parts.items()])
 
 
-def link_titles(cases: DataFrame, documents: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
-    """case_id, doc_id where the case's text holds the document's whole title.
+def link_titles(cases: DataFrame, documents: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+    """case_id, doc_id where the case's text (text) holds the document's whole title (title), for each row of both.
 
-    `contains` has no join key; titles are broadcast up to `most` rows. Beyond that, titles meet texts over the title's
-    first word, which any text that holds the title also holds.
+    Blank titles match nothing. Titles are dealt by hash into blocks of about block_bytes; a block is one automaton that
+    each task builds and runs over its texts in one pass, so no pair of text and title is ever a row unless it matches.
     """
-    hit = F.contains("text", "title")
-    if rows <= most:
-        return cases.join(F.broadcast(documents.select("doc_id", "title")), hit).select("case_id", "doc_id")
-    word = lambda c: F.regexp_extract(c, r"([\p{L}\p{N}_]+)", 1)
-    t = documents.select("doc_id", "title", word(F.col("title")).alias("_w"))
-    c = cases.select("case_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1)))).alias("_w"))
-    exact = c.join(t.where("_w <> ''"), "_w").where(hit)
-    return exact.select("case_id", "doc_id").distinct()
+    titles = documents.where("trim(title) <> ''").select("doc_id", "title")
+    blocks = max(1, -(-(titles.agg(F.sum(F.octet_length("title") + 16)).first()[0] or 0) // block_bytes))
+    dealt = titles.withColumn("_b", F.pmod(F.xxhash64("title"), F.lit(blocks)))
+    schema = StructType([cases.schema["case_id"], documents.schema["doc_id"]])
+
+    def search(held: list[tuple]):
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            ids: dict[str, list] = {}
+            for doc, title in held:
+                ids.setdefault(title, []).append(doc)
+            machine = ahocorasick.Automaton()
+            for title in ids:
+                machine.add_word(title, title)
+            machine.make_automaton()
+            for pdf in parts:
+                rows = [(case, doc) for case, text in zip(pdf["case_id"], pdf["text"]) if text for title in {t for _, t in machine.iter(text)} for doc in ids[title]]
+                yield pd.DataFrame(rows, columns=["case_id", "doc_id"])
+
+        return run
+
+    found = None
+    for b in range(blocks):
+        held = [tuple(r) for r in dealt.where(F.col("_b") == b).select("doc_id", "title").collect()]  # one block
+        part = cases.select("case_id", "text").mapInPandas(search(held), schema) if held else cases.sparkSession.createDataFrame([], schema)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def related_cases(links: DataFrame, cases: DataFrame, org: str, preview: int = 80) -> DataFrame:
+    """chunk, case_id, question of FAQ cases (case_id, org_id or null for public, question) that relate to a chunk (links:
+    case_id, chunk) and that the tenant may read."""
+    open_ = cases.withColumn("org_id", F.coalesce("org_id", F.lit(PUBLIC)))
+    return links.join(visible(open_, org), "case_id").select("chunk", "case_id", F.substring("question", 1, preview).alias("question"))

@@ -1,53 +1,80 @@
-"""Relevance of a retrieved entry to an expected document and section, as Column expressions."""
+"""Relevance of a retrieved entry to an expected document and section, as Column expressions.
+
+Both sides are reduced to keys (whole text, mentioned units by kind, title) and the keys are compared.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import to_arabic
 
-# The label of a whole document, words without meaning of their own, titles known by their year.
+# The label of a whole document; words without meaning of their own; titles known by first word and year.
 WHOLE = "ทั้งฉบับ"
-NOISE = r"(ประกาศ|แบบสัญญา|เรื่อง|หลักเกณฑ์|ระเบียบฯ|ระเบียบ|พ\.ร\.บ\.|พรบ|กฎกระทรวง|ข้อ|มาตรา)"
-KNOWN = r"(พระราชบัญญัติ[^\n|]+?2560|ระเบียบกระทรวงการคลัง[^\n|]+?2560|กฎกระทรวง[^\n|]+?2561|กฎกระทรวง[^\n|]+?2563|ข้อตกลงคุณธรรม)"
+EMPTY_WORDS = ["ประกาศ", "แบบสัญญา", "เรื่อง", "หลักเกณฑ์", "ระเบียบฯ", "ระเบียบ", "พ.ร.บ.", "พรบ", "กฎกระทรวง", "ข้อ", "มาตรา"]
+KNOWN_TITLES = [("พระราชบัญญัติ", "2560"), ("ระเบียบกระทรวงการคลัง", "2560"), ("กฎกระทรวง", "2561"), ("กฎกระทรวง", "2563"), ("ข้อตกลงคุณธรรม", "")]
+SECTION_WORDS, CLAUSE_WORD, CHAPTER_WORD = ["มาตรา", "ม."], "ข้อ", "หมวด"
 
 
 def legal(c: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(to_arabic(F.coalesce(c, F.lit(""))), r"[+_]+", " "), r"\s+", " ")))
+    """Text with Arabic digits, plus and underscore as spaces, single spaces, lower case."""
+    spaced = F.translate(to_arabic(F.coalesce(c, F.lit(""))), "+_\t\n\r", "     ")
+    return F.lower(F.trim(F.regexp_replace(spaced, " +", " ")))
+
+
+def lined(c: Column) -> Column:
+    """As legal(), but lines stay apart."""
+    return F.lower(F.translate(to_arabic(F.coalesce(c, F.lit(""))), "+_\t", "   "))
 
 
 def base_name(path: Column) -> Column:
-    return F.regexp_replace(F.element_at(F.split(F.coalesce(path, F.lit("")), "/"), -1), r"(?i)\.md$", "")
+    name = F.element_at(F.split(F.coalesce(path, F.lit("")), "/"), -1)
+    return F.when(F.endswith(F.lower(name), F.lit(".md")), F.substring(name, F.lit(1), F.length(name) - 3)).otherwise(name)
+
+
+def sections_in(c: Column) -> Column:
+    """Numbers that directly follow a section word."""
+    words = "|".join(w.replace(".", "[.]") for w in SECTION_WORDS)
+    return F.regexp_extract_all(legal(c), F.lit(f"(?:{words}) *([0-9]+)"), F.lit(1))
 
 
-def _numbered(expected: Column, found: Column, lead: str, number: str, between: str) -> Column:
-    """A word and number of `expected` stands in `found`, perhaps with other words of the line between."""
-    n = F.regexp_extract(expected, number, 1)
-    return (n != "") & F.expr("true") & F.regexp_like(found, F.concat(F.lit(lead + between), n, F.lit(r"(?!\d)")))
+def numbers_after(c: Column, word: str) -> Column:
+    """All numbers on a line, up to a bar, after the word: `ข้อ 1 และ 7` names 1 and 7."""
+    rests = F.regexp_extract_all(lined(c), F.lit(f"{word}([^\\n|]*)"), F.lit(1))
+    return F.flatten(F.transform(rests, lambda r: F.regexp_extract_all(r, F.lit("([0-9]+)"), F.lit(1))))
+
+
+def number_of(c: Column, words: list[str]) -> Column:
+    """The number that directly follows the first of the words in an expected section; null without one."""
+    alternatives = "|".join(w.replace(".", "[.]") for w in words)
+    return F.nullif(F.regexp_extract(legal(c), f"(?:{alternatives}) *([0-9]+)", 1), F.lit(""))
+
+
+def _names(expected: Column, words: list[str], mentioned: Column) -> Column:
+    return F.coalesce(F.array_contains(mentioned, number_of(expected, words)), F.lit(False))
 
 
 def section_matches(expected: Column, candidate: Column) -> Column:
+    """One text holds the other, the candidate mentions the expected unit, or it holds what is left of the expected one
+    (four characters or more) without the words that mean nothing of their own."""
     e, c = legal(expected), legal(candidate)
-    core = F.trim(F.regexp_replace(e, NOISE, ""))
-    return (
-        (e != "")
-        & (c != "")
-        & (
-            F.contains(c, e)
-            | F.contains(e, c)
-            | _numbered(e, c, r"(?:มาตรา|ม\.)", r"(?:มาตรา|ม\.)\s*(\d+)", r"\s*")
-            | _numbered(e, c, "ข้อ", r"ข้อ\s*(\d+)", r"\s*(?:[^\n|]*?(?<!\d))?")
-            | _numbered(e, c, "หมวด", r"หมวด\s*(\d+)", r"\s*(?:[^\n|]*?(?<!\d))?")
-            | ((F.length(core) >= 4) & F.contains(c, core))
-        )
-    )
+    core = F.trim(reduce(lambda x, w: F.replace(x, F.lit(w), F.lit("")), EMPTY_WORDS, e))
+    same_unit = _names(expected, SECTION_WORDS, sections_in(candidate)) | _names(expected, [CLAUSE_WORD], numbers_after(candidate, CLAUSE_WORD)) | _names(expected, [CHAPTER_WORD], numbers_after(candidate, CHAPTER_WORD))
+    return (e != "") & (c != "") & (F.contains(c, e) | F.contains(e, c) | same_unit | ((F.length(core) >= 4) & F.contains(c, core)))
+
+
+def known_title(c: Column) -> Column:
+    """The part of a title from a known first word to its year; null without one."""
+    found = [F.nullif(F.regexp_extract(c, f"({word}[^|]+?{year})" if year else f"({word})", 1), F.lit("")) for word, year in KNOWN_TITLES]
+    return F.coalesce(*found)
 
 
 def document_matches(path: Column, candidate: Column) -> Column:
     b, c = legal(base_name(path)), legal(candidate)
-    known = F.regexp_extract(b, KNOWN, 1)
-    return (b != "") & (c != "") & (F.contains(c, b) | F.contains(b, c) | ((known != "") & F.contains(c, known)))
+    return (b != "") & (c != "") & (F.contains(c, b) | F.contains(b, c) | F.coalesce(F.contains(c, known_title(b)), F.lit(False)))
 
 
 def same_title(path: Column, title: Column) -> Column:
@@ -58,8 +85,8 @@ def same_title(path: Column, title: Column) -> Column:
 
 def unit_of(c: Column) -> Column:
     """`word number` of the first unit in the text; empty without one."""
-    r = r"(มาตรา|ข้อ)\s*(\d+)"
-    return F.when(F.regexp_like(legal(c), F.lit(r)), F.concat_ws(" ", F.regexp_extract(legal(c), r, 1), F.regexp_extract(legal(c), r, 2))).otherwise("")
+    found = F.regexp_extract(legal(c), f"((?:{SECTION_WORDS[0]}|{CLAUSE_WORD}) *[0-9]+)", 1)
+    return F.regexp_replace(found, "([^0-9 ]) *([0-9])", "$1 $2")
 
 
 def chunk_matches(path: Column, section: Column, entry: Column, body: Column) -> Column:
@@ -67,8 +94,9 @@ def chunk_matches(path: Column, section: Column, entry: Column, body: Column) ->
     chapters and bare items, the text; with no unit expected the document is enough. An unlabelled one matches by text."""
     title, label = F.substring_index(entry, "|", 1), F.substring(entry, F.instr(entry, "|") + 1, F.lit(1 << 20))
     text = F.concat_ws(" ", entry, body)
-    by_text = section_matches(section, text) & ((F.coalesce(path, F.lit("")) == "") | document_matches(path, text))
-    want = unit_of(section)
-    loose = F.contains(section, F.lit("หมวด")) | F.regexp_like(legal(section), F.lit(r"^\(?[\d.]+\)?$"))
-    labelled = same_title(path, title) & F.when(F.trim(label) == WHOLE, True).when(want != "", unit_of(label) == want).when(loose, by_text).otherwise(F.coalesce(path, F.lit("")) != "")
+    anywhere = F.coalesce(path, F.lit("")) == ""
+    by_text = section_matches(section, text) & (anywhere | document_matches(path, text))
+    loose = F.contains(section, F.lit(CHAPTER_WORD)) | F.regexp_like(legal(section), F.lit(r"^[(]?[0-9.]+[)]?$"))
+    by_unit = F.when(unit_of(section) != "", unit_of(label) == unit_of(section)).when(loose, by_text).otherwise(~anywhere)
+    labelled = same_title(path, title) & ((F.trim(label) == WHOLE) | by_unit)
     return F.when(F.contains(entry, F.lit("|")), labelled).otherwise(by_text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import any_of, doc_key, normal_evidence, same_document
+
 
 def at_cutoffs(results: DataFrame, targets: DataFrame, cutoffs: list[int], query: str = "query_id", item: str = "item") -> DataFrame:
     """query, k, precision, adjusted_precision, recall, hit, mrr (4 decimals) for ranked results (query, item, rank).
@@ -33,16 +35,25 @@ def at_cutoffs(results: DataFrame, targets: DataFrame, cutoffs: list[int], query
     )
 
 
+def holds_evidence(results: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """results (keys, doc, text) joined with the spans (keys, span_id, doc, span) that they hold: the same document, and
+    the span in the text, both as evidence text. Blank spans match nothing."""
+    r = results.withColumns({"_key": doc_key(F.col("doc")), "_text": normal_evidence(F.col("text"))}).drop("doc", "text")
+    s = spans.select(*keys, "span_id", doc_key(F.col("doc")).alias("_want"), normal_evidence(F.col("span")).alias("_span"))
+    hit = same_document(F.col("_want"), F.col("_key")) & (F.col("_span") != "") & F.contains("_text", "_span")
+    return r.join(s, keys).where(hit).drop("_key", "_text", "_want", "_span")
+
+
 def evidence(results: DataFrame, spans: DataFrame, k: int, query: str = "query_id") -> DataFrame:
-    """query, recall, hit, all_found, mrr, precision of evidence spans (query, span) inside ranked texts (query, rank, text).
+    """query, recall, hit, all_found, mrr, precision of evidence spans (query, span_id, doc, span) in ranked texts (query,
+    rank, doc, text).
 
     Precision divides by the texts returned, at most k.
     """
     r = results.where(F.col("rank") <= k)
-    hits = r.join(spans, query).select(query, "rank", "span", F.contains("text", "span").alias("_in")).where("_in")
-    n = spans.groupBy(query).agg(F.countDistinct("span").alias("_n"))
+    n = spans.groupBy(query).agg(F.count("*").alias("_n"))
     returned = r.groupBy(query).agg(F.count("*").alias("_r"))
-    h = hits.groupBy(query).agg(F.countDistinct("span").alias("_f"), F.min("rank").alias("_first"), F.countDistinct("rank").alias("_good"))
+    h = holds_evidence(r, spans, [query]).groupBy(query).agg(F.countDistinct("span_id").alias("_f"), F.min("rank").alias("_first"), F.countDistinct("rank").alias("_good"))
     f = F.coalesce("_f", F.lit(0))
     return n.join(h, query, "left").join(returned, query, "left").select(
         query,
@@ -54,6 +65,46 @@ def evidence(results: DataFrame, spans: DataFrame, k: int, query: str = "query_i
     )
 
 
+def match_predictions(predictions: DataFrame, cases: DataFrame) -> DataFrame:
+    """predictions (pred_id, ord, case_id or null, question) with case_key of the case they answer: by id (the place when
+    there is none), else by the trimmed question, else null. Of cases of one id or question the last counts."""
+    last = Window.partitionBy("_k").orderBy(F.col("ord").desc())
+    one = lambda c: cases.select(c.alias("_k"), F.col("case_key"), "ord").where("_k <> ''").withColumn("_n", F.row_number().over(last)).where("_n = 1").select("_k", "case_key")
+    by_id = one(F.coalesce(F.col("case_id"), F.col("ord").cast("string"))).withColumnRenamed("case_key", "_a")
+    by_text = one(F.trim("question")).withColumnRenamed("case_key", "_b")
+    p = predictions.withColumns({"_id": F.coalesce(F.col("case_id"), F.col("ord").cast("string")), "_q": F.trim("question")})
+    p = p.join(by_id, F.col("_id") == by_id["_k"], "left").drop("_k").join(by_text, F.col("_q") == by_text["_k"], "left").drop("_k")
+    return p.withColumn("case_key", F.coalesce("_a", "_b")).drop("_a", "_b", "_id", "_q")
+
+
+# What a status or an answer without law says.
+NO_LAW, NO_LAW_TEXTS = "NO_LAW_FOUND", ["ไม่พบข้อกฎหมาย", "NO_LAW_FOUND"]
+
+
+def with_law(predictions: DataFrame, status: str = "status", answer: str = "answer") -> DataFrame:
+    """Predictions that found law, by status and by what the answer says."""
+    a = F.coalesce(F.col(answer), F.lit(""))
+    return predictions.where(~((F.coalesce(F.col(status), F.lit("")) == NO_LAW) | any_of(a, NO_LAW_TEXTS)))
+
+
+def hit_rates(cases: DataFrame) -> DataFrame:
+    """One row: total_cases and the counts and percentages of document, section and strict (both) hits, and mean recall,
+    of cases (document_hit, section_hit, recall)."""
+    both = F.col("document_hit") & F.col("section_hit")
+    n = F.count("*")
+    share = lambda c: F.round(F.coalesce(F.count_if(c) * 100 / F.nullif(n, F.lit(0)), F.lit(0.0)), 4)
+    return cases.agg(
+        n.alias("total_cases"),
+        F.count_if(F.col("document_hit")).alias("document_hits"),
+        share(F.col("document_hit")).alias("document_hit_rate"),
+        F.count_if(F.col("section_hit")).alias("section_hits"),
+        share(F.col("section_hit")).alias("section_hit_rate"),
+        F.count_if(both).alias("strict_hits"),
+        share(both).alias("strict_hit_rate"),
+        F.round(F.coalesce(F.avg("recall") * 100, F.lit(0.0)), 4).alias("mean_recall_at_k"),
+    )
+
+
 def citation_scores(truth: Column, said: Column) -> dict[str, Column]:
     """Precision, recall and F1 of two sets: 1 without truth, 0 without candidates."""
     both = F.size(F.array_intersect(truth, said))
