@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,27 +9,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme of its store; without one it is Spark's default store, for Python workers too."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder (URI) below the shared one that the session names in spark.checkpoint.dir.
 
-    Where the setting is empty (tests, one machine), a temporary folder of this machine becomes the checkpoint folder.
+    Where the setting is empty, on a local master (tests, one machine) a temporary folder of this machine becomes the
+    checkpoint folder; on any other master that is an error, since executors would not share it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif spark.sparkContext.master.split("[")[0] == "local":
             root = "file://" + tempfile.mkdtemp(prefix="siltmill-")
             spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return qualified(spark, f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, lost executors don't matter."""
     path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._siltmill_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of stored() that nothing reads any more. Those that a result still reads stay in the shared folder."""
+    for t in tables:
+        spark = t.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(t._siltmill_path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows of ids, digests and other short keys up to which a table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if its rows, which were counted, are at most BROADCAST_ROWS; else the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +74,11 @@ def digest(col: str = "text") -> Column:
 
 
 def filesystem(uri: str):
-    """(pyarrow file system, path) of a folder in the shared store: file:, hdfs:, s3:, gs: or a plain path."""
+    """(pyarrow file system, path) of a folder in the shared store, named with its scheme: file:, hdfs:, s3:, gs:."""
     from pyarrow import fs
 
     if uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri.removeprefix("file:").replace("//", "", 1) if uri.startswith("file://") else uri[5:]
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
     if "://" not in uri:
-        return fs.LocalFileSystem(), os.path.abspath(uri)
+        raise ValueError(f"{uri} names no store")
     return fs.FileSystem.from_uri(uri)

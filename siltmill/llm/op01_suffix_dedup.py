@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, stored
+from .common import digest, discard, small, stored
 
 GRAM = 32  # bytes of an anchor
 SHARDS = 64  # a merge reads the transforms of so many shards
@@ -233,7 +233,7 @@ def narrower(width: int, length: int):
 
 
 def repeated_in_segments(rows: DataFrame, length: int, bucket_rows: int, width: int) -> DataFrame:
-    """name, a, b: runs of repeated windows of collapsed segments (a written table; each key has two places or more).
+    """name, a, b (a written table): runs of repeated windows of collapsed segments, of which each key has two or more.
 
     Keys fall into buckets of about bucket_rows segments. A key of more than twice that is split: its segments fall into
     narrower runs of windows, keyed by more of the bytes that they share; runs whose key occurs once are dropped before
@@ -255,7 +255,9 @@ def repeated_in_segments(rows: DataFrame, length: int, bucket_rows: int, width:
 
     hits = entries.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInPandas(solve, "name binary, a int, b int")
     if not split:
-        return hits
+        done = stored(hits, "repeated-windows")
+        discard(counts)
+        return done
     heavy = rows.join(large, "key", "left_semi").select("name", "key", "q", "piece", "n")
     less = max(1, width // 8)
     marked = stored(heavy.mapInArrow(marks(less, length), "name binary, run int, narrow long, n int"), "narrower-keys")
@@ -264,9 +266,11 @@ def repeated_in_segments(rows: DataFrame, length: int, bucket_rows: int, width:
     cut = heavy.join(wanted, "name").select("name", "q", "piece", "n", "wanted").mapInArrow(narrower(less, length), f"{SEGMENT}, parent binary, shift int")
     cut = stored(cut, "narrower-segments")
     parts = stored(collapsed(cut), "different-narrower-segments")
-    inside = stored(repeated_in_segments(parts, length, bucket_rows, less), "narrower-windows")
+    inside = repeated_in_segments(parts, length, bucket_rows, less)
     parents = cut.select("name", "parent", "shift").join(inside, "name").select(F.col("parent").alias("name"), (F.col("a") + F.col("shift")).alias("a"), (F.col("b") + F.col("shift")).alias("b"))
-    return hits.unionByName(parents)
+    done = stored(hits.unionByName(parents), "repeated-windows")
+    discard(counts, marked, shared, cut, parts, inside)
+    return done
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, bucket_rows: int = 16_384) -> DataFrame:
@@ -300,9 +304,11 @@ def repeated_spans(docs: DataFrame, length: int = 400, bucket_rows: int = 16_384
 
     found = stored(long.mapInArrow(anchors, "digest binary, anchor long, first int, last int, at int"), "anchors")
     shared = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "shared-anchors")
-    marked = found.join(shared, "anchor").groupBy("digest").agg(F.collect_set(F.struct("first", "last", "at", "anchor")).alias("cuts"))
-    texts = long.groupBy("digest").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"))
+    marked = stored(found.join(shared, "anchor").groupBy("digest").agg(F.collect_set(F.struct("first", "last", "at", "anchor")).alias("cuts")), "shared-cuts")
+    some = long.join(small(marked.select("digest"), marked.count()), "digest", "left_semi")
+    texts = some.groupBy("digest").agg(F.first("raw").alias("raw"), F.count("*").alias("copies"))
     cut = stored(texts.join(marked, "digest"), "texts-with-shared-anchors")
+    discard(found, shared, marked)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -326,7 +332,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, bucket_rows: int = 16_384
         yield from in_batches(rows(), {"name": pa.binary(), "digest": pa.binary(), "first": pa.int32()})
 
     parts = stored(collapsed(cut.select("digest", "raw", "copies", "cuts").mapInArrow(pieces, SEGMENT)), "segments")
-    hits = stored(repeated_in_segments(parts, length, bucket_rows, length - GRAM + 1), "repeated-windows")
+    hits = repeated_in_segments(parts, length, bucket_rows, length - GRAM + 1)
+    discard(parts)
     where = cut.select("digest", "raw", "cuts").mapInArrow(names, "name binary, digest binary, first int")
     spans = where.join(hits, "name").groupBy("digest").agg(F.collect_list(F.struct((F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))).alias("starts"))
 

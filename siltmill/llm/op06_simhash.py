@@ -1,9 +1,9 @@
 """SimHash near-duplicates by vantage-point trees.
 
-Different fingerprints are partitioned by a vantage-point tree that is fitted on a bounded sample: an inner node sends
-a fingerprint to its near side or far side by the Hamming distance to the node's vantage point. A fingerprint lives in
-one leaf and, by the triangle bound, also visits every leaf that can hold a fingerprint within the radius. Each leaf is
-searched with a vantage-point tree of its own. Leaves return a spanning forest of their links, and components come from
+Different fingerprints are partitioned by vantage-point trees that are fitted on bounded samples: an inner node sends a
+fingerprint to its near side or far side by the Hamming distance to the node's vantage point. A fingerprint lives in one
+leaf and, by the triangle bound, also visits every leaf that can hold a fingerprint within the radius. Leaves that are
+too large grow a tree of their own until none is. Each leaf is searched with a vantage-point tree, too. Leaves return a spanning forest of their links, and components come from
 alternating large-star and small-star rounds over those forests.
 """
 
@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, stored
+from .common import digest, discard, stored
 
 BLOCK = 2_000_000  # distances computed at once
 
@@ -97,11 +97,13 @@ def build_tree(sample: np.ndarray, depth: int, radius: int, seed: int = 7) -> li
     return nodes
 
 
-def route(fps: np.ndarray, nodes, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(fps: np.ndarray, nodes, radius: int, lives: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(leaf, index into fps, whether the fingerprint lives there) of each place that a fingerprint lives in or visits.
 
-    Of two leaves, visitors go from the one of larger number to the smaller, so that a pair meets once.
+    Of two leaves, visitors go from the one of larger number to the smaller, so that a pair meets once. Fingerprints that
+    do not live in the tree's space (lives is false) visit every leaf within reach.
     """
+    lives = np.ones(len(fps), bool) if lives is None else lives
     out: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def down(node: int, idx: np.ndarray, home: np.ndarray) -> None:
@@ -112,16 +114,16 @@ def route(fps: np.ndarray, nodes, radius: int) -> tuple[np.ndarray, np.ndarray,
             return
         vp, mu, near, far = nodes[node]
         d = np.bitwise_count(fps[idx] ^ np.uint64(vp)).astype(np.int64)
-        for child, lives, visits in ((near, d <= mu, d - radius <= mu), (far, d > mu, d + radius > mu)):
-            down(child, idx[visits], (home & lives)[visits])
+        for child, stays, visits in ((near, d <= mu, d - radius <= mu), (far, d > mu, d + radius > mu)):
+            down(child, idx[visits], (home & stays)[visits])
 
-    down(0 if nodes else -1, np.arange(len(fps)), np.ones(len(fps), bool))
+    down(0 if nodes else -1, np.arange(len(fps)), lives)
     leaf = np.concatenate([np.full(len(i), n) for n, i, _ in out]) if out else np.zeros(0, np.int64)
     idx = np.concatenate([i for _, i, _ in out]) if out else np.zeros(0, np.int64)
     home = np.concatenate([h for _, _, h in out]) if out else np.zeros(0, bool)
     lives_in = np.zeros(len(fps), np.int64)
     lives_in[idx[home]] = leaf[home]
-    keep = home | (leaf < lives_in[idx])
+    keep = home | ~lives[idx] | (leaf < lives_in[idx])
     return leaf[keep], idx[keep], home[keep]
 
 
@@ -181,47 +183,112 @@ def _leaf_forest(radius: int):
     return forest
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node of its component) of the nodes that edges (u, v with u > v) touch, roots left out."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node of its component) of the nodes that edges (u, v with u > v) touch, roots left out.
+
+    Each round keeps components and lowers their labels, and the one that changes nothing is the last.
+    """
     edges = stored(edges.distinct(), "links")
     seen = None
-    for _ in range(rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = stored(small, "links")
+        edges, old = stored(small, "links"), edges
+        discard(old)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 2, leaf_size: int = 16_384, sample: int = 16_384) -> DataFrame:
-    """node, root for each of the different fingerprints (column fp) that links to a smaller one, directly or not.
+#: Children of a leaf that is split once more; how often that is done; the bytes of trees that tasks hold at once.
+FAN_OUT, LEVELS, TREE_BYTES = 256, 6, 32 << 20
 
-    The tree is fitted on at most `sample` fingerprints (by a hash), the only ones that come to the driver; every
-    fingerprint is then routed and searched.
-    """
-    n = fps.count()
-    depth = max(0, math.ceil(math.log2(max(1, n) / leaf_size)))
-    taken = [r[0] for r in fps.orderBy(F.xxhash64(F.col("fp"), F.lit(1)), "fp").limit(sample).collect()] if depth else []
-    nodes = build_tree(np.array(taken, np.int64).view(np.uint64), depth, radius)
 
+def _fit(radius: int, leaf_size: int):
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        depth = min(8, math.ceil(math.log2(pdf["n"].iloc[0] / leaf_size)) + 1)
+        nodes = build_tree(pdf["fp"].to_numpy(np.int64).view(np.uint64), depth, radius)
+        table = np.array([(v, m, a, b) for v, m, a, b in nodes], dtype=[("v", "<u8"), ("m", "<i8"), ("a", "<i8"), ("b", "<i8")])
+        return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "tree": [table.tobytes()]})
+
+    return fit
+
+
+def _deal(trees: dict[int, bytes], radius: int):
     def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grown = {leaf: [tuple(map(int, n)) for n in np.frombuffer(t, dtype=[("v", "<u8"), ("m", "<i8"), ("a", "<i8"), ("b", "<i8")])] for leaf, t in trees.items()}
         for pdf in parts:
-            own = pdf["fp"].to_numpy(np.int64)
-            leaf, idx, home = route(own.view(np.uint64), nodes, radius)
-            yield pd.DataFrame({"leaf": leaf, "fp": own[idx], "home": home})
+            for leaf, own in pdf.groupby("leaf", sort=False):
+                fps = own["fp"].to_numpy(np.int64)
+                child, idx, home = route(fps.view(np.uint64), grown[leaf], radius, own["home"].to_numpy(bool))
+                yield pd.DataFrame({"leaf": leaf * FAN_OUT + child, "fp": fps[idx], "home": home})
 
-    routed = fps.select("fp").mapInPandas(deal, "leaf long, fp long, home boolean")
-    forests = routed.groupBy("leaf").applyInPandas(_leaf_forest(radius), "u long, v long")
-    return components(forests)
+    return deal
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_size: int = 16_384) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = 2, leaf_size: int = 4096, sample: int = 4096) -> DataFrame:
+    """node, root for each of the different fingerprints (column fp) that links to a smaller one, directly or not.
+
+    A leaf with more than leaf_size rows (those that live there and visitors) is split once more, by a tree that a task
+    fits on at most `sample` of the leaf's fingerprints (by a hash), until leaves are small. Trees come to the driver in
+    waves of TREE_BYTES. A leaf that splitting does not make smaller, or that LEVELS
+    splits leave too large, is searched in pairs of blocks. All rows are routed.
+    """
+    place = "leaf long, fp long, home boolean"
+    rows = stored(fps.select(F.lit(1).cast("long").alias("leaf"), "fp", F.lit(True).alias("home")), "vantage-rows")
+    before = None
+    forests = []
+    for level in range(LEVELS + 1):
+        sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"))
+        parent = F.floor(F.col("leaf") / FAN_OUT).cast("long")
+        if before is not None:
+            old = before.select(F.col("leaf").alias("_p"), F.col("n").alias("_n"))
+            sizes = sizes.join(old, parent == F.col("_p"), "left").drop("_p")
+        else:
+            sizes = sizes.withColumn("_n", F.lit(None).cast("long"))
+        sizes = stored(sizes.withColumn("stuck", F.coalesce(F.col("n") > 0.9 * F.col("_n"), F.lit(False)) | F.lit(level == LEVELS)), "leaf-sizes")
+        large = sizes.where(F.col("n") > leaf_size).select("leaf", "n", "stuck")
+        forests.append(stored(rows.join(large.select("leaf"), "leaf", "left_anti").groupBy("leaf").applyInPandas(_leaf_forest(radius), "u long, v long"), "leaf-links"))
+        forests.append(stored(_by_blocks(rows.join(large.where("stuck"), "leaf"), radius, leaf_size), "block-links"))
+        again = large.where("not stuck").select("leaf", "n")
+        if again.isEmpty():
+            break
+        first = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64(F.col("fp"), F.lit(1)), "fp"))
+        homes = rows.where("home").join(again, "leaf")
+        taken = homes.withColumn("_r", first).where(F.col("_r") <= sample).select("leaf", "n", "fp")
+        trees = stored(taken.groupBy("leaf").applyInPandas(_fit(radius, leaf_size), "leaf long, tree binary"), "vantage-trees")
+        waves = max(1, math.ceil((trees.agg(F.sum(F.octet_length("tree") + 100)).first()[0] or 0) / TREE_BYTES))
+        split = None
+        for w in range(waves):
+            mine = F.pmod(F.xxhash64("leaf"), F.lit(waves)) == w
+            held = {r["leaf"]: bytes(r["tree"]) for r in trees.where(mine).collect()}
+            some = rows.where(mine).join(again.select("leaf"), "leaf", "left_semi").mapInPandas(_deal(held, radius), place)
+            split = some if split is None else split.unionByName(some)
+        rows, done = stored(split, "vantage-rows"), [rows, trees, *([before] if before is not None else [])]
+        discard(*done)
+        before = sizes
+    links = forests[0]
+    for f in forests[1:]:
+        links = links.unionByName(f)
+    found = components(links)
+    discard(rows, *forests)
+    return found
+
+
+def _by_blocks(rows: DataFrame, radius: int, leaf_size: int) -> DataFrame:
+    """Links of leaves (leaf, n, fp, home) too large for a task: blocks of about leaf_size rows meet pair by pair."""
+    blocks = F.ceil(F.col("n") / leaf_size)
+    dealt = rows.withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("fp", F.lit(5)), F.col("_blocks")))
+    met = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    pair = met.select("leaf", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "fp", "home")
+    return pair.groupBy("leaf", "i", "j").applyInPandas(_leaf_forest(radius), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_size: int = 4096) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id that is reachable over links).
 
     One row for each input row. Null and wordless texts have fingerprint zero and link like any other. Null ids are
@@ -233,7 +300,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_siz
     return rows.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def with_components(rows: DataFrame, radius: int, leaf_size: int = 16_384, key: str = "doc_id") -> DataFrame:
+def with_components(rows: DataFrame, radius: int, leaf_size: int = 4096, key: str = "doc_id") -> DataFrame:
     """fp, component_id (the smallest `key` of the component) for each different fp of rows (fp, key)."""
     first = stored(rows.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-table")
     links = link_fingerprints(first.select("fp"), radius, leaf_size)

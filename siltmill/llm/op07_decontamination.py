@@ -14,11 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest
-
-#: Rows up to which the items' tables are broadcast; beyond it they are shuffled.
-BROADCAST_ROWS = 200_000
-
+from .common import BROADCAST_ROWS, digest, discard, small, stored
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
@@ -58,24 +54,30 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: fl
     low = F.lit(-(1 << 63))
     top = reduce(lambda acc, b: F.greatest(acc, F.when(F.size("h") >= threshold * 2 ** b["part"], F.lit(b["top"])).otherwise(low)), bounds, low)
     probes = d.withColumn("top", top).select("digest", F.explode(F.filter("h", lambda x: x <= F.col("top"))).alias("hash"))
-    pairs = probes.join(hint(sketch.select("item_id", "hash")), "hash").select("digest", "item_id").distinct()
-
-    texts = docs.select(digest().alias("digest"), F.col("text").alias("_text"))
-    both = texts.join(pairs, "digest").withColumn("w", words(F.col("_text"))).select("digest", "item_id", shingles(F.col("w"), n).alias("doc_shingles"))
-    both = both.join(hint(it.select("item_id", "item_shingles", "m")), "item_id")
+    pairs = stored(probes.join(hint(sketch.select("item_id", "hash")), "hash").select("digest", "item_id").distinct(), "leak-candidates")
+    rows = pairs.count()
+
+    # Candidates are few: their digests go to the texts, one text for each digest comes back, and its shingles are made once.
+    wanted = small(pairs.select("digest").distinct(), rows)
+    texts = docs.select(digest().alias("digest"), F.col("text").alias("_text")).join(wanted, "digest", "left_semi")
+    once = texts.groupBy("digest").agg(F.first("_text").alias("_text")).withColumn("w", words(F.col("_text"))).select("digest", shingles(F.col("w"), n).alias("doc_shingles"))
+    both = once.join(small(pairs, rows), "digest").join(hint(it.select("item_id", "item_shingles", "m")), "item_id")
     shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
     found = both.select("digest", "item_id", shared.alias("n_shared"), F.col("m").alias("n_shingles"))
     found = found.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9)).distinct()
-    return found.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    found = stored(found.withColumn("containment", F.col("n_shared") / F.col("n_shingles")), "leaks")
+    discard(pairs)
+    return found
 
 
 def contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, n_shared, n_shingles, containment: one row for each row of docs and item it contains."""
     found = contained_items(docs, items, n, threshold)
-    return docs.select("doc_id", digest().alias("digest")).join(found, "digest").drop("digest")
+    return docs.select("doc_id", digest().alias("digest")).join(small(found, found.count()), "digest").drop("digest")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """Rows of docs, all columns, that contain no item."""
-    bad = contained_items(docs, items, n, threshold).select(F.col("digest").alias("_siltmill_bad")).distinct()
+    found = contained_items(docs, items, n, threshold)
+    bad = small(found.select(F.col("digest").alias("_siltmill_bad")).distinct(), found.count())
     return docs.join(bad, digest() == bad["_siltmill_bad"], "left_anti")

@@ -12,10 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, text_or_empty
+from .common import discard, shared_dir, small, stored, text_or_empty
 from .tokens import coder, default_tokenizer, tokenizer_version
 
-CACHE = "digest binary, version string, n_bytes long, n_tokens long"
+CACHE = "digest binary, n_bytes long, n_tokens long, version string"
 
 
 def _count(path: str, version: str):
@@ -39,16 +39,18 @@ def _count(path: str, version: str):
 
 
 def _rows(batch, version, sizes, counts):
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array([version] * len(counts), pa.string()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["digest", "version", "n_bytes", "n_tokens"])
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([version] * len(counts), pa.string())], ["digest", "n_bytes", "n_tokens", "version"])
 
 
-def read_cache(spark: SparkSession, cache: str) -> DataFrame:
-    """The cache's rows; a folder that does not exist yet is an empty cache."""
+def read_cache(spark: SparkSession, cache: str, version: str | None = None) -> DataFrame:
+    """The cache's rows, of one version only if it is given (a folder of its own, so that no other is read); a folder that
+    does not exist yet is an empty cache."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(cache)
     if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], CACHE)
-    return spark.read.schema(CACHE).parquet(cache)
+    held = spark.read.schema(CACHE).parquet(cache)
+    return held if version is None else held.where(F.col("version") == version)
 
 
 def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str | None = None, limit: int = 512) -> DataFrame:
@@ -63,10 +65,15 @@ def token_counts(docs: DataFrame, cache: str | None = None, tokenizer: str | Non
     path = tokenizer or default_tokenizer()
     version = tokenizer_version(path)
     cache = cache or shared_dir(spark, "token-cache")
-    keyed = docs.select("doc_id", text_or_empty().alias("_text")).withColumn("_digest", F.unhex(F.sha2("_text", 256)))
-    known = read_cache(spark, cache).where(F.col("version") == version).select("digest")
-    misses = keyed.join(known, keyed._digest == known.digest, "left_anti").groupBy("_digest").agg(F.first("_text").alias("_text"))
-    misses.mapInArrow(_count(path, version), CACHE).write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens"))
+    text = text_or_empty()
+    keyed = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("_digest"), text.alias("_text"))
+    different = keyed.select(F.col("_digest").alias("digest")).distinct()
+    misses = stored(different.join(read_cache(spark, cache, version).select("digest"), "digest", "left_anti"), "token-misses")
+    few = small(misses, misses.count())
+    texts = keyed.join(few, keyed._digest == few.digest, "left_semi").groupBy("_digest").agg(F.first("_text").alias("_text"))
+    texts.mapInArrow(_count(path, version), CACHE).write.mode("append").partitionBy("version").parquet(cache)
+    counts = read_cache(spark, cache, version).join(different, "digest", "left_semi")
+    counts = stored(counts.groupBy("digest").agg(F.first("n_bytes").alias("n_bytes"), F.first("n_tokens").alias("n_tokens")), "token-counts")
+    discard(misses)
     out = keyed.select("doc_id", "_digest").join(counts, F.col("_digest") == F.col("digest"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

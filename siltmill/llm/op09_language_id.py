@@ -1,6 +1,6 @@
 """Language identification by hyperdimensional profiles.
 
-Each letter class has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters' vectors, each
+Each letter has a random vector of +1 and -1. An n-gram's vector binds (multiplies) its letters' vectors, each
 permuted (rotated) by its place; a text's vector bundles (adds) its n-grams' vectors; a language's prototype bundles the
 unit vectors of its training texts. A text gets the language whose prototype has the largest cosine with it.
 """
@@ -15,55 +15,77 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CLASSES, BITS = 64, 6
 UNKNOWN = "und"
-_TABLE: list[np.ndarray] = []
-
-
-def _classes() -> np.ndarray:
-    """Letter class of each code point: 0 no letter, 1 to 26 a to z, the other letters spread over the rest."""
-    if not _TABLE:
-        table = np.zeros(0x110000, np.uint8)
-        letters = np.fromiter((c for c in range(0x110000) if chr(c).isalpha()), np.int64)
-        table[letters] = 27 + (letters * 2654435761 % 2**32 >> 16) % (CLASSES - 27)
-        table[97:123] = np.arange(1, 27)
-        _TABLE.append(table)
-    return _TABLE[0]
+#: Ids of letters that this worker has met, by code point; 0 is no letter.
+_IDS: list[np.ndarray] = []
+_LETTERS: list[int] = [0]
+#: N-gram codes are counted in a table up to this many bits, else by sorting.
+TABLE_BITS = 21
+
+
+def letter_ids(points: np.ndarray) -> np.ndarray:
+    """Small ids of the code points' letters, 0 for anything else; new letters get the next ids."""
+    if not _IDS:
+        _IDS.append(np.full(0x110000, -1, np.int32))
+    ids = _IDS[0]
+    for p in np.unique(points[ids[points] < 0]).tolist():
+        if chr(p).isalpha():
+            ids[p] = len(_LETTERS)
+            _LETTERS.append(p)
+        else:
+            ids[p] = 0
+    return ids[points]
 
 
 @dataclass(frozen=True)
 class Space:
-    """The random letter vectors: dims long, of n-grams of three letters."""
+    """The random vectors, dims long: each letter of any script, and the gap between words, has its own."""
 
     dims: int = 1024
     seed: int = 20240917
 
-    def letters(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        v = np.random.default_rng(self.seed).choice(np.array([-1, 1], np.int8), (CLASSES, self.dims))
-        return np.roll(v, 2, axis=1), np.roll(v, 1, axis=1), v
+    def vector(self, letter: int) -> np.ndarray:
+        """+1 and -1 of the letter's code point (0: the gap)."""
+        return np.random.default_rng((self.seed, letter)).choice(np.array([-1, 1], np.int8), self.dims)
+
+    def letters(self) -> list[np.ndarray]:
+        """The letters' vectors of this worker, by their place in a trigram; they grow as letters are met."""
+        return [np.zeros((0, self.dims), np.int8) for _ in range(3)]
+
+    def _known(self, held: list[np.ndarray]) -> None:
+        new = [self.vector(p) for p in _LETTERS[len(held[0]) :]]
+        if new:
+            for place, shift in enumerate((2, 1, 0)):
+                held[place] = np.concatenate([held[place], np.roll(np.stack(new), shift, axis=1)])
 
-    def bundle(self, texts: list[str], rolled) -> tuple[np.ndarray, np.ndarray]:
-        """(a vector for each text, whether it has a letter)."""
-        table, out, has = _classes(), np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), bool)
+    def bundle(self, texts: list[str], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(a vector for each text, whether it has a letter). Sums are whole numbers, so their order does not matter."""
+        out, has = np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), bool)
         grams: list[np.ndarray] = []
         for i, t in enumerate(texts):
-            c = table[np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4")]
+            c = letter_ids(np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4"))
             has[i] = c.any()
-            c = np.concatenate([[0], c, [0]]).astype(np.int32)
-            c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
-            grams.append((c[:-2] << 2 * BITS) | (c[1:-1] << BITS) | c[2:])
+            c = np.concatenate([[0], c, [0]]).astype(np.int64)
+            grams.append(c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])])
+        self._known(held)
+        bits = max(1, (len(_LETTERS) - 1).bit_length())
+        mask = (1 << bits) - 1
         for start in range(0, len(texts), 64):
-            part = grams[start : start + 64]
+            part = [(c[:-2] << 2 * bits) | (c[1:-1] << bits) | c[2:] for c in grams[start : start + 64]]
             flat = np.concatenate(part)
             if not len(flat):
                 continue
-            kinds = np.flatnonzero(np.bincount(flat, minlength=1))
-            place = np.zeros(kinds[-1] + 1, np.int64)
-            place[kinds] = np.arange(len(kinds))
+            if 3 * bits <= TABLE_BITS:
+                kinds = np.flatnonzero(np.bincount(flat, minlength=1))
+                place = np.zeros(kinds[-1] + 1, np.int64)
+                place[kinds] = np.arange(len(kinds))
+                which = place[flat]
+            else:
+                kinds, which = np.unique(flat, return_inverse=True)
             rows = np.repeat(np.arange(len(part)), [len(g) for g in part])
-            counts = np.bincount(rows * len(kinds) + place[flat], minlength=len(part) * len(kinds)).reshape(len(part), -1).astype(np.float32)
-            a, b, c = rolled
-            bound = a[kinds >> 2 * BITS] * b[(kinds >> BITS) & (CLASSES - 1)] * c[kinds & (CLASSES - 1)]
+            counts = np.bincount(rows * len(kinds) + which, minlength=len(part) * len(kinds)).reshape(len(part), -1).astype(np.float32)
+            a, b, c = held
+            bound = a[kinds >> 2 * bits] * b[(kinds >> bits) & mask] * c[kinds & mask]
             out[start : start + 64] = counts @ bound.astype(np.float32)
         return out, has
 
@@ -78,21 +100,22 @@ class Profiles:
 def train(docs: DataFrame, rows_per_lang: int = 3000, space: Space = Space()) -> Profiles:
     """Prototypes from rows (text, lang); null texts, null langs and texts without a letter teach nothing.
 
-    Of a language with more rows, about rows_per_lang are taken by a hash of the text (the documented bound). Languages
-    are label values, so their number is small; one vector for each comes to the driver. Without any labelled row every
-    prediction is `und`.
+    Of a language with more different texts, about rows_per_lang are taken by a hash of the text (the documented bound),
+    each once, so a text that very many rows repeat counts as one. Languages are label values, so their number is small;
+    one vector for each comes to the driver. Without any labelled row every prediction is `und`.
     """
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    sizes = rows.groupBy("lang").count().collect()
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_per_lang / r["count"])))]) if sizes else F.lit(None)
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text").alias("_key"))
+    sizes = rows.select("lang", "_key").distinct().groupBy("lang").count().collect()
     if not sizes:
         return Profiles(space, (), np.zeros((0, space.dims)))
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, rows_per_lang / r["count"])))])
+    chosen = rows.where(F.pmod("_key", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
+    chosen = chosen.groupBy("lang", "_key").agg(F.first("text").alias("text")).select("text", "lang")
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rolled, total = space.letters(), {}
+        held, total = space.letters(), {}
         for pdf in batches:
-            v, has = space.bundle(pdf["text"].tolist(), rolled)
+            v, has = space.bundle(pdf["text"].tolist(), held)
             norm = np.linalg.norm(v, axis=1, keepdims=True)
             unit = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype("f8")
             for lang in pdf["lang"].unique():
@@ -116,9 +139,9 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        rolled = p.space.letters()
+        held = p.space.letters()
         for s in parts:
-            v, has = p.space.bundle(s.fillna("").tolist(), rolled)
+            v, has = p.space.bundle(s.fillna("").tolist(), held)
             if not p.langs:
                 yield pd.DataFrame({"lang": [UNKNOWN] * len(s), "score": 0.0})
                 continue

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, shared_dir
+from .common import qualified, filesystem, shared_dir
 
 WIDTH = 64
 ROW = 3 * WIDTH
@@ -95,6 +95,13 @@ class _Shards:
         if self.out is not None:
             self.out.write(b"\0" * 1024)
             self.out.close()
+            self.out = None
+
+    def __enter__(self) -> _Shards:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
 
 def store_texts(docs: DataFrame, folder: str | None = None, shard_bytes: int = 128 << 20) -> tuple[DataFrame, str]:
@@ -104,20 +111,19 @@ def store_texts(docs: DataFrame, folder: str | None = None, shard_bytes: int = 1
     attempt of a task and the manifest is a written table, so a lost executor leaves at most an unused shard.
     """
     spark = docs.sparkSession
-    folder = folder or shared_dir(spark, "media")
+    folder = qualified(spark, folder) if folder else shared_dir(spark, "media")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards = _Shards(f"{folder}/shards", shard_bytes)
-        for b in batches:
-            rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = (text.as_py() or "").encode("utf-8", "replace")
-                payload = padded(raw)
-                name = hashlib.sha256(payload).hexdigest()
-                rows.append((doc, len(raw), name, *shards.put(f"{name}.png", lambda p=payload: to_png(p))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
-        shards.close()
+        with _Shards(f"{folder}/shards", shard_bytes) as shards:
+            for b in batches:
+                rows = []
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    raw = (text.as_py() or "").encode("utf-8", "replace")
+                    payload = padded(raw)
+                    name = hashlib.sha256(payload).hexdigest()
+                    rows.append((doc, len(raw), name, *shards.put(f"{name}.png", lambda p=payload: to_png(p))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()))], ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
 
     made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(store, MANIFEST)
     made.write.parquet(f"{folder}/manifest")
@@ -177,8 +183,16 @@ def read_media(described: DataFrame, folder: str) -> DataFrame:
     return described.mapInArrow(fill, f"{MANIFEST}, width int, height int, bit_depth int, channels int, {extra}")
 
 
+def dealt_by_bytes(manifest: DataFrame, task_bytes: int = 16 << 20) -> DataFrame:
+    """The manifest's rows in partitions that read about task_bytes of neighbouring payloads each, in their order."""
+    total = manifest.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / task_bytes)
+    return manifest.repartition(max(1, -(-total // task_bytes)), "shard", stretch).sortWithinPartitions("shard", "offset")
+
+
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """All columns above for each row of docs; repeated rows stay, null ids stay, other columns are ignored, an empty
     table gives no rows."""
     manifest, where = store_texts(docs, folder)
+    manifest = dealt_by_bytes(manifest)
     return read_media(with_metadata(manifest, where), where)

@@ -41,10 +41,13 @@ def default_tokenizer() -> str:
 
 def tokenizer_version(path: str) -> str:
     """Digest of the vocabulary file, the library that reads it and the options used."""
-    import tokenizers
+    if path.endswith(".model"):
+        import sentencepiece as library
+    else:
+        import tokenizers as library
 
     with open(path, "rb") as f:
-        return hashlib.md5(f.read() + f"|tokenizers {tokenizers.__version__}|no specials added".encode()).hexdigest()
+        return hashlib.md5(f.read() + f"|{library.__name__} {library.__version__}|no specials added".encode()).hexdigest()
 
 
 class _Memo(dict):

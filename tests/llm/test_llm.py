@@ -184,7 +184,11 @@ def test_op3_hostile_texts_and_null_rows(spark):
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1))
     back = {r.conv_id: r for r in op3.read_back(op3.format_chats(t)).collect()}
     assert [(x.role, x.text) for x in back[1].turns] == [(r or "", x or "") for _, _, r, x in rows[:12]]
-    assert back[1].loss_texts == ["", "", "", ""] or back[1].loss_texts == [x or "" for _, _, r, x in rows[:12] if r == "assistant"]
+    assert back[1].loss_texts == [x or "" for _, _, r, x in rows[:12] if r == "assistant"]
+    assert op3.read_back(op3.format_chats(t.limit(0))).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "a&<" * 400_000), (1, 1, "assistant", "b<|end|>" * 200_000)], "conv_id long, turn long, role string, text string")
+    one = op3.read_back(op3.format_chats(long)).first()
+    assert [x.text for x in one.turns] == ["a&<" * 400_000, "b<|end|>" * 200_000] and one.loss_texts == ["b<|end|>" * 200_000]
     assert back[1].formatted.count("<|turn:") == 8 and len(back[2].turns) == 2 and len(back[None].turns) == 1
 
 
@@ -298,6 +302,16 @@ def test_op6_tree_loses_no_pair():
     assert found == {(x, y) for x, y in zip(i.tolist(), j.tolist()) if x < y}
 
 
+def test_op6_leaves_that_do_not_shrink_are_searched_in_blocks(spark):
+    """All pairs at one distance: no vantage point can split such a leaf evenly."""
+    fps = [1 << b for b in range(62)] + [3 << b for b in range(61)] + [(1 << 62) | x for x in range(200)]
+    df = spark.createDataFrame([(x,) for x in sorted(set(fps))], "fp long")
+    got = {r.node: r.root for r in op6.link_fingerprints(df, 2, leaf_size=8, sample=16).collect()}
+    kinds = sorted(set(fps))
+    expected = dict(zip(kinds, brute_components(kinds, kinds)))
+    assert got == {k: v for k, v in expected.items() if k != v}
+
+
 def test_op6_components_of_a_long_chain(spark):
     e = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {r.root for r in op6.components(e).collect()} == {0}
@@ -347,6 +361,21 @@ def test_op8_counts_and_cache(spark, texts, odd, tmp_path):
     assert op8.token_counts(odd.limit(0)).count() == 0
 
 
+def test_op8_sentencepiece_and_versions(spark, odd, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    path = next(str(p) for p in __import__("pathlib").Path(public_tokenizers.path("byte_bpe_50k.json")).parent.glob("*.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    cache = str(tmp_path / "cache")
+    texts = {r.doc_id: r.text or "" for r in odd.where("doc_id is not null").collect()}
+    got = {r.doc_id: r.n_tokens for r in op8.token_counts(odd, cache, path).where("doc_id is not null").collect()}
+    assert got == {d: len(model.encode(t)) for d, t in texts.items()}
+    op8.token_counts(odd, cache).count()
+    assert {len(op8.read_cache(spark, cache, op8.tokenizer_version(p)).collect()) for p in (path, default_tokenizer())} == {5}
+    assert op8.tokenizer_version(path) != op8.tokenizer_version(default_tokenizer())
+
+
 def test_op9_held_out_accuracy(spark):
     d = dict(spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang").collect())
     rows = queries.op9_language_id(spark, MIDDLE).collect()
@@ -355,6 +384,31 @@ def test_op9_held_out_accuracy(spark):
     assert len(rows) == len(d) and sum(d[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.95
 
 
+def naive_bundle(space, text):
+    letters = [ord(c) if c.isalpha() else 0 for c in f" {text.lower()} "]
+    letters = [c for i, c in enumerate(letters) if c or i == 0 or letters[i - 1]]
+    v = np.zeros(space.dims)
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        v += np.roll(space.vector(a), 2) * np.roll(space.vector(b), 1) * space.vector(c).astype(int)
+    return v
+
+
+def test_op9_against_brute_force(spark):
+    space = op9.Space(dims=128)
+    texts = ["Ein größer Weg", "où est l'été", "数据 和 语言 text", "Привет мир", "", "1 2 3", "a", "x" * 50 + "  yz"]
+    got, has = space.bundle(texts, space.letters())
+    assert [g.tolist() for g in got] == [naive_bundle(space, t).tolist() for t in texts] and has.tolist() == [any(c.isalpha() for c in t) for t in texts]
+    rows = [("der die das und nicht", "de"), ("le la les et pas", "fr"), ("der die das und nicht", "de"), ("привет мир", "ru"), (None, "de"), ("x", None)]
+    d = spark.createDataFrame(rows, "text string, lang string")
+    p = op9.train(d, space=space)
+    unit = lambda t: naive_bundle(space, t) / np.linalg.norm(naive_bundle(space, t))
+    assert p.langs == ("de", "fr", "ru") and all(np.allclose(p.prototypes[i], unit(t), atol=1e-5) for i, t in enumerate(["der die das und nicht", "le la les et pas", "привет мир"]))
+    asked = spark.createDataFrame([("nicht das",), ("pas les",), ("мир",)], "text string")
+    for r in op9.identify(asked, p).collect():
+        cos = {lang: float(unit(r.text) @ p.prototypes[i]) for i, lang in enumerate(p.langs)}
+        assert r.lang_pred == max(cos, key=cos.get) and abs(r.score - max(cos.values())) < 1e-5
+
+
 def test_op9_odd_rows(spark, odd):
     p = op9.train(odd)
     got = [(r.text, r.lang_pred, r.score) for r in op9.identify(odd, p).collect()]
@@ -363,6 +417,21 @@ def test_op9_odd_rows(spark, odd):
     assert op9.accepted(odd, p).columns == odd.columns and op9.identify(odd.limit(0), p).count() == 0
 
 
+def test_op10_form_is_read_by_others(spark):
+    import struct
+
+    payload = op10.padded("é ü 数据 text".encode() * 40)
+    png = op10.to_png(payload)
+    assert png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10]) and png[12:16] == b"IHDR" and struct.unpack(">II", png[16:24]) == (64, len(payload) // 192)
+    at = png.index(b"IDAT")
+    size = struct.unpack(">I", png[at - 4 : at])[0]
+    lines = zlib.decompress(png[at + 4 : at + 4 + size])
+    assert b"".join(lines[k + 1 : k + 193] for k in range(0, len(lines), 193)) == payload
+    x = np.frombuffer(payload, np.uint8).astype(float)
+    step = sum(abs(a - b) for a, b in zip(x[1:], x)) / (len(x) - 1)
+    assert op10.feature(payload) == f"mean={x.mean():.4f};std={np.sqrt(((x - x.mean()) ** 2).mean()):.4f};step={step:.4f}"
+
+
 def test_op10_round_trip(spark, texts, odd):
     got = {r.doc_id: r for r in queries.op10_media(spark, SMALL).collect()}
     for d, t in texts:
@@ -393,8 +462,7 @@ def test_pipeline_keeps_clean_rows(spark):
     one = P.language_stage(spark, d, MIDDLE)
     assert one.columns == d.columns and one.count() >= 0.99 * d.count()
     two = P.near_duplicate_stage(spark, one, MIDDLE)
-    comps = {r.doc_id: r.component_id for r in op6.near_duplicates(one).collect()}
-    assert sorted(r.doc_id for r in two.select("doc_id").collect()) == sorted(set(comps.values()))
+    assert two.columns == d.columns and two.count() < one.count()  # what stays is tested in test_whole_jobs.py
     three = P.decontamination_stage(spark, two, MIDDLE)
     bad = {r.doc_id for r in op7.contaminated(two, spark.read.parquet(f"{MIDDLE}/benchmark.parquet")).collect()}
     assert bad and three.count() == two.count() - len(bad)
