@@ -113,14 +113,18 @@ def audit_rows(attempts: DataFrame) -> DataFrame:
     )
 
 
+# What stands for nothing.
+EMPTY_MARKS = ["", "-", "ไม่มี", "none", "null", "n/a"]
+
+
 def unresolved(issues: DataFrame) -> DataFrame:
-    """Issues of a response that stay open: those whose status is not RESOLVED, COMPLIANT or VIOLATION; blank missing
-    aspects are null."""
-    blank = F.when(F.trim("missing_aspect").isin("", "-"), F.lit(None)).otherwise(F.col("missing_aspect"))
-    return issues.where(~F.upper("status").isin("RESOLVED", "COMPLIANT", "VIOLATION")).withColumn("missing_aspect", blank)
+    """Issues of a response that stay open: those whose status, RESOLVED where it is missing, is another. Missing aspects
+    that say nothing are null."""
+    aspect = F.trim(F.coalesce("missing_aspect", F.lit("")))
+    return issues.where(F.coalesce("status", F.lit("RESOLVED")) != "RESOLVED").withColumn("missing_aspect", F.when(~F.lower(aspect).isin(EMPTY_MARKS), aspect))
 
 
 def merge_by_law(quotes: DataFrame, laws: DataFrame, keys: list[str]) -> DataFrame:
     """Quotes and laws of one response in one row for each law; empty marks become null."""
-    blank = lambda c: F.when(F.trim(c).isin("", "-"), F.lit(None)).otherwise(c)
+    blank = lambda c: F.when(~F.lower(F.trim(c)).isin(EMPTY_MARKS), c)
     return quotes.withColumn("quote", blank(F.col("quote"))).join(laws.withColumn("reason", blank(F.col("reason"))), keys, "full")

@@ -12,9 +12,6 @@ from ..operators import corpus as C
 from ..session import own_only, visible
 from .tables import DOCS, LINES, docs, query, table, tok
 
-TENANTS = [f"SRC{i}" for i in range(3, 13)]
-
-
 @query(f"with {DOCS}, c as (select org_id, count(*) as n_own from docs group by 1), p as (select count(*) as n from docs where org_id = 'PUBLIC') select org_id, n_own, case when org_id = 'PUBLIC' then n_own else n_own + n end as n_visible from c, p")
 def tenant_visible_counts(spark, sf):
     d = docs(spark, sf)
@@ -28,10 +25,12 @@ def own_only_docs(spark, sf):
     return own_only(docs(spark, sf), "SRC5").select("doc_id", "org_id")
 
 
-@query(f"with {DOCS} select t.org as tenant, count(*) as n_rows, count(*) filter (where org_id not in ('PUBLIC', t.org)) as n_leaks from docs join (select unnest({TENANTS}) as org) t on org_id in ('PUBLIC', t.org) group by 1")
+@query(f"with {DOCS} select t.org as tenant, count(*) as n_rows, count(*) filter (where org_id not in ('PUBLIC', t.org)) as n_leaks from docs join (select distinct org_id as org from docs where org_id <> 'PUBLIC') t on org_id in ('PUBLIC', t.org) group by 1")
 def tenant_leak_audit(spark, sf):
+    """What every tenant of the data reads; tenants are a list, of a size that the driver may hold."""
     d = docs(spark, sf).select("doc_id", "org_id")
-    seen = reduce(DataFrame.unionByName, [visible(d, t).withColumn("tenant", F.lit(t)) for t in TENANTS])
+    tenants = [r[0] for r in d.where("org_id <> 'PUBLIC'").select("org_id").distinct().collect()]
+    seen = reduce(DataFrame.unionByName, [visible(d, t).withColumn("tenant", F.lit(t)) for t in tenants])
     return seen.groupBy("tenant").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("org_id").isin("PUBLIC") & (F.col("org_id") != F.col("tenant"))).alias("n_leaks"))
 
 
@@ -69,9 +68,22 @@ def slug_ids(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.slug_id(F.col("p_name")).alias("slug"))
 
 
-@query("select doc_id, md5(lower(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[^\\p{L}\\p{N}]+', '', 'g'))) as key from documents")
+def evidence_sql(expr):
+    """normal_evidence in SQL."""
+    for name, char in T.ENTITIES[1:]:
+        expr = f"replace({expr}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+    tags = f"regexp_replace({expr}, '(?i)</?(?:{'|'.join(T.EVIDENCE_TAGS)})(?:\\s[^>]*)?/?>', ' ', 'g')"
+    return f"lower(regexp_replace(translate({tags}, '๐๑๒๓๔๕๖๗๘๙', '0123456789'), '[\\s|#*`\"''“”‘’]+', '', 'g'))"
+
+
+_MARKED = "'<b>ก่า ก้า กา</b> | “' || doc_id || '” ๑๒ <x y> ' || text"
+
+
+@query(f"select doc_id, md5({evidence_sql(_MARKED)}) as key from documents")
 def normalise_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(T.normal_evidence(F.col("text"))).alias("key"))
+    """Thai vowel and tone marks, unknown tags and signs count; known tags, quotes, bars and spaces don't."""
+    t = F.concat(F.lit("<b>ก่า ก้า กา</b> | “"), F.col("doc_id").cast("string"), F.lit("” ๑๒ <x y> "), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.normal_evidence(t)).alias("key"))
 
 
 _PREFIX = ["พระราชบัญญัติ", "กฎกระทรวง", "ระเบียบ", "หนังสือเวียน"]
@@ -123,11 +135,27 @@ def kind_histogram(spark, sf):
     return table(spark, sf, "documents").groupingSets([["lang"], ["source"], ["lang", "source"], []], "lang", "source").agg(F.count("*").alias("n"))
 
 
-@query(f"with {LINES}, n as (select distinct doc_id, substr(content, 1, 25) as needle from lines where length(content) > 0) select n.doc_id, needle, min(ord) as found_page from n left join lines l on n.doc_id = l.doc_id and contains(content, needle) group by all")
+_ORDERED = "l as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as n, count(*) over (partition by l_orderkey) as pages, translate(cast((l_partkey + 10000) * 100000 + l_suppkey as varchar), '0123456789', 'abcdefghij') as word from lineitem)"
+
+
+@query(f"with {_ORDERED} select l_orderkey as doc_id, n as ord, n as page_start, least(n + 1, pages) as page_end from l")
 def page_offsets(spark, sf):
-    pages = C.lines(table(spark, sf, "documents")).withColumn("page", F.col("ord").cast("long"))
-    needles = pages.where("length(content) > 0").select("doc_id", F.substring("content", 1, 25).alias("needle")).distinct()
-    return C.locate_page(needles, pages).select("doc_id", "needle", "found_page")
+    """Chunks that run from one page into the next are found by their first and last characters, searched forward."""
+    rows = ordered_lines(spark, sf)
+    body = lambda x: F.concat(F.lit("line "), x["n"].cast("string"), F.lit(" says "), F.repeat(F.concat(x["word"], F.lit("-"), x["n"].cast("string"), F.lit(" ")), F.lit(12)))
+    page = lambda x: F.concat(F.lit("<!-- Page "), x["n"].cast("string"), F.lit(" of "), F.size("l").cast("string"), F.lit(" -->\n"), body(x))
+    files = rows.select("doc_id", F.array_join(F.transform("l", page), "\n").alias("text"))
+    both = lambda x: F.concat(F.lit("[Doc | x]\n"), body(x), F.coalesce(F.concat(F.lit(" "), body(F.get(F.col("l"), x["n"].cast("int")))), F.lit("")))
+    chunks = rows.select("doc_id", F.explode(F.transform("l", lambda x: F.struct(x["n"].alias("ord"), both(x).alias("text")))).alias("c")).select("doc_id", F.col("c.ord").alias("ord"), F.col("c.text").alias("text"))
+    return C.locate_chunks(chunks, files).select("doc_id", "ord", F.col("page_start").cast("long"), F.col("page_end").cast("long"))
+
+
+def ordered_lines(spark, sf):
+    """doc_id and l: an order's lines as structs (n from 1, word of letters, part, supplier, qty, flag) in order."""
+    word = F.translate(((F.col("l_partkey") + 10000) * 100000 + F.col("l_suppkey")).cast("string"), "0123456789", "abcdefghij")
+    one = F.struct("l_linenumber", "l_partkey", "l_suppkey", word.alias("word"), F.col("l_quantity").cast("int").alias("qty"), F.col("l_returnflag").alias("flag"))
+    g = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.sort_array(F.collect_list(one)).alias("_l"))
+    return g.select("doc_id", F.transform("_l", lambda x, i: F.struct((i + 1).cast("long").alias("n"), x["word"].alias("word"), x["l_partkey"].alias("part"), x["l_suppkey"].alias("supplier"), x["qty"].alias("qty"), x["flag"].alias("flag"))).alias("l"))
 
 
 @query("with s as (select doc_id, text, unnest(range(0, greatest(length(text), 1), 800)) as s from documents where length(text) > 0) select doc_id, row_number() over (partition by doc_id order by s) - 1 as pos, md5(substr(text, s + 1, 1000)) as window_md5 from s where s = 0 or s + 200 < length(text)")
@@ -180,9 +208,44 @@ def recency_boosts(spark, sf):
     return o.crossJoin(newest).select("o_orderkey", F.col("year_be").cast("long"), F.round(T.recency_boost(F.col("year_be"), F.col("newest"), 2538), 6).alias("boost"))
 
 
-@query("select p_partkey, case when regexp_matches(lower(p_type), 'แบบฟอร์ม|ภาคผนวก|form') then 0.75 when regexp_matches(lower(p_type), 'act|brass|tin') and regexp_matches(lower(p_type), 'act') then 1.25 else 1.0 end::double as weight from part")
+_KINDS = ["แบบสัญญา จ้าง", "พระราชบัญญัติ", "ระเบียบกระทรวงการคลัง", "กฎกระทรวง", "ประกาศคณะกรรมการ", "คู่มือ"]
+_TITLED = f"t as (select p_partkey, {_KINDS}[p_partkey % 6 + 1] as title, 'พ.ศ. ' || case p_partkey % 5 when 0 then 2535 when 1 then 2549 when 2 then 2560 when 3 then 2569 else 1999 end as entry, case when p_partkey % 7 = 0 then 'แบบฟอร์ม ปี 2561' else p_name end as text from part)"
+_RANK = "case when regexp_matches(title || ' ' || entry || ' ' || left(text, 300), 'แบบสัญญา|แบบฟอร์ม|สัญญาสำเร็จรูป|ตัวอย่างสัญญา') then 0.75 when p_partkey % 6 < 5 then 1.25 else 1.0 end"
+
+
+def _titled(spark, sf):
+    k = F.col("p_partkey")
+    year = F.when(k % 5 == 0, "2535").when(k % 5 == 1, "2549").when(k % 5 == 2, "2560").when(k % 5 == 3, "2569").otherwise("1999")
+    return table(spark, sf, "part").select(
+        k, F.get(F.array(*map(F.lit, _KINDS)), (k % 6).cast("int")).alias("title"), F.concat(F.lit("พ.ศ. "), year).alias("entry"), F.when(k % 7 == 0, "แบบฟอร์ม ปี 2561").otherwise(F.col("p_name")).alias("text")
+    )
+
+
+@query(f"with {_TITLED} select p_partkey, ({_RANK})::double as weight from t")
 def hierarchy_weights(spark, sf):
-    return table(spark, sf, "part").select("p_partkey", T.hierarchy_multiplier(F.lower("p_type")).alias("weight"))
+    return _titled(spark, sf).select("p_partkey", T.hierarchy_multiplier(F.col("title"), F.col("entry"), F.col("text")).alias("weight"))
+
+
+@query(
+    f"""with {_TITLED}, y as (select *, case p_partkey % 5 when 0 then 2535 when 1 then 2549 when 2 then 2560 when 3 then 2569 else case when p_partkey % 7 = 0 then 2561 end end as year from t)
+    select p_partkey, round(case when p_partkey % 5 = 0 or year < 2560 then 0.0 else ({_RANK}) * case when year is null then 1.0 else greatest(1.05, 1.30 - 0.02 * (2569 - year)) end end::double, 6) as boost from y"""
+)
+def source_boosts(spark, sf):
+    """Rank times recency, from title, entry and text; the newest year comes from the candidates."""
+    t = _titled(spark, sf)
+    newest = F.broadcast(t.agg(T.newest_year(F.col("title"), F.col("entry")).alias("newest")))  # one row
+    return t.crossJoin(newest).select("p_partkey", F.round(T.source_boost(F.col("title"), F.col("entry"), F.col("text"), F.col("newest")), 6).alias("boost"))
+
+
+_ASKS = ["ค่าปรับ กี่บาท", "ผู้ชนะ ไม่ลงนาม", "MIT and TOR", "คัดเลือก คณะกรรมการ", "plain words"]
+_ADDED = ["อัตราค่าปรับ การคิดค่าปรับ ค่าปรับรายวัน เกณฑ์ อัตรา หลักเกณฑ์ กำหนดไว้", "การทำสัญญา การลงนามในสัญญา การอุทธรณ์", "พัสดุที่ผลิตภายในประเทศ ส่งเสริมหรือสนับสนุน แต้มต่อ คุณลักษณะเฉพาะ การกำหนดคุณลักษณะเฉพาะ", "วิธีคัดเลือก หนังสือเชิญชวน คณะกรรมการซื้อหรือจ้าง การแต่งตั้งคณะกรรมการ ประธานกรรมการ", ""]
+
+
+@query(f"select c_custkey, {_ASKS}[c_custkey % 5 + 1] || ' ' || c_custkey || case when c_custkey % 5 = 4 then '' else ' ' || {_ADDED}[c_custkey % 5 + 1] end as expanded from customer")
+def query_expansion(spark, sf):
+    k = F.col("c_custkey")
+    ask = F.concat(F.get(F.array(*map(F.lit, _ASKS)), (k % 5).cast("int")), F.lit(" "), k.cast("string"))
+    return table(spark, sf, "customer").select(k, T.expand_query(ask).alias("expanded"))
 
 
 @query(f"select s.source, count(distinct s.doc_id) as n_docs, count(*) as n_rows, bool_and(len(s.text) > 0) as all_filled from documents s group by 1")

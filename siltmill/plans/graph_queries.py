@@ -69,7 +69,7 @@ _TITLES = "titles as (select item_id as doc_id, array_to_string(string_split(tex
 @query(f"with {_TITLES} select d.doc_id as case_id, t.doc_id from documents d join titles t on contains(d.text, t.title)")
 def faq_doc_theta(spark, sf):
     titles = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.array_join(F.slice(F.split("text", " ", -1), 1, 2), " ").alias("title"))
-    return graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles, titles.count())
+    return graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles)
 
 
 @query(
@@ -91,11 +91,17 @@ def next_chunk_chain(spark, sf):
     return graph.chain(units(spark, sf), ["doc_id"], ["number", "unit"], "unit")
 
 
-@query(f"with {UNITS}, {EDGES}, t as (select distinct doc_id from units where doc_id % 7 = 0) select src as tenant_chunk, dst as target_chunk from edges join units on unit = src where doc_id in (select doc_id from t)")
+_OWNER = "case when doc_id % 7 = 0 then 'PUBLIC' else 'T' || doc_id % 7 end"
+
+
+@query(f"with {UNITS}, {EDGES} select s.org_id, src as tenant_chunk, dst as target_chunk from edges join (select unit, {_OWNER} as org_id from units) s on s.unit = src join (select unit, {_OWNER} as org_id from units) t on t.unit = dst where s.org_id <> 'PUBLIC' and t.org_id in ('PUBLIC', s.org_id)")
 def tenant_citations(spark, sf):
-    """Citations of one tenant's chunks (orders divisible by seven stand in for its documents)."""
-    own = units(spark, sf).where("doc_id % 7 = 0").select(F.col("unit").alias("seed"))
-    return graph.hop(own, edges(spark, sf)).select(F.col("seed").alias("tenant_chunk"), F.col("dst").alias("target_chunk"))
+    """Citations of every tenant's own chunks, to what that tenant may read."""
+    owner = F.when(F.col("doc_id") % 7 == 0, "PUBLIC").otherwise(F.concat(F.lit("T"), (F.col("doc_id") % 7).cast("string")))
+    u = units(spark, sf).select("unit", owner.alias("org_id"))
+    own = u.where("org_id <> 'PUBLIC'").select("org_id", F.col("unit").alias("tenant_chunk"))
+    links = own.join(edges(spark, sf), F.col("tenant_chunk") == F.col("src")).join(u.select(F.col("unit").alias("target_chunk"), F.col("org_id").alias("_of")), F.col("dst") == F.col("target_chunk"))
+    return links.where("_of in ('PUBLIC', org_id)").select("org_id", "tenant_chunk", "target_chunk")
 
 
 _LOOK = "row_number() over (partition by number, cited order by (level = 'ACT') desc, page asc nulls last, length(entry), entry) as rank"
@@ -202,7 +208,8 @@ def merge_graph(spark, sf):
 @query("select md5(text) as key, min(doc_id) as doc_id from documents where md5(text) not in (select md5(text) from documents where doc_id % 5 = 0) group by 1")
 def cache_missing(spark, sf):
     d = table(spark, sf, "documents").select(F.md5("text").alias("key"), "doc_id")
-    return d.join(d.where("doc_id % 5 = 0").select("key"), "key", "left_anti").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    first = d.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    return writes.missing(first, d.where("doc_id % 5 = 0"), "key")
 
 
 @query("select text_md5, n from (select md5(text) as text_md5, count(*) as n from documents group by 1) where n > 1")
@@ -223,7 +230,7 @@ round(case when t is null then 1.0::double else rel / t end, 4) as recall, (case
 def _truth(spark, sf):
     b = passages(spark, sf)
     titles = b.select(F.col("query_id").alias("doc_id"), F.col("text").alias("title"))
-    found = graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles, titles.count())
+    found = graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles)
     return found.select(F.col("doc_id").alias("query_id"), F.col("case_id").alias("item"))
 
 
@@ -243,27 +250,6 @@ def metric_means(spark, sf):
     return m.groupBy("k").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "hit", "mrr")))
 
 
-_SPANS = "spans as (select item_id as query_id, unnest([text, substr(text, 1, 40), 'no such span']) as span from benchmark)"
-
-
-@query(
-    f"""with {_RES}, {_SPANS}, r as (select res.*, text from res join documents on doc_id = item where rank <= 10), h as (select r.query_id, rank, span from r join spans using (query_id) where contains(text, span)),
-    n as (select query_id, count(distinct span) as n from spans group by 1), f as (select query_id, count(distinct span) as f, min(rank) as first, count(distinct rank) as good from h group by 1), c as (select query_id, count(*) as c from r group by 1)
-    select query_id, round(coalesce(f, 0) / n, 4) as recall, cast(coalesce(f, 0) > 0 as int) as hit, cast(coalesce(f, 0) = n as int) as all_found, round(coalesce(1.0::double / first, 0.0::double), 4) as mrr, round(coalesce(coalesce(good, 0) / c, 0.0::double), 4) as precision from n left join f using (query_id) left join c using (query_id)"""
-)
-def evidence_metrics(spark, sf):
-    spans = passages(spark, sf).select("query_id", F.explode(F.array(F.col("text"), F.substring("text", 1, 40), F.lit("no such span"))).alias("span"))
-    res = _results(spark, sf).join(table(spark, sf, "documents").select(F.col("doc_id").alias("item"), "text"), "item")
-    return metrics.evidence(res, spans, 10)
-
-
-@query("select item_id, count(*) filter (where contains(d.text, b.text)) > 0 as intact from benchmark b cross join documents d group by 1")
-def evidence_intact(spark, sf):
-    """Spans that some chunk holds whole."""
-    found = _truth(spark, sf).select(F.col("query_id").alias("item_id")).distinct().withColumn("_in", F.lit(True))
-    return table(spark, sf, "benchmark").select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("_in", F.lit(False)).alias("intact"))
-
-
 _SETS = "s as (select o_orderkey, list_distinct(list(l_partkey % 50)) as said, list_distinct(list(l_suppkey % 50) filter (where l_linenumber <= 3)) as truth from orders join lineitem on l_orderkey = o_orderkey group by 1)"
 
 
@@ -296,25 +282,6 @@ def best_score_merge(spark, sf):
     return retrieval.best_of(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "value", "event_id")
 
 
-@query(
-    """with a as (select o_orderkey, case when o_orderkey % 11 = 0 then '' else 'section ' || o_orderkey % 9 || ' and section ' || o_orderkey % 5 || ' with clause ' || o_orderkey % 3 end as answer,
-    'section ' || o_orderkey % 7 || ' section ' || o_orderkey % 5 || ' clause 1' as context from orders),
-    n as (select *, list_distinct(regexp_extract_all(answer, 'section\\s*(\\d+)', 1)) as cited, list_distinct(regexp_extract_all(context, 'section\\s*(\\d+)', 1)) as known from a),
-    b as (select *, len(list_filter(cited, lambda x: not list_contains(known, x))) as bad, len(cited) as n from n)
-    select o_orderkey, n as n_cited, bad as n_ungrounded, round(case when trim(answer) = '' then 0.0::double when n = 0 then 1.0::double else (n - bad) / n end, 2) as score, trim(answer) <> '' and not (bad > n / 2) as passed from b"""
-)
-def grounding_audit(spark, sf):
-    k = F.col("o_orderkey")
-    s = lambda m: (k % m).cast("string")
-    a = table(spark, sf, "orders").select(
-        k,
-        F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("section "), s(9), F.lit(" and section "), s(5), F.lit(" with clause "), s(3))).alias("answer"),
-        F.concat(F.lit("section "), s(7), F.lit(" section "), s(5), F.lit(" clause 1")).alias("context"),
-    )
-    g = audit.grounding(a, "answer", "context", "มาตรา|section", "ข้อ|clause")
-    return g.select("o_orderkey", F.size("cited").cast("long").alias("n_cited"), F.size("ungrounded").cast("long").alias("n_ungrounded"), "score", "passed")
-
-
 @query("with s as (select l_orderkey, list(l_partkey order by l_linenumber) as a, list(l_suppkey order by l_linenumber) filter (where l_linenumber < 4 or l_orderkey % 2 = 0) as b from lineitem group by 1) select l_orderkey, a[i] as doc, b[i] as section from s, unnest(range(1, len(a) + 1)) t(i) where len(a) = len(b) union all select l_orderkey, unnest(a), x from s, unnest(b) u(x) where len(a) <> len(b)")
 def expected_pair_expand(spark, sf):
     one = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
