@@ -257,3 +257,26 @@ def lookup_local_order(spark, sf):
     u = li.select(F.col("l_linenumber").alias("number"), F.col("l_partkey").alias("cited"), F.col("l_orderkey").alias("doc_id"), kind.alias("kind"), F.when(F.col("l_linestatus") == "F", "ACT").otherwise("REGULATION").alias("level"), (F.col("l_suppkey") % 3).alias("part"), F.concat_ws(" ", "l_orderkey", "l_suppkey").alias("entry"))
     keys = ["number", "cited"]
     return lookup.lookup_local(u.select(*keys).distinct(), u, keys).select("number", "cited", "doc_id", "kind", "level", "doc_units", "part", "rank")
+
+
+@query("select o_orderkey, case when o_orderkey % 2 = 0 then 'allowed up to ' || o_custkey || ' baht' else 'see (the other) part ' || o_custkey end as answer from orders")
+def scrub_references(spark, sf):
+    """Bracketed references go, other brackets stay, spaces collapse."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    said = F.when(k % 2 == 0, F.concat(F.lit("allowed (มาตรา "), T.to_thai(c.cast("string")), _say(" วรรคสอง)  up to ", c, " baht [ข้อ 7]"))).otherwise(_say("see (the other) part ", c))
+    return table(spark, sf, "orders").select(k, T.strip_references(said).alias("answer"))
+
+
+@query(
+    """with l as (select l_orderkey as query_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as rank, l_partkey, l_suppkey from lineitem)
+    select query_id, string_agg('[Doc ' || l_partkey || ']' || chr(10) || 'part ' || l_suppkey, chr(10) || chr(10) order by rank) as context from l where rank <= 3 group by 1"""
+)
+def answer_context(spark, sf):
+    """The first hits of each question as text blocks, digits Arabic."""
+    from pyspark.sql import Window
+
+    from ..engine import Engine
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    hits = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.row_number().over(w).alias("rank"), _say("Doc ", F.col("l_partkey")).alias("entry"), T.to_thai(_say("part ", F.col("l_suppkey"))).alias("content"))
+    return Engine.context(hits, 3)

@@ -212,3 +212,26 @@ def page_paragraph_chunks(spark, sf):
     files = _files(spark, sf, "", body)
     cut = F.pandas_udf(lambda s: s.map(page_paragraphs), "array<string>")
     return files.select(F.col("path").cast("long").alias("doc_id"), F.posexplode(cut("text")).alias("pos", "chunk")).select("doc_id", F.col("pos").cast("long"), "chunk")
+
+
+@query(
+    f"""with {_ACT_UNITS}, c as (select c_custkey as case_id, c_nationkey + 1 as a, c_custkey as b from customer), h as (select case_id, a as num, 0 as o from c union all select case_id, b, 1 from c where b % 4 <> 0),
+    r as (select case_id, u.id as dst, min(o) as o from h join u using (num) group by all) select case_id, dst, row_number() over (partition by case_id order by o) as ord from r"""
+)
+def case_citations(spark, sf):
+    """Sections that FAQ cases name, in order of mention, none of another law."""
+    c = table(spark, sf, "customer")
+    other = F.when(F.col("c_custkey") % 4 == 0, " แห่งประมวลรัษฎากร").otherwise(" ด้วย")
+    cases = c.select(F.col("c_custkey").alias("case_id"), T.to_thai(F.concat(_say("ตามมาตรา ", F.col("c_nationkey") + 1, " ซึ่งกำหนดไว้และต่อมาได้แก้ไข กับมาตรา ", F.col("c_custkey")), other)).alias("text"), F.array().cast("array<string>").alias("cited_docs"))
+    units = table(spark, sf, "orders").select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.lit(citations.ACT).alias("doc"), _say("มาตรา ", F.col("o_orderkey")).alias("label"), F.lit("").alias("text"))
+    return citations.case_citations(cases, units).select("case_id", F.col("dst").cast("long"), F.col("ord").cast("long"))
+
+
+@query("select c_custkey, c_nationkey + 1 as num, (select count(*) from orders where o_orderkey = c_nationkey + 1) * 2 as n_units, case when c_nationkey + 1 in (select o_orderkey from orders) then lpad(cast(c_nationkey + 1 as varchar), 12, '0') || 'a' end as first_unit from customer")
+def resolved_references(spark, sf):
+    """References to the units they name, all parts in order; those of no unit have none."""
+    refs = table(spark, sf, "customer").select("c_custkey", F.lit(citations.ACT).alias("title"), F.lit("section").alias("kind"), (F.col("c_nationkey") + 1).cast("int").alias("num"))
+    o = table(spark, sf, "orders").select("o_orderkey", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("part"))
+    units = o.select(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), "part").alias("id"), F.lit(citations.ACT).alias("doc"), _say("มาตรา ", F.col("o_orderkey"), " (ตอนที่ ", F.when(F.col("part") == "a", 1).otherwise(2), ")").alias("label"), F.lit("").alias("text"))
+    got = citations.resolve_references(refs, units)
+    return got.select("c_custkey", F.col("num").cast("long"), F.size("unit_ids").cast("long").alias("n_units"), F.get("unit_ids", F.lit(0)).alias("first_unit"))
