@@ -73,6 +73,13 @@ def hop(seeds: DataFrame, edges: DataFrame, seed: str = "seed", rels: list[str]
     return seeds.join(e, F.col(seed) == F.col("src")).drop("src")
 
 
+def expand(seeds: DataFrame, edges: DataFrame, per_seed: int, first: str = "EMPOWERED_BY", seed: str = "seed") -> DataFrame:
+    """seed, dst, rel, ord: the first per_seed targets of each seed, those of relation `first` before the others."""
+    got = hop(seeds.select(seed), edges.select("src", "dst", "rel"), seed).distinct()
+    order = Window.partitionBy(seed).orderBy((F.col("rel") != first).cast("int"), "rel", "dst")
+    return got.withColumn("ord", F.row_number().over(order).cast("long")).where(F.col("ord") <= per_seed)
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Different (src, dst) pairs of edges read in both directions."""
     return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
@@ -127,6 +134,14 @@ def link_titles(cases: DataFrame, documents: DataFrame, block_bytes: int = 32 <<
     return found
 
 
+def faq_links(titles: DataFrame, citations: DataFrame) -> DataFrame:
+    """case_id, dst (as text), rel: cases relate to documents whose whole title they hold (case_id, doc_id) and cite the
+    units that they name (case_id, dst); each link once."""
+    a = titles.select("case_id", F.col("doc_id").cast("string").alias("dst"), F.lit("RELATES_TO_LAW").alias("rel"))
+    b = citations.select("case_id", F.col("dst").cast("string").alias("dst"), F.lit("CITES").alias("rel"))
+    return a.unionByName(b).distinct()
+
+
 def related_cases(links: DataFrame, cases: DataFrame, org: str, preview: int = 80) -> DataFrame:
     """chunk, case_id, question of FAQ cases (case_id, org_id or null for public, question) that relate to a chunk (links:
     case_id, chunk) and that the tenant may read."""

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.text import tokens
+from ..functions.text import newest_year, source_boost, tokens
 
 BROADCAST_ROWS = 500_000  # of terms and ids
 QUERY_BYTES = 64 << 20  # of query vectors that every task holds
@@ -172,6 +172,21 @@ def rrf(legs: list[DataFrame], key: str, k: int = 60, by: str = "query_id", weig
     return rows.groupBy(by, key).agg(F.round(F.sum("part"), 8).alias("score"))
 
 
+def boosted(legs: list[DataFrame], sources: DataFrame, key: str, top: int, k: int = 60, weights: list[float] | None = None) -> DataFrame:
+    """Fusion of ranked legs in which each part is weighed by its source's rank and recency (sources: key, title, entry,
+    perhaps text). The newest year is that of each query's candidates; a source of weight 0 is left out."""
+    named = sources if "text" in sources.columns else sources.withColumn("text", F.lit(""))
+    rows = None
+    for i, leg in enumerate(legs):
+        part = leg.select("query_id", key, ((weights[i] if weights else 1.0) / (k + F.col("rank"))).alias("_part"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = rows.join(named, key)
+    newest = rows.groupBy("query_id").agg(newest_year(F.col("title"), F.col("entry")).alias("_newest"))
+    boost = source_boost(F.col("title"), F.col("entry"), F.col("text"), F.col("_newest"))
+    fused = rows.join(newest, "query_id").groupBy("query_id", key).agg(F.round(F.sum(F.col("_part") * boost), 8).alias("score"))
+    return top_k(fused.where("score > 0"), ["query_id"], "score", [key], top)
+
+
 def hybrid(lexical: DataFrame, semantic: DataFrame, key: str, top: int, k: int = 60, depth: int | None = None) -> DataFrame:
     """Both legs cut at depth (max(3 top, 30)), fused by rank, the best `top` kept with their rank."""
     depth = depth or max(3 * top, 30)

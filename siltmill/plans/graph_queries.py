@@ -58,6 +58,14 @@ def _subordinates(spark, sf):
     return graph.subordinates(u.select(F.col("unit").alias("seed")), edges(spark, sf), u)
 
 
+@query(f"with {UNITS}, {EDGES}, b as (select src, dst, rel from edges union select src, src - 1, 'CITES_CLAUSE' from edges union select src, src - 2, 'EMPOWERED_BY' from edges), o as (select src as seed, dst, rel, row_number() over (partition by src order by case rel when 'EMPOWERED_BY' then 0 else 1 end, rel, dst) as ord from b) select * from o where ord <= 2")
+def expand_batch(spark, sf):
+    """Two neighbours of each seed, what empowers it first."""
+    e = edges(spark, sf)
+    more = [e.select("src", (F.col("src") - n).alias("dst"), F.lit(r).alias("rel")) for n, r in ((1, "CITES_CLAUSE"), (2, "EMPOWERED_BY"))]
+    return graph.expand(e.select(F.col("src").alias("seed")).distinct(), e.unionByName(more[0]).unionByName(more[1]), 2)
+
+
 @query(f"with {UNITS} select doc_id, count(*) as n from units group by 1 order by n desc, doc_id")
 def doc_clusters(spark, sf):
     return units(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "doc_id")
@@ -74,7 +82,7 @@ def faq_doc_theta(spark, sf):
 
 @query(
     f"""with {_SUB}, {NEXT}, adj as (select src, dst from nexts union select dst, src from nexts)
-    select src as seed, dst, 'adjacent' as relation from adj union all select src, dst, 'cites' from edges union all select seed, src, 'subordinate' from sub"""
+    select src as seed, dst, 'adjacent' as relation from adj union all select src, dst, 'cites' from edges union all select seed, src, 'subordinate' from sub union all select unit, -cited, 'case' from units where page < 10"""
 )
 def related_union(spark, sf):
     return graph.related(
@@ -82,6 +90,7 @@ def related_union(spark, sf):
             "adjacent": graph.adjacency(reading_order(spark, sf)).withColumnRenamed("src", "seed"),
             "cites": edges(spark, sf).withColumnRenamed("src", "seed"),
             "subordinate": _subordinates(spark, sf).withColumnRenamed("src", "dst"),
+            "case": units(spark, sf).where("page < 10").select(F.col("unit").alias("seed"), (-F.col("cited")).alias("dst")),  # ids of cases
         }
     )
 
@@ -125,12 +134,12 @@ def lookup_clause_order(spark, sf):
 @query(
     f"""with {UNITS}, r as (select number, cited, doc_id, {_LOOK} from units), f as (select number, cited, doc_id, min(rank) as rank from r group by all),
     o as (select *, row_number() over (partition by number, cited order by rank) as n from f)
-    select number, cited, min(doc_id) filter (where n = 1) as best_doc, count(*) filter (where n between 2 and 6) as n_others from o group by all"""
+    select number, cited, min(doc_id) filter (where n = 1) as best_doc, coalesce(string_agg(cast(doc_id as varchar), ',' order by n) filter (where n between 2 and 6), '') as others from o group by all"""
 )
 def lookup_ambiguous(spark, sf):
     u = units(spark, sf)
     r = lookup.lookup_section(u.select("number", "cited").distinct(), u, ["number", "cited"])
-    return lookup.ambiguous(r, ["number", "cited"], "doc_id").select("number", "cited", "best_doc", F.size("other_docs").cast("long").alias("n_others"))
+    return lookup.ambiguous(r, ["number", "cited"], "doc_id").select("number", "cited", "best_doc", F.array_join(F.transform("other_docs", lambda x: x.cast("string")), ",").alias("others"))
 
 
 @query(
@@ -143,10 +152,11 @@ def lookup_bare_number(spark, sf):
     return lookup.by_kind(u.where("level = 'ACT'").drop("level"), u.where("level <> 'ACT'").drop("level"), keys).select("number", "cited", "unit", "kind")
 
 
-@query("select c_custkey as doc_id, c_name as title, count(o_orderkey) as n_chunks from customer left join orders on o_custkey = c_custkey group by all")
+@query("with n as (select c_custkey as doc_id, c_name as title, c_nationkey as org_id, c_acctbal, count(o_orderkey) as n_chunks from customer left join orders on o_custkey = c_custkey group by all) select doc_id, title, n_chunks, row_number() over (partition by org_id order by c_acctbal desc nulls last, doc_id) as position from n")
 def tenant_doc_listing(spark, sf):
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("title"))
-    return lookup.listing(c, table(spark, sf, "orders").withColumnRenamed("o_custkey", "doc_id")).select("doc_id", "title", "n_chunks")
+    """Each tenant's documents with their chunk counts, the newest first (an account balance stands in for a date)."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_name").alias("title"), F.col("c_nationkey").alias("org_id"), F.col("c_acctbal").alias("created"))
+    return lookup.listing(c, table(spark, sf, "orders").withColumnRenamed("o_custkey", "doc_id"), created="created").select("doc_id", "title", "n_chunks", "position")
 
 
 @query("select ps_name as title, n_name as nation, r_name as region, count(*) as n from (select c_nationkey as nk, 'customer' as ps_name from customer union all select s_nationkey, 'supplier' from supplier) join nation on n_nationkey = nk join region on r_regionkey = n_regionkey group by all")

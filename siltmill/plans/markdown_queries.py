@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import citations, matching
+from ..operators import citations, graph, matching
 from ..operators.chunking import chunk_documents
 from ..operators.corpus import page_paragraphs
 from ..sources.markdown import parse_documents
@@ -235,3 +235,16 @@ def resolved_references(spark, sf):
     units = o.select(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), "part").alias("id"), F.lit(citations.ACT).alias("doc"), _say("มาตรา ", F.col("o_orderkey"), " (ตอนที่ ", F.when(F.col("part") == "a", 1).otherwise(2), ")").alias("label"), F.lit("").alias("text"))
     got = citations.resolve_references(refs, units)
     return got.select("c_custkey", F.col("num").cast("long"), F.size("unit_ids").cast("long").alias("n_units"), F.get("unit_ids", F.lit(0)).alias("first_unit"))
+
+
+@query(
+    f"""with {_ACT_UNITS}, c as (select c_custkey as case_id, c_nationkey as n from customer)
+    select distinct case_id, cast(n_nationkey as varchar) as dst, 'RELATES_TO_LAW' as rel from c join nation on contains('by Law ' || n || ' then', 'Law ' || n_nationkey) union all select case_id, cast(u.id as varchar), 'CITES' from c join u on u.num = n + 1"""
+)
+def faq_links(spark, sf):
+    """What FAQ cases relate to by title and cite by number."""
+    n = F.col("c_nationkey")
+    cases = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), _say("by Law ", n, " then มาตรา ", n + 1).alias("text"), F.array().cast("array<string>").alias("cited_docs"))
+    laws = table(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), _say("Law ", F.col("n_nationkey")).alias("title"))
+    units = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(citations.ACT).alias("doc"), _say("มาตรา ", F.col("o_orderkey")).alias("label"), F.lit("").alias("text"))
+    return graph.faq_links(graph.link_titles(cases, laws), citations.case_citations(cases, units))

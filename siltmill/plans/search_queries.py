@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import assembly as A
+from ..operators import corpus as C
 from ..operators import graph as G
 from ..operators import retrieval as R
 from ..session import visible
-from .tables import COSINE, DENSE, DOCS, FAQ, QVEC, VARIANTS, bm25_sql, docs, faq, lexical_index, passages, query, query_vectors, rrf_sql, stored, table, tok, top_sql, variants
+from .tables import COSINE, DENSE, DOCS, FAQ, LINES, QVEC, VARIANTS, bm25_sql, docs, faq, lexical_index, passages, query, query_vectors, rrf_sql, stored, table, tok, top_sql, variants
 
 PASS = "passages as (select item_id as query_id, text from benchmark)"
 
@@ -207,6 +208,27 @@ def weighted_rrf(spark, sf):
     return R.top_k(f.where("score > 0"), ["query_id"], "score", ["doc_id"], 10)
 
 
+_RANKS = ["แบบสัญญา", "พระราชบัญญัติ", "คู่มือ"]
+_YEARS = "case doc_id % 5 when 0 then 2535 when 1 then 2549 when 2 then 2560 when 3 then 2569 else null end"
+
+
+@query(
+    f"""with {PASS}, {bm25_sql('documents', 'passages')}, {QVEC}, {DENSE}, {top_sql('scores', 'l', 'doc_id', 30)}, {top_sql('dense', 's', 'doc_id', 30)},
+    w as (select query_id, doc_id, 1.0::double / (60 + rank) as part from l union all select query_id, doc_id, 1.0::double / (60 + rank) from s),
+    b as (select doc_id, {_YEARS} as year, case doc_id % 3 when 0 then 0.75 when 1 then 1.25 else 1.0 end as kind from documents),
+    newest as (select query_id, coalesce(max(year), 2569) as newest from w join b using (doc_id) group by 1),
+    f as (select query_id, doc_id, round(sum(part * kind * case when year < 2560 then 0.0 when year is null then 1.0 else greatest(1.05, 1.30 - 0.02 * (newest - year)) end::double), 8) as score from w join b using (doc_id) join newest using (query_id) group by all),
+    nz as (select * from f where score > 0), {top_sql('nz', 'top', 'doc_id', 10)} select * from top"""
+)
+def boosted_rrf(spark, sf):
+    """Fusion in which rank and recency of a source weigh its parts; repealed and superseded sources drop out."""
+    legs = [R.top_k(_lexical(spark, sf), ["query_id"], "score", ["doc_id"], 30), R.dense_top(_vectors(spark, sf), query_vectors(spark, sf), "doc_id", 30)]
+    k = F.col("doc_id")
+    entry = F.when(k % 5 == 0, "พ.ศ. 2535").when(k % 5 == 1, "พ.ศ. 2549").when(k % 5 == 2, "พ.ศ. 2560").when(k % 5 == 3, "พ.ศ. 2569").otherwise("x")
+    named = table(spark, sf, "documents").select(k, F.get(F.array(*map(F.lit, _RANKS)), (k % 3).cast("int")).alias("title"), entry.alias("entry"))
+    return R.boosted(legs, named, "doc_id", 10)
+
+
 @query(f"with {PASS}, {bm25_sql('documents', 'passages')}, {top_sql('scores', 't', 'doc_id', 20)}, f as (select t.* exclude (rank) from t join documents using (doc_id) where contains(lower(source), 'src1')), {top_sql('f', 'top', 'doc_id', 10)} select * from top")
 def doc_filter_post(spark, sf):
     """The document filter comes after ranking, over twice the number asked for."""
@@ -370,3 +392,12 @@ def retrieve_end_to_end(spark, sf):
     found, _ = _retrieved(spark, sf)
     chunks = pool(spark, sf).select("chunk_id", "kind", "title", "org_id", F.substring("text", 1, 300).alias("preview"))
     return found.join(chunks, "chunk_id").select("query_id", "chunk_id", "position", "final", "origin", "kind", "title", "org_id", "preview")
+
+
+@query(f"with {DOCS}, {FAQ}, {LINES} select 'kind:' || kind as key, count(*) as n from (select 'section' as kind from lines union all select 'faq' from faq) group by 1 union all select 'chunks', (select count(*) from lines) + (select count(*) from faq) union all select 'documents', (select count(*) from documents) + (select count(distinct case_id // 1000) from faq) union all select 'faq_pairs', count(*) from faq")
+def corpus_manifest(spark, sf):
+    """What the corpus of lines and cases holds."""
+    pairs = faq(spark, sf)
+    chunks = C.lines(table(spark, sf, "documents")).select(F.concat(F.lit("d"), "doc_id").alias("doc"), F.lit("section").alias("kind"))
+    chunks = chunks.unionByName(pairs.select(F.expr("concat('f', floor(case_id / 1000))").alias("doc"), F.lit("faq").alias("kind")))
+    return C.manifest(chunks, pairs)
