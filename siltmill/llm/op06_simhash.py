@@ -60,18 +60,18 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _split(fps: np.ndarray, radius: int, rng) -> tuple[np.uint64, int] | None:
-    """Vantage point and bound whose near and far sides are both filled, with the fewest fingerprints at the boundary."""
-    best = None
-    for vp in rng.choice(fps, min(12, len(fps)), replace=False):
+    """Vantage point and bound that cost the fewest visits for what they divide: the share of fingerprints at the
+    boundary, by the bits of information in the sides' sizes. A side has a fifth or more where that is possible."""
+    best, n = None, len(fps)
+    for vp in rng.choice(fps, min(24, n), replace=False):
         hist = np.bincount(np.bitwise_count(fps ^ vp), minlength=65)
         near = np.cumsum(hist)
-        for mu in range(64):
-            small = min(near[mu], len(fps) - near[mu])
-            if small:
-                edge = hist[max(0, mu - radius + 1) : mu + radius + 1].sum()
-                rank = (small < len(fps) // 4, edge - small / 4)
-                if best is None or rank < best[0]:
-                    best = (rank, vp, mu)
+        for mu in np.flatnonzero((near[:64] > 0) & (near[:64] < n)).tolist():
+            p = near[mu] / n
+            edge = hist[max(0, mu - radius + 1) : mu + radius + 1].sum() / n
+            rank = (min(p, 1 - p) < 0.2, math.log1p(edge) / -(p * math.log2(p) + (1 - p) * math.log2(1 - p)))
+            if best is None or rank < best[0]:
+                best = (rank, vp, mu)
     return best and best[1:]
 
 
@@ -210,7 +210,7 @@ FAN_OUT, LEVELS, TREE_BYTES = 256, 6, 32 << 20
 
 def _fit(radius: int, leaf_size: int):
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        depth = min(8, math.ceil(math.log2(pdf["n"].iloc[0] / leaf_size)) + 1)
+        depth = min(8, math.ceil(math.log2(pdf["n"].iloc[0] / leaf_size)))
         nodes = build_tree(pdf["fp"].to_numpy(np.int64).view(np.uint64), depth, radius)
         table = np.array([(v, m, a, b) for v, m, a, b in nodes], dtype=[("v", "<u8"), ("m", "<i8"), ("a", "<i8"), ("b", "<i8")])
         return pd.DataFrame({"leaf": [pdf["leaf"].iloc[0]], "tree": [table.tobytes()]})
@@ -230,10 +230,10 @@ def _deal(trees: dict[int, bytes], radius: int):
     return deal
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 2, leaf_size: int = 4096, sample: int = 4096) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = 2, leaf_size: int = 16_384, sample: int = 4096) -> DataFrame:
     """node, root for each of the different fingerprints (column fp) that links to a smaller one, directly or not.
 
-    A leaf with more than leaf_size rows (those that live there and visitors) is split once more, by a tree that a task
+    A leaf with more than twice leaf_size rows (those that live there and visitors) is split once more, by a tree that a task
     fits on at most `sample` of the leaf's fingerprints (by a hash), until leaves are small. Trees come to the driver in
     waves of TREE_BYTES. A leaf that splitting does not make smaller, or that LEVELS
     splits leave too large, is searched in pairs of blocks. All rows are routed.
@@ -251,7 +251,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, leaf_size: int = 4096, sa
         else:
             sizes = sizes.withColumn("_n", F.lit(None).cast("long"))
         sizes = stored(sizes.withColumn("stuck", F.coalesce(F.col("n") > 0.9 * F.col("_n"), F.lit(False)) | F.lit(level == LEVELS)), "leaf-sizes")
-        large = sizes.where(F.col("n") > leaf_size).select("leaf", "n", "stuck")
+        large = sizes.where(F.col("n") > 2 * leaf_size).select("leaf", "n", "stuck")
         forests.append(stored(rows.join(large.select("leaf"), "leaf", "left_anti").groupBy("leaf").applyInPandas(_leaf_forest(radius), "u long, v long"), "leaf-links"))
         forests.append(stored(_by_blocks(rows.join(large.where("stuck"), "leaf"), radius, leaf_size), "block-links"))
         again = large.where("not stuck").select("leaf", "n")
@@ -288,7 +288,7 @@ def _by_blocks(rows: DataFrame, radius: int, leaf_size: int) -> DataFrame:
     return pair.groupBy("leaf", "i", "j").applyInPandas(_leaf_forest(radius), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_size: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_size: int = 16_384) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id that is reachable over links).
 
     One row for each input row. Null and wordless texts have fingerprint zero and link like any other. Null ids are
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_siz
     return rows.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def with_components(rows: DataFrame, radius: int, leaf_size: int = 4096, key: str = "doc_id") -> DataFrame:
+def with_components(rows: DataFrame, radius: int, leaf_size: int = 16_384, key: str = "doc_id") -> DataFrame:
     """fp, component_id (the smallest `key` of the component) for each different fp of rows (fp, key)."""
     first = stored(rows.groupBy("fp").agg(F.min(key).alias("first")), "fingerprint-table")
     links = link_fingerprints(first.select("fp"), radius, leaf_size)

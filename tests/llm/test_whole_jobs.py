@@ -179,3 +179,38 @@ def test_op5_odd_tables(spark):
     got = [r.text for r in op5.pseudonymize(d, b"k").orderBy("doc_id").collect()]
     assert len(got) == 4 and got[1] == got[2] and "@" in got[0] and "Smith" not in got[1]
     assert op5.pseudonymize(d.limit(0), b"k").count() == 0
+
+
+def test_op5_planted_entities_and_clean_texts():
+    """Every planted entity is found at its place and nothing else is, in texts that hold none by themselves."""
+    import duckdb
+
+    r = random.Random(12)
+    clean = [t for (t,) in duckdb.sql(f"select text from '{MIDDLE}/documents.parquet' order by doc_id").fetchall() if t and not op5.detect(t) and t.count(" ") > 20]
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + d for d in "0123456789" if op5.luhn(body + d))
+
+    planted = {
+        "email": lambda: f"a{digits(3)}@mail{digits(1)}.example.com",
+        "phone": lambda: f"+1 ({digits(3)}) 555-{digits(4)}",
+        "ip": lambda: ".".join(str(r.randint(1, 254)) for _ in range(4)),
+        "card": card,
+        "secret": lambda: "".join(r.choice("0123456789abcdef") for _ in range(40)),
+    }
+    found = right = wanted = untouched = 0
+    for t in clean:
+        untouched += op5.replace(t, b"k", {}) == (t, [])
+        kind = r.choice(list(planted))
+        entity = planted[kind]()
+        lead = 'token = "' if kind == "secret" else ""
+        words = t.split(" ")
+        at = r.randrange(1, len(words))
+        head = " ".join(words[:at]) + " " + lead
+        text = head + entity + ('" ' if lead else " ") + " ".join(words[at:])
+        new, spans = op5.replace(text, b"k", {})
+        expected = (len(head), len(head) + len(entity), kind)
+        wanted, found, right = wanted + 1, found + (expected in spans), right + (spans == [expected] and entity not in new)
+    assert len(clean) > 800 and untouched == found == right == wanted == len(clean)
