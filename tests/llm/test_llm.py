@@ -152,6 +152,32 @@ def test_op2_odd_rows(spark, odd):
     assert op2.pack_pow2(odd.limit(0)).count() == 0
 
 
+def test_op2_buckets_hold_one_length_each(spark, odd, tmp_path):
+    packed = op2.pack_pow2(odd)
+    op2.write_buckets(packed, f"file://{tmp_path}/buckets")
+    back = spark.read.parquet(f"file://{tmp_path}/buckets")
+    assert back.count() == packed.count() and all(r.length == 1 << r.bucket for r in back.select("length", "bucket").distinct().collect())
+    assert {p.name for p in (tmp_path / "buckets").glob("bucket=*")} == {f"bucket={r.bucket}" for r in packed.select("bucket").distinct().collect()}
+
+
+def test_tables_go_to_a_shared_folder_or_nowhere(spark):
+    from types import SimpleNamespace
+
+    from siltmill.llm import common
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=context), "x")
+    t = common.stored(spark.range(5), "numbers")
+    assert t.count() == 5 and common.filesystem(t._siltmill_path)[1].startswith("/")
+    common.discard(t)
+    with pytest.raises(Exception):
+        spark.read.parquet(t._siltmill_path).count()
+    with pytest.raises(ValueError):
+        common.filesystem("/no/scheme")
+
+
 def test_op2_cutting_pieces_changes_no_id():
     c, r = coder(default_tokenizer()), random.Random(3)
     parts = ["a", "Bc", " ", "  ", "\n", "\t", "é", "'s", "'", "12", "!?", "<|endoftext|>", "数据", "\x1f", " ", "_", "Ω", "ñandú", "́", "　"]
