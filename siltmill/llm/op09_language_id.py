@@ -19,6 +19,8 @@ UNKNOWN = "und"
 #: Ids of letters that this worker has met, by code point; 0 is no letter.
 _IDS: list[np.ndarray] = []
 _LETTERS: list[int] = [0]
+#: Texts whose vectors are held at once.
+TEXTS = 512
 #: N-gram codes are counted in a table up to this many bits, else by sorting.
 TABLE_BITS = 21
 
@@ -61,23 +63,24 @@ class Space:
     def bundle(self, texts: list[str], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(a vector for each text, whether it has a letter). Sums are whole numbers, so their order does not matter."""
         out, has = np.zeros((len(texts), self.dims), np.float32), np.zeros(len(texts), bool)
-        grams: list[np.ndarray] = []
-        for i, t in enumerate(texts):
-            c = letter_ids(np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4"))
-            has[i] = c.any()
-            c = np.concatenate([[0], c, [0]]).astype(np.int64)
-            grams.append(c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])])
-        self._known(held)
-        bits = max(1, (len(_LETTERS) - 1).bit_length())
-        mask = (1 << bits) - 1
         for start in range(0, len(texts), 64):
-            part = [(c[:-2] << 2 * bits) | (c[1:-1] << bits) | c[2:] for c in grams[start : start + 64]]
+            letters: list[np.ndarray] = []
+            for i, t in enumerate(texts[start : start + 64], start):
+                c = letter_ids(np.frombuffer(t.lower().encode("utf-32-le", "replace"), "<u4"))
+                has[i] = c.any()
+                c = np.concatenate([[0], c, [0]])
+                letters.append(c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])].astype(np.int32))
+            self._known(held)
+            bits = max(1, (len(_LETTERS) - 1).bit_length())
+            mask = (1 << bits) - 1
+            wide = np.int32 if 3 * bits < 31 else np.int64
+            part = [(c[:-2].astype(wide) << 2 * bits) | (c[1:-1].astype(wide) << bits) | c[2:] for c in letters]
             flat = np.concatenate(part)
             if not len(flat):
                 continue
             if 3 * bits <= TABLE_BITS:
                 kinds = np.flatnonzero(np.bincount(flat, minlength=1))
-                place = np.zeros(kinds[-1] + 1, np.int64)
+                place = np.zeros(kinds[-1] + 1, np.int32)
                 place[kinds] = np.arange(len(kinds))
                 which = place[flat]
             else:
@@ -114,12 +117,14 @@ def train(docs: DataFrame, rows_per_lang: int = 3000, space: Space = Space()) ->
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, total = space.letters(), {}
-        for pdf in batches:
-            v, has = space.bundle(pdf["text"].tolist(), held)
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            unit = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype("f8")
-            for lang in pdf["lang"].unique():
-                total[lang] = total.get(lang, 0) + unit[(pdf["lang"] == lang).to_numpy() & has].sum(axis=0)
+        for whole in batches:
+            for at in range(0, len(whole), TEXTS):
+                pdf = whole.iloc[at : at + TEXTS]
+                v, has = space.bundle(pdf["text"].tolist(), held)
+                norm = np.linalg.norm(v, axis=1, keepdims=True)
+                unit = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype("f8")
+                for lang in pdf["lang"].unique():
+                    total[lang] = total.get(lang, 0) + unit[(pdf["lang"] == lang).to_numpy() & has].sum(axis=0)
         if total:
             yield pd.DataFrame({"lang": list(total), "v": [x.tolist() for x in total.values()]})
 
@@ -141,15 +146,17 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         held = p.space.letters()
         for s in parts:
-            v, has = p.space.bundle(s.fillna("").tolist(), held)
-            if not p.langs:
+            if not p.langs or not len(s):
                 yield pd.DataFrame({"lang": [UNKNOWN] * len(s), "score": 0.0})
                 continue
-            norm = np.linalg.norm(v, axis=1)
-            cos = (v @ p.prototypes.T) / np.where(norm > 0, norm, 1)[:, None]
-            best = cos.argmax(axis=1)
-            ok = has & (norm > 0)
-            yield pd.DataFrame({"lang": np.where(ok, np.array(p.langs, object)[best], UNKNOWN), "score": np.where(ok, cos.max(axis=1).clip(0, 1), 0.0).astype("f8")})
+            done = []
+            for at in range(0, len(s), TEXTS):
+                v, has = p.space.bundle(s.iloc[at : at + TEXTS].fillna("").tolist(), held)
+                norm = np.linalg.norm(v, axis=1)
+                cos = (v @ p.prototypes.T) / np.where(norm > 0, norm, 1)[:, None]
+                ok = has & (norm > 0)
+                done.append(pd.DataFrame({"lang": np.where(ok, np.array(p.langs, object)[cos.argmax(axis=1)], UNKNOWN), "score": np.where(ok, cos.max(axis=1).clip(0, 1), 0.0).astype("f8")}))
+            yield pd.concat(done, ignore_index=True)
 
     return docs.withColumn("_siltmill_lid", predict("text")).withColumns({"lang_pred": F.col("_siltmill_lid.lang"), "score": F.col("_siltmill_lid.score")}).drop("_siltmill_lid")
 
