@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from . import op01_suffix_dedup, op02_packing, op03_chat, op04_sharding, op05_pii, op06_simhash, op07_decontamination, op08_token_counts, op09_language_id
 from .common import documents
 from .op10_media import media_columns
+from .op11_periodic_runs import periodic_runs
+from .op12_spelling_variants import spelling_variants, word_counts
+from .op13_bestfit_packing import pack_best_fit
 
 #: A key for queries and tests only; real runs pass their own.
 DEMO_KEY = b"not a secret: demonstration key"
@@ -71,13 +74,55 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), "media_sha256", "feature", "width", "height")
 
 
+def planted_period(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which a tenth of the documents (by the crc32 h of doc_id) repeat words a to a+p-1 to their end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    some = docs.select("doc_id", "text", h.alias("_h")).withColumn("_w", F.when(F.col("_h") % 10 == 0, words))
+    n, g = F.size("_w").cast("long"), F.floor(F.col("_h") / 10)
+    a = F.when(n > 0, g % n)
+    p = F.floor((n - F.col("_a")) / (3 + g % 8)) + 1
+    placed = some.withColumn("_a", a.cast("int")).withColumn("_p", p.cast("int"))
+    unit = F.slice("_w", F.col("_a") + 1, F.col("_p"))
+    rest = (n - F.col("_a")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    return placed.select("doc_id", F.when(F.col("_a").isNotNull(), F.array_join(F.concat(F.slice("_w", F.lit(1), F.col("_a")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(planted_period(documents(spark, sf_dir)))
+    best = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = found.withColumn("_b", F.when(F.size("runs") > 0, best))
+    return longest.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("_b.start").alias("start"),
+        (-F.col("_b.less")).alias("length"),
+        F.col("_b.period").alias("period"),
+        F.floor(-1000 * F.col("_b.less") / F.col("_b.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = word_counts(documents(spark, sf_dir), dropping=199)
+    return spelling_variants(counts)
+
+
+def op13_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_best_fit(documents(spark, sf_dir), 1024, 2)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_chat, op4_sharding, op5_pii, op6_simhash, op7_decontamination, op8_token_counts, op9_language_id, op10_media, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_chat, op4_sharding, op5_pii, op6_simhash, op7_decontamination, op8_token_counts, op9_language_id, op10_media, op11_periodic_runs, op12_spelling_variants, op13_bestfit_packing, pipeline)}
 
 #: Blocks and formatted length by SQL of its own: escapes double up, markers are counted.
 _CHAT = """
