@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import visible
-from .retrieval import Index, bm25, dense_top, rrf, top_k
+from .retrieval import Index, Tokenize, bm25, dense_top, rrf, top_k
 
 
 @dataclass(frozen=True)
@@ -87,11 +87,12 @@ def carry_neighbours(kept: DataFrame, neighbours: DataFrame, key: str, cfg: Retr
 
 def append_faq(kept: DataFrame, faq: DataFrame, key: str, cfg: RetrieverConfig) -> DataFrame:
     """kept and, after it, the first faq_k FAQ rows (query_id, key, rank) that it does not hold already: the i-th scores
-    the lowest score less 1 and i times 0.001."""
+    the lowest score (0 where nothing is kept) less 1 and i times 0.001."""
     floor = kept.groupBy("query_id").agg(F.min("final").alias("_floor"), F.max("position").alias("_last"))
     fresh = faq.where(F.col("rank") <= cfg.faq_k).join(kept.select("query_id", key), ["query_id", key], "left_anti")
     fresh = fresh.withColumn("_i", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
-    tail = fresh.join(floor, "query_id").select("query_id", key, F.round(F.col("_floor") - 1 - 1e-3 * F.col("_i"), 6).alias("final"), F.lit("faq").alias("origin"), (F.col("_last") + F.col("_i")).alias("position"))
+    least, last = F.coalesce("_floor", F.lit(0.0)), F.coalesce("_last", F.lit(0))
+    tail = fresh.join(floor, "query_id", "left").select("query_id", key, F.round(least - 1 - 1e-3 * F.col("_i"), 6).alias("final"), F.lit("faq").alias("origin"), (last + F.col("_i")).cast("long").alias("position"))
     return kept.unionByName(tail)
 
 
@@ -115,15 +116,27 @@ def overlap(query_text: Column, chunk_text: Column) -> Column:
     return F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)), 6)
 
 
+@dataclass(frozen=True)
+class Uploads:
+    """A tenant's own documents, a collection with its own statistics. chunks: chunk_id, text; vectors: chunk_id, embedding,
+    or None."""
+
+    chunks: DataFrame
+    index: Index
+    vectors: DataFrame | None = None
+
+
 @dataclass(frozen=True)
 class Store:
     """What a search reads. chunks: chunk_id, kind, org_id, text; index: over the chunks' texts; vectors: chunk_id,
-    embedding; neighbours: seed, dst, ord."""
+    embedding; neighbours: seed, dst, ord; uploads: the asking tenant's."""
 
     chunks: DataFrame
     index: Index
     vectors: DataFrame
     neighbours: DataFrame
+    uploads: Uploads | None = None
+    tokenize: Tokenize = tokens
 
 
 def store_search(store: Store, queries: DataFrame, vectors: DataFrame | None, org: str, k: int, kinds: list[str] | None = None, excluded: list[str] | None = None, rrf_k: int = 60) -> DataFrame:
@@ -133,12 +146,32 @@ def store_search(store: Store, queries: DataFrame, vectors: DataFrame | None, or
     seen = seen.where(F.col("kind").isin(kinds)) if kinds else seen
     seen = (seen.where(~F.col("kind").isin(excluded)) if excluded else seen).select("chunk_id")
     depth = max(3 * k, 30)
-    legs = [top_k(bm25(store.index, queries, within=seen), ["query_id"], "score", ["chunk_id"], depth)]
+    legs = [top_k(bm25(store.index, queries, within=seen, tokenize=store.tokenize), ["query_id"], "score", ["chunk_id"], depth)]
     if vectors is not None:
         legs.append(dense_top(store.vectors.join(seen, "chunk_id", "left_semi"), vectors, "chunk_id", depth))
     return top_k(rrf(legs, "chunk_id", rrf_k), ["query_id"], "score", ["chunk_id"], k)
 
 
+def uploads_search(store: Store, queries: DataFrame, vectors: DataFrame | None, k: int, rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank of hybrid search in the tenant's uploads: max(k / 3, 5) for a search of k."""
+    own, k = store.uploads, max(k // 3, 5)
+    depth = max(3 * k, 30)
+    legs = [top_k(bm25(own.index, queries, key="chunk_id", tokenize=store.tokenize), ["query_id"], "score", ["chunk_id"], depth)]
+    if vectors is not None and own.vectors is not None:
+        legs.append(dense_top(own.vectors, vectors, "chunk_id", depth))
+    return top_k(rrf(legs, "chunk_id", rrf_k), ["query_id"], "score", ["chunk_id"], k)
+
+
+def merged_search(store: Store, queries: DataFrame, vectors: DataFrame | None, org: str, k: int, excluded: list[str] | None = None, rrf_k: int = 60) -> DataFrame:
+    """query_id, chunk_id, score, rank: the corpus's hits and the uploads' by fused score."""
+    hits = store_search(store, queries, vectors, org, k, excluded=excluded, rrf_k=rrf_k)
+    if store.uploads is None:
+        return hits
+    both = hits.unionByName(uploads_search(store, queries, vectors, k, rrf_k)).drop("rank")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
+    return both.withColumn("rank", F.row_number().over(order).cast("long"))
+
+
 def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: str, cfg: RetrieverConfig = RetrieverConfig(), scorer: Callable[[Column, Column], Column] | None = overlap, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, DataFrame]:
     """(query_id, chunk_id, final, origin, position; one row of stats for each query) of a batch of questions.
 
@@ -152,14 +185,16 @@ def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: s
     pair = F.struct("query_id", "variant_id").alias("query_id")
     asked = v.select(pair, "text")
     meant = vectors.join(v.select("query_id", "variant_id"), ["query_id", "variant_id"], "left_semi").select(pair, "q") if vectors is not None else None
-    hits = store_search(store, asked, meant, org, cfg.search_top_k, excluded=["faq"] if apart else None)
+    hits = merged_search(store, asked, meant, org, cfg.search_top_k, excluded=["faq"] if apart else None)
     hits = keep(hits.select("query_id.query_id", "query_id.variant_id", "chunk_id", "rank"), "hits")
     seeds = keep(fuse_variants(hits, cfg, "chunk_id"), "seeds")
     near = store.neighbours.join(visible(store.chunks, org).select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
     if scorer is None:
         kept = seeds.where(F.col("rank") <= cfg.top_k).select("query_id", "chunk_id", F.col("score").alias("final"), F.col("rank").alias("position"))
     else:
-        texts = store.chunks.select("chunk_id", F.substring("text", 1, cfg.rerank_chars).alias("_chunk"))
+        every = store.chunks.select("chunk_id", "text")
+        every = every.unionByName(store.uploads.chunks.select("chunk_id", "text")) if store.uploads else every
+        texts = every.select("chunk_id", F.substring("text", 1, cfg.rerank_chars).alias("_chunk"))
         pairs = seeds.select("query_id", "chunk_id").join(texts, "chunk_id").join(v, "query_id")
         matrix = keep(pairs.select("query_id", "variant_id", "chunk_id", scorer(F.col("text"), F.col("_chunk")).alias("score")), "matrix")
         kept = slots(matrix, passing(rerank(matrix, "chunk_id", cfg.rank_by), cfg.threshold, "chunk_id"), "chunk_id", cfg)

@@ -7,7 +7,7 @@ parts of the files that hold its terms. A side is broadcast only while its measu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,14 +33,18 @@ def top_k(df: DataFrame, keys: list[str], score: str, ties: list[str], k: int, r
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
-def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
+#: Text to its terms: functions.text.tokens, or a segmenter of functions.segment.
+Tokenize = Callable[[Column], Column]
+
+
+def query_terms(queries: DataFrame, key: str = "query_id", text: str = "text", tokenize: Tokenize = tokens) -> DataFrame:
     """key, term, qtf: the terms of each query and how often it has them."""
-    return queries.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
+    return queries.select(key, F.explode(tokenize(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("qtf"))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize: Tokenize = tokens) -> DataFrame:
     """key, term, tf, doc_len. The empty term stands once for each document, also one without terms."""
-    rows = docs.select(key, tokens(F.col(text)).alias("_t")).select(key, F.size("_t").alias("doc_len"), F.explode(F.array_append("_t", F.lit(""))).alias("term"))
+    rows = docs.select(key, tokenize(F.col(text)).alias("_t")).select(key, F.size("_t").alias("doc_len"), F.explode(F.array_append("_t", F.lit(""))).alias("term"))
     return rows.groupBy(key, "term", "doc_len").agg(F.count("*").alias("tf"))
 
 
@@ -54,41 +58,42 @@ class Index:
     key: str
 
 
-def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
+def index_of(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenize: Tokenize = tokens) -> Index:
     """The index of docs as a plan; nothing is written."""
-    return _index(postings(docs, key, text), None, key)
+    return index_from(postings(docs, key, text, tokenize), None, key)
 
 
-def _index(p: DataFrame, vocabulary: DataFrame | None, key: str) -> Index:
+def index_from(p: DataFrame, vocabulary: DataFrame | None, key: str) -> Index:
     stats = p.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
     return Index(p.where("term <> ''"), vocabulary if vocabulary is not None else p.where("term <> ''").groupBy("term").agg(F.count("*").alias("df")), stats, key)
 
 
-def save_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> None:
+def save_index(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", tokenize: Tokenize = tokens) -> None:
     """Writes postings, in files of term ranges, and the vocabulary; texts are read and tokenised once."""
-    postings(docs, key, text).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings")
+    postings(docs, key, text, tokenize).repartitionByRange("term", key).sortWithinPartitions("term", key).write.mode("overwrite").parquet(f"{folder}/postings")
     p = docs.sparkSession.read.parquet(f"{folder}/postings")
     p.where("term <> ''").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{folder}/vocabulary")
 
 
 def open_index(spark: SparkSession, folder: str, key: str = "doc_id") -> Index:
-    return _index(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocabulary"), key)
+    return index_from(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/vocabulary"), key)
 
 
 def saturation(tf: Column, length: Column, average: Column, k1: float, b: float) -> Column:
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
-def bm25(docs: DataFrame | Index, queries: DataFrame, variant: str = "sparse", key: str = "doc_id", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25, within: DataFrame | None = None) -> DataFrame:
+def bm25(docs: DataFrame | Index, queries: DataFrame, variant: str = "sparse", key: str = "doc_id", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25, within: DataFrame | None = None, tokenize: Tokenize = tokens) -> DataFrame:
     """query_id, key, score (6 decimals) of documents that share a term with a query.
 
     sparse: k1 1.2, weights rounded to 5 decimals, each different query term once, idf ln(1 + (N-n+.5)/(n+.5)).
     okapi: k1 1.5, query terms count as often as they occur, idf ln((N-n+.5)/(n+.5)) with negative values replaced by
     epsilon times the mean idf of the vocabulary. within: keys that may be found (statistics stay the collection's).
+    tokenize: how queries, and docs that are no index yet, are cut into terms.
     """
-    index = docs if isinstance(docs, Index) else index_of(docs, key)
+    index = docs if isinstance(docs, Index) else index_of(docs, key, tokenize=tokenize)
     k1 = k1 if k1 is not None else 1.2 if variant == "sparse" else 1.5
-    q = query_terms(queries)
+    q = query_terms(queries, tokenize=tokenize)
     rows = q.count()
     stats = F.broadcast(index.stats)  # one row
     n, d = F.col("n_docs"), F.col("df")
