@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .retrieval import QUERY_BYTES, top_k
+from .retrieval import QUERY_BYTES, dense_top, top_k
 
 #: Vectors that the cells are fitted on, at most about so many, by a hash of the key; and cells, at most.
 SAMPLE, CELLS = 50_000, 4096
+#: Vectors that a recall is measured on when an index is built.
+TRIALS = 200
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -52,10 +54,11 @@ def _centroids(cells: int, rounds: int):
     return fit
 
 
-def build(vectors: DataFrame, folder: str, key: str = "vec_id", cells: int | None = None, sample: int = SAMPLE, rounds: int = 6) -> None:
+def build(vectors: DataFrame, folder: str, key: str = "vec_id", cells: int | None = None, sample: int = SAMPLE, rounds: int = 6, recall: float = 0.93) -> None:
     """Writes the index of vectors (key, embedding; one row a key) to a folder: `vectors`, by cell, and `cells` (cell, n,
     centroid, least cosine of a member). Rows with a null embedding are left out. Cells: about the square root of the
-    vectors, at most CELLS. Every vector is indexed; only the cells' places are fitted on a sample."""
+    vectors, at most CELLS. Every vector is indexed; only the cells' places are fitted on a sample. The cells that a search
+    probes by default are as many as give `recall` of the true ten nearest on trials (`probes`)."""
     rows = vectors.select(key, "embedding").where("embedding is not null")
     n = rows.count()
     spark = vectors.sparkSession
@@ -63,6 +66,7 @@ def build(vectors: DataFrame, folder: str, key: str = "vec_id", cells: int | Non
     if not n:
         rows.withColumn("cell", F.lit(0)).write.mode("overwrite").parquet(f"{folder}/vectors")
         spark.createDataFrame([], "cell int, n long, least double, centroid array<double>").write.mode("overwrite").parquet(f"{folder}/cells")
+        spark.createDataFrame([(1,)], "probes int").write.mode("overwrite").parquet(f"{folder}/probes")
         return
     order = F.pmod(F.xxhash64(key), F.lit(1 << 31))
     some = rows.withColumn("_order", order).where(F.col("_order") <= int(min(1.0, sample / n) * (1 << 31))).select("_order", "embedding")
@@ -84,6 +88,21 @@ def build(vectors: DataFrame, folder: str, key: str = "vec_id", cells: int | Non
     sizes = spark.read.parquet(f"{folder}/vectors").groupBy("cell").agg(F.count("*").alias("n"), F.min("near").alias("least"))
     places = spark.createDataFrame([(r["cell"], r["centroid"]) for r in held], "cell int, centroid array<double>")
     sizes.join(F.broadcast(places), "cell").write.mode("overwrite").parquet(f"{folder}/cells")
+    spark.createDataFrame([(_probes(rows, _opened(spark, folder, key, 1), key, recall),)], "probes int").write.mode("overwrite").parquet(f"{folder}/probes")
+
+
+def _probes(rows: DataFrame, index: VectorIndex, key: str, recall: float) -> int:
+    """How many cells give the recall: of the true ten nearest of TRIALS vectors (by hash; none counts as its own
+    neighbour), the cells' places in the order of each trial's cells."""
+    first = rows.withColumn("_order", F.xxhash64(key)).orderBy("_order", key).limit(TRIALS)
+    trials = first.select(F.col(key).alias("query_id"), F.col("embedding").alias("q"))
+    near = dense_top(rows, trials, key, 11).where(F.col("query_id") != F.col(key)).join(index.rows().select(key, "cell"), key)
+    held = {r["query_id"]: r["q"] for r in trials.collect()}
+    at = {c: i for i, c in enumerate(index.cells.tolist())}
+    order = index.probed(unit(np.array(list(held.values()), "f8")), len(index.cells))
+    place = dict(zip(held, np.argsort(order, axis=1, kind="stable")))
+    ranks = [int(place[r["query_id"]][at[r["cell"]]]) for r in near.select("query_id", "cell").collect()]
+    return 1 + int(np.quantile(ranks, recall, method="higher")) if ranks else 1
 
 
 @dataclass(frozen=True)
@@ -96,6 +115,7 @@ class VectorIndex:
     sizes: np.ndarray
     centroids: np.ndarray
     radii: np.ndarray  # largest angle of a member
+    probes: int = 1
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/vectors")
@@ -122,10 +142,16 @@ class VectorIndex:
 
 
 def open_index(spark: SparkSession, folder: str, key: str = "vec_id") -> VectorIndex:
+    probes = spark.read.parquet(f"{folder}/probes").first()[0]
+    return _opened(spark, folder, key, probes)
+
+
+def _opened(spark: SparkSession, folder: str, key: str, probes: int) -> VectorIndex:
     held = spark.read.parquet(f"{folder}/cells").orderBy("cell").collect()  # at most CELLS rows
     least = np.clip([r["least"] for r in held], -1, 1)
     kind = dict(spark.read.parquet(f"{folder}/vectors").dtypes)[key]
-    return VectorIndex(spark, folder, key, kind, np.array([r["cell"] for r in held], "i8"), np.array([r["n"] for r in held], "i8"), np.array([r["centroid"] for r in held]), np.arccos(least) + 1e-7)
+    cells, sizes = np.array([r["cell"] for r in held], "i8"), np.array([r["n"] for r in held], "i8")
+    return VectorIndex(spark, folder, key, kind, cells, sizes, np.array([r["centroid"] for r in held]), np.arccos(least) + 1e-7, probes)
 
 
 def _by_cell(index: VectorIndex, pairs: np.ndarray) -> dict[int, np.ndarray]:
@@ -154,14 +180,14 @@ def _search(index: VectorIndex, held: list, kind: StructField, k: int, probes: i
     return best.join(F.broadcast(ids), "_i").select("query_id", index.key, "score", "rank")
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, probes: int = 8, exact: bool = False) -> DataFrame:
+def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
     """query_id, key, score (6 decimals), rank of the k nearest vectors by cosine for queries (query_id, q).
 
-    The nearest `probes` cells of each query are read; with exact, also all cells that could hold a better vector, which
+    The nearest `probes` cells of each query are read (by default those that reached the recall in trials); with exact, also all cells that could hold a better vector, which
     gives the same rows as retrieval.dense_top. Queries go in blocks of QUERY_BYTES (vectors and the cells that each may
     probe); several blocks are answered one after the other into a table of the index's folder.
     """
-    spark = index.spark
+    spark, probes = index.spark, probes or index.probes
     empty = spark.createDataFrame([], StructType([queries.schema["query_id"], index.rows().schema[index.key]])).withColumns({"score": F.lit(0.0), "rank": F.lit(0).cast("long")})
     n, size = queries.agg(F.count("*"), F.max(F.size("q"))).first()
     if not n or not len(index.cells):

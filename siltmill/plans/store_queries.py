@@ -73,20 +73,16 @@ def vector_index_exact(spark, sf):
 def vector_index_recall(spark, sf):
     """Vectors indexed, queries asked, and whether the probed cells gave 0.9 or more of the true ten nearest."""
     index, asked = vector_index(spark, sf), _vector_queries(spark, sf)
-    got = stored(V.search(index, asked, 10, probes=PROBES), "vector-hits")
+    got = stored(V.search(index, asked, 10), "vector-hits")
     true = R.dense_top(table(spark, sf, "embeddings"), asked, "vec_id", 10)
     both = true.join(got.select("query_id", "vec_id", F.lit(1).alias("_hit")), ["query_id", "vec_id"], "left")
     sums = both.agg(F.count_distinct("query_id").alias("n_queries"), (F.count("_hit") >= 0.9 * F.count("*")).alias("recall_reached"))
     return index.rows().agg(F.count("*").alias("n_indexed")).crossJoin(F.broadcast(sums))  # one row each
 
 
-#: Cells that a query probes for the recall above.
-PROBES = 16
-
-
 def vector_index_topk(spark, sf):
     """The hits of the probed cells alone (approximate, so without SQL; vector_index_recall measures them)."""
-    return V.search(vector_index(spark, sf), _vector_queries(spark, sf), 10, probes=PROBES)
+    return V.search(vector_index(spark, sf), _vector_queries(spark, sf), 10)
 
 
 query()(vector_index_topk)
