@@ -45,7 +45,7 @@ def entry(title: Column, label: Column) -> Column:
 
 
 def clean_label(c: Column, most: int = 120) -> Column:
-    return F.substring(collapse(F.regexp_replace(c, r"[|#*_`]", "")), 1, most)
+    return F.substring(collapse(F.regexp_replace(c, r"[|#*_`]", " ")), 1, most)
 
 
 def md5_id(c: Column, digits: int = 16) -> Column:
@@ -53,15 +53,16 @@ def md5_id(c: Column, digits: int = 16) -> Column:
 
 
 def unit_ref(label: Column) -> dict[str, Column]:
-    """kind, number, part (default 1) and base of a unit label such as `มาตรา ๑๒ (ตอนที่ 2)`."""
-    t = to_arabic(label)
-    number = F.regexp_extract(t, r"^(มาตรา|ข้อ)\s*(\d+)", 2)
-    part = F.regexp_extract(t, r"\(ตอนที่\s*(\d+)\)", 1)
+    """kind, number, part (default 1) and base of a unit label such as `มาตรา ๑๒ (ตอนที่ 2)`; the part's brackets may be
+    missing. A word without a number is no unit and has no kind."""
+    t = F.trim(to_arabic(label))
+    named = F.nullif(F.regexp_extract(t, r"^(มาตรา|ข้อ)\s*\d", 1), F.lit(""))
+    digits = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")).cast("int")
     return {
-        "kind": F.nullif(F.regexp_extract(t, r"^(มาตรา|ข้อ)", 1), F.lit("")),
-        "number": F.nullif(number, F.lit("")).cast("int"),
-        "part": F.coalesce(F.nullif(part, F.lit("")).cast("int"), F.lit(1)),
-        "base": F.trim(F.regexp_replace(t, r"\s*\(ตอนที่\s*\d+\)", "")),
+        "kind": named,
+        "number": digits(r"^(?:มาตรา|ข้อ)\s*(\d+)"),
+        "part": F.coalesce(digits(r"ตอนที่\s*(\d+)"), F.lit(1)),
+        "base": F.trim(F.regexp_replace(t, r"\s*\(\s*ตอนที่\s*\d+\s*\)$", "")),
     }
 
 
@@ -202,8 +203,8 @@ def valid_org(c: Column) -> Column:
 
 
 def clean_cell(c: Column) -> Column:
-    """Table cell: line breaks to spaces, tags off, the five named entities read, spaces collapsed."""
-    t = F.regexp_replace(F.regexp_replace(c, r"(?i)<br\s*/?>", " "), r"<[^>]*>", "")
+    """Table cell: tags become spaces, the five named entities are read, spaces collapsed."""
+    t = F.regexp_replace(c, r"<[^>]+>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         t = F.replace(t, F.lit(name), F.lit(char))
     return collapse(t)

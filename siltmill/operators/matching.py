@@ -25,11 +25,6 @@ def legal(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(spaced, " +", " ")))
 
 
-def lined(c: Column) -> Column:
-    """As legal(), but lines stay apart."""
-    return F.lower(F.translate(to_arabic(F.coalesce(c, F.lit(""))), "+_\t", "   "))
-
-
 def base_name(path: Column) -> Column:
     name = F.element_at(F.split(F.coalesce(path, F.lit("")), "/"), -1)
     return F.when(F.endswith(F.lower(name), F.lit(".md")), F.substring(name, F.lit(1), F.length(name) - 3)).otherwise(name)
@@ -42,9 +37,9 @@ def sections_in(c: Column) -> Column:
 
 
 def numbers_after(c: Column, word: str) -> Column:
-    """All numbers on a line, up to a bar, after the word: `ข้อ 1 และ 7` names 1 and 7."""
-    rests = F.regexp_extract_all(lined(c), F.lit(f"{word}([^\\n|]*)"), F.lit(1))
-    return F.flatten(F.transform(rests, lambda r: F.regexp_extract_all(r, F.lit("([0-9]+)"), F.lit(1))))
+    """All numbers up to a bar after the word, lines being no bound: `ข้อ 1 และ 7` names 1 and 7."""
+    rests = F.regexp_extract_all(legal(c), F.lit(f"{word}([^|]*)"), F.lit(1))
+    return F.flatten(F.transform(rests, lambda r: F.regexp_extract_all(r, F.lit(r"(?U)\b([0-9]+)\b"), F.lit(1))))
 
 
 def number_of(c: Column, words: list[str]) -> Column:
@@ -89,6 +84,15 @@ def unit_of(c: Column) -> Column:
     return F.regexp_replace(found, "([^0-9 ]) *([0-9])", "$1 $2")
 
 
+#: One bracketed item: digits or a Thai consonant.
+ITEM = "[(] *[0-9ก-ฮ]+ *[)]"
+
+
+def bare_item(section: Column) -> Column:
+    """Whether an expected section is items alone, such as `(๒)` or `(1) (ก)`, without the unit that they belong to."""
+    return F.regexp_like(legal(section), F.lit(f"^(?:{ITEM} *)+$"))
+
+
 def chunk_matches(path: Column, section: Column, entry: Column, body: Column) -> Column:
     """A labelled chunk matches by its label: the document, then the whole-document label, the same unit, or, for
     chapters and bare items, the text; with no unit expected the document is enough. An unlabelled one matches by text."""
@@ -96,7 +100,7 @@ def chunk_matches(path: Column, section: Column, entry: Column, body: Column) ->
     text = F.concat_ws(" ", entry, body)
     anywhere = F.coalesce(path, F.lit("")) == ""
     by_text = section_matches(section, text) & (anywhere | document_matches(path, text))
-    loose = F.contains(section, F.lit(CHAPTER_WORD)) | F.regexp_like(legal(section), F.lit(r"^[(]?[0-9.]+[)]?$"))
+    loose = F.contains(section, F.lit(CHAPTER_WORD)) | bare_item(section)
     by_unit = F.when(unit_of(section) != "", unit_of(label) == unit_of(section)).when(loose, by_text).otherwise(~anywhere)
     labelled = same_title(path, title) & ((F.trim(label) == WHOLE) | by_unit)
     return F.when(F.contains(entry, F.lit("|")), labelled).otherwise(by_text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matching import bare_item, unit_of
+
 from ..functions.text import any_of, doc_key, normal_evidence, same_document
 
 
@@ -121,6 +123,16 @@ def inherit_last(df: DataFrame, keys: list[str], order: str, value: str, out: st
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
 
 
+def with_inherited_units(pairs: DataFrame, keys: list[str], order: str, section: str = "section") -> DataFrame:
+    """pairs in which a section of bare items takes the last unit named before it (within keys, by order): `มาตรา 96 วรรคหนึ่ง
+    (2)`, then `(5)`, means `มาตรา 96 (5)`. Without one before it, it stays."""
+    unit = F.nullif(unit_of(F.col(section)), F.lit(""))
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = pairs.withColumn("_unit", unit).withColumn("_last", F.last("_unit", ignorenulls=True).over(w))
+    takes = F.col("_unit").isNull() & bare_item(F.col(section)) & F.col("_last").isNotNull()
+    return rows.withColumn(section, F.when(takes, F.concat_ws(" ", "_last", F.trim(section))).otherwise(F.col(section))).drop("_unit", "_last")
+
+
 def expand_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     """Two lists of one length pair up by place; of different lengths, every one with every other."""
     same = F.size(a) == F.size(b)

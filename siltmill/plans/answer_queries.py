@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -273,10 +274,24 @@ def scrub_references(spark, sf):
 )
 def answer_context(spark, sf):
     """The first hits of each question as text blocks, digits Arabic."""
-    from pyspark.sql import Window
-
     from ..engine import Engine
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     hits = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), F.row_number().over(w).alias("rank"), _say("Doc ", F.col("l_partkey")).alias("entry"), T.to_thai(_say("part ", F.col("l_suppkey"))).alias("content"))
     return Engine.context(hits, 3)
+
+
+_SAID = "case when l_linenumber % 3 = 1 then 'มาตรา ' || l_partkey || ' วรรคหนึ่ง' when l_linenumber % 3 = 2 then ' (' || l_linenumber || ') (ก) ' else 'บทนำ' end"
+
+
+@query(
+    f"""with s as (select l_orderkey as doc, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) as pos, l_linenumber, l_partkey, {_SAID} as section from lineitem),
+    u as (select *, last_value(case when l_linenumber % 3 = 1 then 'มาตรา ' || l_partkey end ignore nulls) over (partition by doc order by pos rows between unbounded preceding and current row) as unit from s)
+    select doc, pos, case when l_linenumber % 3 = 2 and unit is not null then unit || ' ' || trim(section) else section end as section from u"""
+)
+def inherited_units(spark, sf):
+    """Sections of bare items take the unit that was named before them in their document."""
+    said = F.when(F.col("l_linenumber") % 3 == 1, F.concat(F.lit("มาตรา "), F.col("l_partkey").cast("string"), F.lit(" วรรคหนึ่ง"))).when(F.col("l_linenumber") % 3 == 2, F.concat(F.lit(" ("), F.col("l_linenumber").cast("string"), F.lit(") (ก) "))).otherwise("บทนำ")
+    pos = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")).cast("long")
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), pos.alias("pos"), said.alias("section"))
+    return metrics.with_inherited_units(rows, ["doc"], "pos")

@@ -101,7 +101,7 @@ def org_id_valid(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.explode(names).alias("org")).withColumn("ok", T.valid_org(F.col("org")))
 
 
-_CELL = "regexp_replace(regexp_replace(cell, '(?i)<br\\s*/?>', ' ', 'g'), '<[^>]*>', '', 'g')"
+_CELL = "regexp_replace(cell, '<[^>]+>', ' ', 'g')"
 for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
     _CELL = f"replace({_CELL}, '{_a}', '{_b}')"
 

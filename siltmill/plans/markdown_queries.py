@@ -120,7 +120,7 @@ def held_sections(spark, sf):
 
 @query(
     f"""with {_ORDERED}, q as (select l_orderkey as doc_id, n, n - 1 as ord, 'question ' || word || ' more' as question, 'answer ' || word || ' so' as answer, pages from l)
-    select doc_id, ord, 'faq' as doc_type, 'faq' as kind, case when pages = 1 then 'ทั้งฉบับ' else n || '. ' || question end as label, 'คำถาม: ' || question || chr(10) || 'คำตอบ: ' || answer as content, 'ทั่วไป' as path from q"""
+    select doc_id, ord, 'faq' as doc_type, 'faq' as kind, case when pages = 1 then 'ทั้งฉบับ' else 'ทั่วไป ข้อ ' || n end as label, 'คำถาม: ' || question || chr(10) || 'คำตอบ: ' || answer as content, 'ทั่วไป' as path from q"""
 )
 def faq_chunks(spark, sf):
     """Question rows that go on in the next row, under a category row."""
