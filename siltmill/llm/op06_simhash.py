@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, discard, stored
+from .common import digest, discard, small, stored
 
 BLOCK = 2_000_000  # distances computed at once
 
@@ -223,6 +223,9 @@ def _deal(trees: dict[int, bytes], radius: int):
         grown = {leaf: [tuple(map(int, n)) for n in np.frombuffer(t, dtype=[("v", "<u8"), ("m", "<i8"), ("a", "<i8"), ("b", "<i8")])] for leaf, t in trees.items()}
         for pdf in parts:
             for leaf, own in pdf.groupby("leaf", sort=False):
+                if leaf not in grown:  # no fingerprint of the sample: one child, which does not shrink and goes by blocks
+                    yield own.assign(leaf=own["leaf"] * FAN_OUT)
+                    continue
                 fps = own["fp"].to_numpy(np.int64)
                 child, idx, home = route(fps.view(np.uint64), grown[leaf], radius, own["home"].to_numpy(bool))
                 yield pd.DataFrame({"leaf": leaf * FAN_OUT + child, "fp": fps[idx], "home": home})
@@ -230,11 +233,19 @@ def _deal(trees: dict[int, bytes], radius: int):
     return deal
 
 
+def _sampled(rows: DataFrame, leaves: DataFrame, sample: int) -> DataFrame:
+    """leaf, n, fp: about `sample` of the fingerprints at home in each leaf (leaf, n, homes), those whose hash lies below
+    the leaf's share. Each task picks its own, so a leaf that holds every fingerprint is neither sent nor sorted."""
+    share = F.when(F.col("homes") <= sample, 1.0).otherwise(sample / F.col("homes"))
+    lot = F.pmod(F.xxhash64(F.col("fp"), F.lit(1)), F.lit(1 << 31)) / float(1 << 31)
+    return rows.where("home").join(small(leaves, leaves.count()), "leaf").where(lot < share).select("leaf", "n", "fp")
+
+
 def link_fingerprints(fps: DataFrame, radius: int = 2, leaf_size: int = 16_384, sample: int = 4096) -> DataFrame:
     """node, root for each of the different fingerprints (column fp) that links to a smaller one, directly or not.
 
     A leaf with more than twice leaf_size rows (those that live there and visitors) is split once more, by a tree that a task
-    fits on at most `sample` of the leaf's fingerprints (by a hash), until leaves are small. Trees come to the driver in
+    fits on about `sample` of the leaf's fingerprints (by a hash), until leaves are small. Trees come to the driver in
     waves of TREE_BYTES. A leaf that splitting does not make smaller, or that LEVELS
     splits leave too large, is searched in pairs of blocks. All rows are routed.
     """
@@ -243,7 +254,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, leaf_size: int = 16_384,
     before = None
     forests = []
     for level in range(LEVELS + 1):
-        sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"))
+        sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.count_if("home").alias("homes"))
         parent = F.floor(F.col("leaf") / FAN_OUT).cast("long")
         if before is not None:
             old = before.select(F.col("leaf").alias("_p"), F.col("n").alias("_n"))
@@ -251,15 +262,13 @@ def link_fingerprints(fps: DataFrame, radius: int = 2, leaf_size: int = 16_384,
         else:
             sizes = sizes.withColumn("_n", F.lit(None).cast("long"))
         sizes = stored(sizes.withColumn("stuck", F.coalesce(F.col("n") > 0.9 * F.col("_n"), F.lit(False)) | F.lit(level == LEVELS)), "leaf-sizes")
-        large = sizes.where(F.col("n") > 2 * leaf_size).select("leaf", "n", "stuck")
+        large = sizes.where(F.col("n") > 2 * leaf_size).select("leaf", "n", "homes", "stuck")
         forests.append(stored(rows.join(large.select("leaf"), "leaf", "left_anti").groupBy("leaf").applyInPandas(_leaf_forest(radius), "u long, v long"), "leaf-links"))
-        forests.append(stored(_by_blocks(rows.join(large.where("stuck"), "leaf"), radius, leaf_size), "block-links"))
-        again = large.where("not stuck").select("leaf", "n")
+        forests.append(stored(_by_blocks(rows.join(large.where("stuck").drop("homes"), "leaf"), radius, leaf_size), "block-links"))
+        again = large.where("not stuck").select("leaf", "n", "homes")
         if again.isEmpty():
             break
-        first = F.row_number().over(Window.partitionBy("leaf").orderBy(F.xxhash64(F.col("fp"), F.lit(1)), "fp"))
-        homes = rows.where("home").join(again, "leaf")
-        taken = homes.withColumn("_r", first).where(F.col("_r") <= sample).select("leaf", "n", "fp")
+        taken = _sampled(rows, again, sample)
         trees = stored(taken.groupBy("leaf").applyInPandas(_fit(radius, leaf_size), "leaf long, tree binary"), "vantage-trees")
         waves = max(1, math.ceil((trees.agg(F.sum(F.octet_length("tree") + 100)).first()[0] or 0) / TREE_BYTES))
         split = None

@@ -338,6 +338,16 @@ def test_op6_leaves_that_do_not_shrink_are_searched_in_blocks(spark):
     assert got == {k: v for k, v in expected.items() if k != v}
 
 
+def test_op6_takes_samples_without_sending_a_leaf_to_one_task(spark):
+    n = 60_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("leaf"), F.xxhash64("id").alias("fp"), F.lit(True).alias("home"))
+    leaves = spark.createDataFrame([(1, n, n)], "leaf long, n long, homes long")
+    taken = op6._sampled(rows, leaves, 4096)
+    plan = taken._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and abs(taken.count() - 4096) < 400
+    assert op6._sampled(rows.limit(50), spark.createDataFrame([(1, 50, 50)], "leaf long, n long, homes long"), 4096).count() == 50
+
+
 def test_op6_components_of_a_long_chain(spark):
     e = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     assert {r.root for r in op6.components(e).collect()} == {0}
