@@ -83,6 +83,13 @@ def saturation(tf: Column, length: Column, average: Column, k1: float, b: float)
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / average))
 
 
+def sparse_idf(index: Index, terms: DataFrame, rows: int) -> DataFrame:
+    """term, avg_len, idf of those of the terms (their row count is `rows`) that the index holds."""
+    found = index.vocabulary.join(small(terms.select("term").distinct(), rows), "term", "left_semi")
+    n, d = F.col("n_docs"), F.col("df")
+    return found.crossJoin(F.broadcast(index.stats)).select("term", "avg_len", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))  # one row of statistics
+
+
 def bm25(docs: DataFrame | Index, queries: DataFrame, variant: str = "sparse", key: str = "doc_id", k1: float | None = None, b: float = 0.75, epsilon: float = 0.25, within: DataFrame | None = None, tokenize: Tokenize = tokens) -> DataFrame:
     """query_id, key, score (6 decimals) of documents that share a term with a query.
 
@@ -97,10 +104,10 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, variant: str = "sparse", k
     rows = q.count()
     stats = F.broadcast(index.stats)  # one row
     n, d = F.col("n_docs"), F.col("df")
-    found = index.vocabulary.join(small(q.select("term").distinct(), rows), "term", "left_semi")
     if variant == "sparse":
-        idf = found.crossJoin(stats).select("term", "avg_len", F.log(1 + (n - d + 0.5) / (d + 0.5)).alias("idf"))
+        idf = sparse_idf(index, q, rows)
     else:
+        found = index.vocabulary.join(small(q.select("term").distinct(), rows), "term", "left_semi")
         raw = F.log((n - d + 0.5) / (d + 0.5))
         mean = F.broadcast(index.vocabulary.crossJoin(stats).agg(F.avg(raw).alias("mean")))  # one row
         idf = found.crossJoin(stats).crossJoin(mean).select("term", "avg_len", F.when(raw < 0, epsilon * F.col("mean")).otherwise(raw).alias("idf"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,15 +22,6 @@ def own_only_docs(spark, sf):
     return own_only(docs(spark, sf), "SRC5").select("doc_id", "org_id")
 
 
-@query(f"with {DOCS} select t.org as tenant, count(*) as n_rows, count(*) filter (where org_id not in ('PUBLIC', t.org)) as n_leaks from docs join (select distinct org_id as org from docs where org_id <> 'PUBLIC') t on org_id in ('PUBLIC', t.org) group by 1")
-def tenant_leak_audit(spark, sf):
-    """What every tenant of the data reads; tenants are a list, of a size that the driver may hold."""
-    d = docs(spark, sf).select("doc_id", "org_id")
-    tenants = [r[0] for r in d.where("org_id <> 'PUBLIC'").select("org_id").distinct().collect()]
-    seen = reduce(DataFrame.unionByName, [visible(d, t).withColumn("tenant", F.lit(t)) for t in tenants])
-    return seen.groupBy("tenant").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("org_id").isin("PUBLIC") & (F.col("org_id") != F.col("tenant"))).alias("n_leaks"))
-
-
 @query(f"with {DOCS} select distinct title from docs where org_id in ('PUBLIC', 'SRC4') order by 1")
 def catalog_titles(spark, sf):
     return visible(docs(spark, sf), "SRC4").select("title").distinct().orderBy("title")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import blockmax, tenants
 from ..operators import retrieval as R
 from ..operators import vector_index as V
 from ..operators.segments import TenantSegments
 from ..sources.snapshots import Catalog
-from .search_queries import _VQ, _VS, PASS, _vector_queries
+from .search_queries import _VQ, _VS, PASS, _vector_queries, doc_index
 from .tables import DOCS, bm25_sql, docs, passages, query, scratch, stored, table, top_sql
 
 TENANTS = ("SRC7", "SRC9")
@@ -86,3 +88,42 @@ def vector_index_topk(spark, sf):
 
 
 query()(vector_index_topk)
+
+
+@query(f"with {PASS}, {bm25_sql('documents', 'passages')}, {top_sql('scores', 'top', 'doc_id', 10)} select * from top where score > 0")
+def blockmax_topk(spark, sf):
+    """The ten best documents by BM25, without the blocks of documents whose bounds lie below the tenth."""
+    blocks = blockmax.block_index(doc_index(spark, sf), keep=stored)
+    return blockmax.block_top(blocks, passages(spark, sf), 10, keep=stored)[0].where("score > 0")
+
+
+def _asks(spark, sf):
+    """tenant, query_id: four tenants of the data ask each passage, dealt by their places in the list of tenants."""
+    place = F.row_number().over(Window.orderBy("tenant")) - 1  # a row for each tenant
+    listed = docs(spark, sf).where("org_id <> 'PUBLIC'").select(F.col("org_id").alias("tenant")).distinct()
+    listed = listed.select("tenant", place.alias("place")).join(F.broadcast(listed.agg(F.count("*").alias("n"))))
+    slots = passages(spark, sf).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i"))
+    wanted = slots.crossJoin(F.broadcast(listed.select("n").distinct())).select("query_id", ((F.col("query_id") * 4 + F.col("i")) % F.col("n")).alias("place"))  # n is one row
+    return wanted.join(listed.select("tenant", "place"), "place").select("tenant", "query_id")
+
+
+def _tenant_hits(spark, sf):
+    scores = R.bm25(doc_index(spark, sf), passages(spark, sf))
+    return tenants.search_pairs(scores, docs(spark, sf).select("doc_id", "org_id"), _asks(spark, sf), "doc_id", 10)
+
+
+_HITS = f"""{DOCS}, {PASS}, {bm25_sql('documents', 'passages')}, who as (select org_id as tenant, row_number() over (order by org_id) - 1 as place, count(*) over () as n from (select distinct org_id from docs where org_id <> 'PUBLIC')),
+asks as (select distinct tenant, query_id from (select query_id, unnest([0, 1, 2, 3]) as i from passages) join who on place = (query_id * 4 + i) % n),
+hits as (select * from (select tenant, query_id, doc_id, score, row_number() over (partition by tenant, query_id order by score desc, doc_id) as rank from scores join docs using (doc_id) join asks using (query_id) where org_id in ('PUBLIC', tenant)) where rank <= 10)"""
+
+
+@query(f"with {_HITS} select * from hits")
+def tenant_pair_search(spark, sf):
+    """Every tenant's own search results in one plan: pairs of question and tenant, visibility as a join."""
+    return _tenant_hits(spark, sf)
+
+
+@query(f"with {_HITS} select tenant, count(*) as hits, count(*) filter (where org_id not in ('PUBLIC', tenant)) as leaked from hits join docs using (doc_id) group by tenant")
+def tenant_leak_audit(spark, sf):
+    """What every tenant of the data was shown by its searches, and how much of it belongs to others."""
+    return tenants.leaks(_tenant_hits(spark, sf), docs(spark, sf).select("doc_id", "org_id"), "doc_id")

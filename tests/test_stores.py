@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from siltmill.engine import Engine
 from siltmill.operators import retrieval as R
+from siltmill.operators import blockmax as B
 from siltmill.operators import segments as G
+from siltmill.operators import tenants as T
 from siltmill.operators import vector_index as V
 from siltmill.operators.assembly import RetrieverConfig
 from siltmill.operators.embedding import Embedder, hashed
@@ -156,3 +158,33 @@ def test_vector_index_of_odd_tables(spark, tmp_path):
         index = V.open_index(spark, f"file://{tmp_path}/{name}")
         assert [r.vec_id for r in V.search(index, q, 3, exact=True).orderBy("rank").collect()] == want
         assert V.search(index, q.limit(0), 3).count() == 0
+
+
+def test_block_search_reads_few_blocks_and_loses_nothing(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    weight = 1 / np.arange(1, 401)
+    texts = [" ".join(rng.choice(words, rng.integers(1, 40), p=weight / weight.sum())) for _ in range(1500)] + [None, "", "w0 w0 w0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    q = spark.createDataFrame([(0, "w1 w390 w391 w392"), (1, "w0"), (2, "w350"), (3, "nothing known"), (4, "w0 w1 w2 w399"), (5, "")], "query_id int, text string")
+    hold = lambda df, _: df.cache()
+    hits, reads = B.block_top(B.block_index(R.index_of(docs), 8, hold), q, 5, 4, keep=hold)
+    want = R.top_k(R.bm25(docs, q), ["query_id"], "score", ["doc_id"], 5)
+    order = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    assert order(hits) == order(want)
+    share = {r.query_id: r.read / r.blocks for r in reads.collect()}
+    assert set(share) == {0, 1, 2, 4} and share[0] < 0.3 and max(share.values()) <= 1  # rare words decide: few blocks; frequent ones: nearly all
+
+
+def test_pairs_of_tenant_and_question_see_their_own(spark):
+    owners = spark.createDataFrame([(1, "PUBLIC"), (2, "A"), (3, "B"), (4, None), (5, "PUBLIC"), (6, "A")], "doc_id int, org_id string")
+    scores = spark.createDataFrame([(0, i, float(i)) for i in range(1, 8)] + [(1, 1, 1.0), (1, 3, 1.0)], "query_id int, doc_id int, score double")
+    asks = spark.createDataFrame([("A", 0), ("A", 0), ("B", 0), ("B", 1), ("C", 0), (None, 0), ("", 1)], "tenant string, query_id int")
+    got = T.search_pairs(scores, owners, asks, "doc_id", 3)
+    rows = {}
+    for r in got.orderBy("rank").collect():
+        rows.setdefault((r.tenant, r.query_id), []).append(r.doc_id)
+    assert rows == {("A", 0): [6, 5, 2], ("B", 0): [5, 3, 1], ("B", 1): [1, 3], ("C", 0): [5, 1], (None, 0): [5, 1], ("", 1): [1]}
+    assert {r.leaked for r in T.leaks(got, owners, "doc_id").collect()} == {0}
+    planted = got.select("tenant", "doc_id").unionByName(spark.createDataFrame([("A", 3), ("A", 4), ("C", 2), (None, 2), ("B", 99)], "tenant string, doc_id int"))
+    assert {r.tenant: (r.hits, r.leaked) for r in T.leaks(planted, owners, "doc_id").collect()} == {"A": (5, 2), "B": (6, 1), "C": (3, 1), None: (3, 1), "": (1, 0)}
