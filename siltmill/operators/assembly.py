@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..session import visible
+from .models import PairModel, score_pairs
 from .retrieval import Index, Tokenize, bm25, dense_top, rrf, top_k
 
 
@@ -172,12 +173,17 @@ def merged_search(store: Store, queries: DataFrame, vectors: DataFrame | None, o
     return both.withColumn("rank", F.row_number().over(order).cast("long"))
 
 
-def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: str, cfg: RetrieverConfig = RetrieverConfig(), scorer: Callable[[Column, Column], Column] | None = overlap, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, DataFrame]:
+def _fused_order(seeds: DataFrame, cfg: RetrieverConfig) -> DataFrame:
+    return seeds.where(F.col("rank") <= cfg.top_k).select("query_id", "chunk_id", F.col("score").alias("final"), F.col("rank").alias("position"))
+
+
+def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: str, cfg: RetrieverConfig = RetrieverConfig(), scorer: Callable[[Column, Column], Column] | PairModel | None = overlap, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> tuple[DataFrame, DataFrame]:
     """(query_id, chunk_id, final, origin, position; one row of stats for each query) of a batch of questions.
 
     queries: query_id, variant_id, text; vectors: query_id, variant_id, q. Recall for each variant is fused over the
     variants, the seeds are scored against every variant by `scorer`, thresholded, given slots, followed by what they
-    cite, and, with faq_mode `separate`, by FAQ cases found for variant 0. Without a scorer the fused order decides.
+    cite, and, with faq_mode `separate`, by FAQ cases found for variant 0. Without a scorer the fused order decides, as it
+    does for the questions for which a model fails.
     keep(df, name) may store a table that several later stages read.
     """
     v = keep(clean_variants(queries), "variants")
@@ -190,14 +196,21 @@ def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: s
     seeds = keep(fuse_variants(hits, cfg, "chunk_id"), "seeds")
     near = store.neighbours.join(visible(store.chunks, org).select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
     if scorer is None:
-        kept = seeds.where(F.col("rank") <= cfg.top_k).select("query_id", "chunk_id", F.col("score").alias("final"), F.col("rank").alias("position"))
+        kept = _fused_order(seeds, cfg)
     else:
         every = store.chunks.select("chunk_id", "text")
         every = every.unionByName(store.uploads.chunks.select("chunk_id", "text")) if store.uploads else every
         texts = every.select("chunk_id", F.substring("text", 1, cfg.rerank_chars).alias("_chunk"))
         pairs = seeds.select("query_id", "chunk_id").join(texts, "chunk_id").join(v, "query_id")
-        matrix = keep(pairs.select("query_id", "variant_id", "chunk_id", scorer(F.col("text"), F.col("_chunk")).alias("score")), "matrix")
+        keyed = pairs.select("query_id", "variant_id", "chunk_id", "text", F.col("_chunk").alias("passage"))
+        if isinstance(scorer, PairModel):
+            matrix = keep(score_pairs(keyed, scorer), "matrix")
+            failed = matrix.where("failed").select("query_id").distinct()
+            matrix = matrix.join(failed, "query_id", "left_anti").drop("failed")
+        else:
+            failed, matrix = None, keep(keyed.select("query_id", "variant_id", "chunk_id", scorer(F.col("text"), F.col("passage")).alias("score")), "matrix")
         kept = slots(matrix, passing(rerank(matrix, "chunk_id", cfg.rank_by), cfg.threshold, "chunk_id"), "chunk_id", cfg)
+        kept = kept.unionByName(_fused_order(seeds.join(failed, "query_id", "left_semi"), cfg)) if failed is not None else kept
     kept = keep(kept, "kept")
     out = carry_neighbours(kept, near, "chunk_id", cfg)
     if apart and cfg.faq_k > 0:

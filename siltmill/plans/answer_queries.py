@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import assembly as A
 from ..operators import audit, graph, lookup, metrics, retrieval, writes
 from ..operators import corpus as C
-from ..operators.embedding import Embedder, hashed
+from ..operators.embedding import Embedder, EmbeddingCache, hashed
 from ..session import visible
 from ..sources.snapshots import Catalog
 from .corpus_queries import evidence_sql
@@ -222,6 +222,17 @@ def rebuild_tenant_index(spark, sf):
     return catalog.read("points").select("doc_id", "org_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
 
 
+@query(f"{_POINTS} select doc_id, org_id, {_VECTOR} as embedding from p")
+def embedding_cache(spark, sf):
+    """The same vectors from a cache: half of the texts are embedded first, then all are asked for, of which the cache has
+    that half."""
+    d = docs(spark, sf).where("org_id <> 'PUBLIC'").select("doc_id", "org_id", _say("[", F.col("title"), "]\n", F.col("text")).alias("t"))
+    cache = EmbeddingCache(spark, scratch(spark, "embedding-cache"), "hashed 8", few=0)
+    cache.column(d.where("doc_id % 2 = 0"), ["doc_id"], "t", _embedder())
+    got = cache.column(d, ["doc_id", "org_id"], "t", _embedder())
+    return got.select("doc_id", "org_id", F.transform("embedding", lambda x: F.round(x, 9)).alias("embedding"))
+
+
 @query(f"with {DOCS} select org_id, count(*) as n_rows, count(*) filter (where doc_id % 4 <> 0) as n_points, count(*) filter (where doc_id % 4 = 0) as n_missing, count(*) filter (where doc_id % 4 = 0) = 0 as parity from docs group by 1")
 def store_parity(spark, sf):
     """Rows of the relational store without a point in the vector store, by tenant."""

@@ -377,6 +377,32 @@ def fused_fallback(spark, sf):
     return _retrieved(spark, sf, replace(CFG, faq_k=0, graph_per_seed=0), None)[0].drop("origin")
 
 
+def _moody():
+    """A model that fails for questions whose md5 starts with 0 to 3, and gives the share of shared terms for the others."""
+    import hashlib
+
+    import regex
+
+    words = lambda t: {w for w in regex.findall(r"[\p{L}\p{N}_]+", t.lower()) if len(w) > 1}
+
+    def scores(pairs):
+        if any(hashlib.md5(q.encode()).hexdigest()[0] < "4" for q, _ in pairs):
+            raise ConnectionError("the model is away")
+        return [round(len(words(q) & words(c)) / max(len(words(q)), 1), 6) for q, c in pairs]
+
+    return scores
+
+
+@query(
+    f"""with {_chain_sql()}, away as (select distinct query_id from variants where md5(text)[1] < '4'),
+    f as (select query_id, chunk_id, score as final, rank as position from seeds where rank <= 15 and query_id in (select query_id from away))
+    select query_id, chunk_id, final, position from f union all select query_id, chunk_id, final, position from kept where query_id not in (select query_id from away)"""
+)
+def model_rerank_fallback(spark, sf):
+    """A model scores in the executors; the questions for which it fails keep the fused order."""
+    return _retrieved(spark, sf, replace(CFG, faq_k=0, graph_per_seed=0), A.PairModel(_moody))[0].drop("origin")
+
+
 @query(
     f"""with {_chain_sql()}, n as (select query_id, count(*) filter (where origin = 'search') as kept, count(*) filter (where origin = 'graph') as carried, count(*) filter (where origin = 'faq') as faq from result group by 1)
     select query_id, 2 as queries, (select count(distinct chunk_id) from hits h where h.query_id = n.query_id) as recalled, (select count(*) from seeds s where s.query_id = n.query_id) as seeds, kept, carried, faq from n"""
