@@ -9,8 +9,9 @@ from ..operators import citations, graph, matching
 from ..operators.chunking import chunk_documents
 from ..operators.corpus import page_paragraphs
 from ..sources.markdown import parse_documents
+from ..sources.snapshots import Catalog
 from .corpus_queries import _ORDERED, ordered_lines
-from .tables import query, table
+from .tables import query, scratch, table
 
 _N = "cast(n as varchar)"
 
@@ -248,3 +249,31 @@ def faq_links(spark, sf):
     laws = table(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), _say("Law ", F.col("n_nationkey")).alias("title"))
     units = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(citations.ACT).alias("doc"), _say("มาตรา ", F.col("o_orderkey")).alias("label"), F.lit("").alias("text"))
     return graph.faq_links(graph.link_titles(cases, laws), citations.case_citations(cases, units))
+
+
+_NOW = "(l_orderkey % 5 <> 1)"
+_CHANGED = "case when l_orderkey % 3 <> 0 and l_orderkey % 7 = 2 then word || 'q' else word end"
+
+
+@query(
+    f"""with {_ORDERED} select l_orderkey as doc_id, case when pages = 1 then 'ทั้งฉบับ' else 'หัวข้อ ' || word || ' ' || chr(cast(96 + n as int)) end as label,
+    '## หัวข้อ ' || word || ' ' || chr(cast(96 + n as int)) || chr(10) || chr(10) || repeat({_CHANGED} || ' ', 40) || l_orderkey as content,
+    case when l_orderkey % 3 = 0 then 'added' when l_orderkey % 7 = 2 then 'changed' else 'kept' end as state, count(distinct l_orderkey) over (partition by case when l_orderkey % 3 = 0 then 'added' when l_orderkey % 7 = 2 then 'changed' else 'kept' end) as n_files from l where {_NOW}"""
+)
+def incremental_build(spark, sf):
+    """A corpus after an update by added, changed and removed files, with how many files the update took for each."""
+    from ..engine import Engine
+
+    def files(mark):
+        body = lambda x: F.concat(_say("# หัวข้อ ", x["word"], " "), F.char((96 + x["n"]).cast("int")), F.lit("\n\n"), F.repeat(F.concat(x["word"], mark, F.lit(" ")), F.lit(40)), F.col("doc_id").cast("string"), F.lit("\n"))
+        return _files(spark, sf, "", body)
+
+    key = F.col("path").cast("long")
+    engine = Engine(spark, Catalog(spark, scratch(spark, "corpus")))
+    engine.build(files(F.lit("")).where(key % 3 != 0))
+    changed = (F.col("doc_id") % 3 != 0) & (F.col("doc_id") % 7 == 2)
+    n = engine.update(files(F.when(changed, "q").otherwise("")).where(key % 5 != 1))
+    doc = F.col("source_file").cast("long")
+    state = F.when(doc % 3 == 0, "added").when(doc % 7 == 2, "changed").otherwise("kept")
+    count = F.when(state == "added", n["added"]).when(state == "changed", n["changed"]).otherwise(n["kept"])
+    return engine.catalog.read("chunks").select(doc.alias("doc_id"), "label", "content", state.alias("state"), count.cast("long").alias("n_files"))
