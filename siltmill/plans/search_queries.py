@@ -11,6 +11,7 @@ from ..operators import assembly as A
 from ..operators import corpus as C
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators import rounds
 from ..session import visible
 from .tables import COSINE, DENSE, DOCS, FAQ, LINES, QVEC, VARIANTS, bm25_sql, docs, faq, lexical_index, passages, query, query_vectors, rrf_sql, stored, table, tok, top_sql, variants
 
@@ -427,3 +428,21 @@ def corpus_manifest(spark, sf):
     chunks = C.lines(table(spark, sf, "documents")).select(F.concat(F.lit("d"), "doc_id").alias("doc"), F.lit("section").alias("kind"))
     chunks = chunks.unionByName(pairs.select(F.expr("concat('f', floor(case_id / 1000))").alias("doc"), F.lit("faq").alias("kind")))
     return C.manifest(chunks, pairs)
+
+
+_HIDDEN = f"asked as (select item_id as query_id, item_id % 4 as n, array_to_string(list_transform({tok('text')}, lambda x: repeat('qx', item_id % 4) || x), ' ') as hidden, text from benchmark)"
+
+
+@query(
+    f"""with {_HIDDEN}, plain as (select query_id, text from asked where n < 3), {bm25_sql('documents', 'plain')}, {top_sql('scores', 'top', 'doc_id', 3)}
+    select query_id, least(n + 1, 3) as searches, doc_id is not null as settled, doc_id, score, rank, case when doc_id is not null then n end as round from asked left join top using (query_id)"""
+)
+def retry_rounds(spark, sf):
+    """Questions that are found as asked, after one and after two rewrites, and never: each word has a false beginning, of
+    which a rewrite takes one part off."""
+    hide = F.array_join(F.transform(T.tokens(F.col("text")), lambda x: F.concat(F.repeat(F.lit("qx"), (F.col("item_id") % 4).cast("int")), x)), " ")
+    asked_ = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), hide.alias("text"))
+    index = doc_index(spark, sf)
+    hits, states = rounds.ask_in_rounds(asked_, lambda q: R.bm25(index, q), lambda t, _: F.regexp_replace(t, r"(^|\s)qx", "$1"), "doc_id", keep=stored)
+    top = R.top_k(hits, ["query_id"], "score", ["doc_id"], 3)
+    return states.join(top, "query_id", "left").select("query_id", "searches", "settled", "doc_id", "score", "rank", "round")

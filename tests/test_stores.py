@@ -188,3 +188,26 @@ def test_pairs_of_tenant_and_question_see_their_own(spark):
     assert {r.leaked for r in T.leaks(got, owners, "doc_id").collect()} == {0}
     planted = got.select("tenant", "doc_id").unionByName(spark.createDataFrame([("A", 3), ("A", 4), ("C", 2), (None, 2), ("B", 99)], "tenant string, doc_id int"))
     assert {r.tenant: (r.hits, r.leaked) for r in T.leaks(planted, owners, "doc_id").collect()} == {"A": (5, 2), "B": (6, 1), "C": (3, 1), None: (3, 1), "": (1, 0)}
+
+
+def test_rounds_go_on_with_open_questions_only(spark):
+    from siltmill.operators.rounds import ask_in_rounds
+
+    store = spark.createDataFrame([("a", 1, 2.0), ("b", 2, 1.0), ("weak", 3, 0.1), ("weak", 1, 0.2), ("b", 3, 0.05)], "text string, doc_id int, score double")
+    asked_texts = []
+
+    def search(q):
+        asked_texts.append(sorted(r.text for r in q.collect()))
+        return q.join(store, "text")
+
+    steps = {"x": "b", "xx": "x", "weak": "b", "stay": "stay", "away": None}
+    rewrite = lambda t, turn: F.create_map(*[F.lit(v) for kv in steps.items() for v in kv])[t]
+    q = spark.createDataFrame([(1, "a"), (2, "x"), (3, "xx"), (4, "xxx"), (5, "weak"), (6, "stay"), (7, "away")], "query_id int, text string")
+    strong = lambda h: h.where("score >= 1").select("query_id")
+    hits, states = ask_in_rounds(q, search, rewrite, "doc_id", 2, strong, lambda df, _: df.cache())
+    assert {(r.query_id): (r.searches, r.settled) for r in states.collect()} == {1: (1, True), 2: (2, True), 3: (3, True), 4: (1, False), 5: (2, True), 6: (1, False), 7: (1, False)}
+    assert asked_texts == [["a", "away", "stay", "weak", "x", "xx", "xxx"], ["b", "b", "x"], ["b"]]
+    got = {(r.query_id, r.doc_id): (r.score, r.round) for r in hits.collect()}
+    assert got[1, 1] == (2.0, 0) and got[3, 2] == (1.0, 2) and got[5, 3] == (0.1, 0) and got[5, 1] == (0.2, 0) and got[5, 2] == (1.0, 1)
+    none, states = ask_in_rounds(q.limit(0), lambda d: d.join(store, "text"), rewrite, "doc_id")
+    assert none.count() == 0 and states.count() == 0
