@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,40 +99,69 @@ def related(parts: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.select("seed", "dst", F.lit(k).alias("relation")) for k, df in parts.items()])
 
 
-def link_titles(cases: DataFrame, documents: DataFrame, block_bytes: int = 32 << 20) -> DataFrame:
+#: Bytes of a title that are looked up in texts, and bits of the filter that texts' bytes pass first (2 MB).
+GRAM, GRAM_BITS = 8, 1 << 24
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _windows(raw: bytes, size: int) -> np.ndarray:
+    """Every run of `size` bytes (8 at most), as a number."""
+    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    out = np.zeros(max(0, len(b) - size + 1), np.uint64)
+    for i in range(size):
+        out |= b[i : i + len(out)] << np.uint64(8 * i)
+    return np.unique(out)
+
+
+def _bit(grams: np.ndarray) -> np.ndarray:
+    return ((grams * _SPREAD) >> np.uint64(40)) % np.uint64(GRAM_BITS)
+
+
+def _grams(df: DataFrame, key: str, text: str, sizes: list[int], most: int, bits: bytes | None = None) -> DataFrame:
+    """key, size, gram, bit: the different byte runs of each text. sizes: those asked for; texts of fewer than `most` bytes
+    give themselves only (sizes empty). bits: runs whose bit is not set are left out."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool) if bits is not None else None
+        for pdf in parts:
+            for k, t in zip(pdf[key], pdf[text]):
+                raw = (t or "").encode()
+                for size in sizes or [min(len(raw), most)]:
+                    g = _windows(raw, size) if size else np.empty(0, np.uint64)
+                    at = _bit(g)
+                    if held is not None:
+                        g, at = g[held[at]], at[held[at]]
+                    if len(g):
+                        yield pd.DataFrame({key: [k] * len(g), "size": size, "gram": g.view(np.int64), "bit": at.astype(np.int64)})
+
+    rows = df.select(F.col(key), F.col(text))
+    return rows.mapInPandas(run, StructType([df.schema[key], *StructType.fromDDL("size int, gram long, bit long").fields]))
+
+
+def link_titles(cases: DataFrame, documents: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """case_id, doc_id where the case's text (text) holds the document's whole title (title), for each row of both.
 
-    Blank titles match nothing. Titles are dealt by hash into blocks of about block_bytes; a block is one automaton that
-    each task builds and runs over its texts in one pass, so no pair of text and title is ever a row unless it matches.
+    Blank titles and null texts match nothing. Of each title's runs of GRAM bytes (a shorter title is one run) the one that
+    fewest texts hold is joined to the texts that hold it, and each pair is verified by containment. Texts send only runs
+    that titles may have, by a filter of GRAM_BITS; no title and no text comes to the driver. keep(df, name) may store a
+    table that is read twice.
     """
-    titles = documents.where("trim(title) <> ''").select("doc_id", "title")
-    blocks = max(1, -(-(titles.agg(F.sum(F.octet_length("title") + 16)).first()[0] or 0) // block_bytes))
-    dealt = titles.withColumn("_b", F.pmod(F.xxhash64("title"), F.lit(blocks)))
-    schema = StructType([cases.schema["case_id"], documents.schema["doc_id"]])
-
-    def search(held: list[tuple]):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import ahocorasick
-
-            ids: dict[str, list] = {}
-            for doc, title in held:
-                ids.setdefault(title, []).append(doc)
-            machine = ahocorasick.Automaton()
-            for title in ids:
-                machine.add_word(title, title)
-            machine.make_automaton()
-            for pdf in parts:
-                rows = [(case, doc) for case, text in zip(pdf["case_id"], pdf["text"]) if text for title in {t for _, t in machine.iter(text)} for doc in ids[title]]
-                yield pd.DataFrame(rows, columns=["case_id", "doc_id"])
-
-        return run
-
-    found = None
-    for b in range(blocks):
-        held = [tuple(r) for r in dealt.where(F.col("_b") == b).select("doc_id", "title").collect()]  # one block
-        part = cases.select("case_id", "text").mapInPandas(search(held), schema) if held else cases.sparkSession.createDataFrame([], schema)
-        found = part if found is None else found.unionByName(part)
-    return found
+    named = documents.where("trim(title) <> ''").select("doc_id", "title")
+    titles = named.select("title").distinct().withColumn("tid", F.xxhash64("title"))
+    own = keep(_grams(titles, "tid", "title", [], GRAM), "title-grams")
+    words = own.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
+    flags = np.zeros(GRAM_BITS // 64, "<i8")
+    for w, v in words.collect():  # at most GRAM_BITS / 64 rows
+        flags[w] = v
+    sizes = sorted(r[0] for r in own.select("size").distinct().collect())  # at most GRAM
+    texts = cases.select("case_id", "text", F.xxhash64("text").alias("_row")).where("text is not null")
+    seen = keep(_grams(texts, "_row", "text", sizes or [GRAM], GRAM, flags.tobytes()).select("_row", "size", "gram").distinct(), "text-grams")
+    often = seen.groupBy("size", "gram").agg(F.count("*").alias("n"))
+    rarest = own.join(often, ["size", "gram"], "left").groupBy("tid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "size", "gram")).alias("_g"))
+    chosen = rarest.where("_g.n > 0").select("tid", "_g.size", "_g.gram").join(titles, "tid")
+    pairs = seen.join(chosen, ["size", "gram"]).select("_row", "title").distinct()  # copies of a text meet in its digest
+    held = pairs.join(texts, "_row").where(F.contains("text", "title"))
+    return held.join(named, "title").select("case_id", "doc_id")
 
 
 def faq_links(titles: DataFrame, citations: DataFrame) -> DataFrame:

@@ -129,7 +129,7 @@ found as (select t.query_id, t.rank, s.span_id from texts t join spans s on s.qu
 def _evidence_spans(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text")
     b = passages(spark, sf)
-    first = graph.link_titles(d, b.select(F.col("query_id").alias("doc_id"), F.col("text").alias("title"))).groupBy(F.col("doc_id").alias("query_id")).agg(F.min("case_id").alias("doc"))
+    first = graph.link_titles(d, b.select(F.col("query_id").alias("doc_id"), F.col("text").alias("title")), stored).groupBy(F.col("doc_id").alias("query_id")).agg(F.min("case_id").alias("doc"))
     said = lambda i, doc, span: F.struct(F.lit(i).alias("span_id"), doc.alias("doc"), span.alias("span"))
     own, t = _say("corpus/doc_", F.col("doc"), "_end.md"), F.col("text")
     spans = F.array(said(1, own, t), said(2, own, F.concat(F.lit("<b>"), F.lower(F.substring(t, 1, 40)), F.lit("</b> | “”"))), said(3, own, F.lit("no such span")), said(4, F.lit("doc_none.md"), t))

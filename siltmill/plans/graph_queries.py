@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import audit, graph, lookup, metrics, retrieval, writes
 from .search_queries import PASS, _lexical
-from .tables import DOCS, EDGES, FAQ, NEXT, UNITS, bm25_sql, docs, edges, faq, passages, query, reading_order, table, tok, top_sql, units
+from .tables import DOCS, EDGES, FAQ, NEXT, UNITS, bm25_sql, docs, edges, faq, passages, query, reading_order, stored, table, tok, top_sql, units
 
 
 @query(f"with {UNITS}, {NEXT} select src, dst, 'next' as direction from nexts union all select dst, src, 'previous' from nexts")
@@ -77,7 +77,7 @@ _TITLES = "titles as (select item_id as doc_id, array_to_string(string_split(tex
 @query(f"with {_TITLES} select d.doc_id as case_id, t.doc_id from documents d join titles t on contains(d.text, t.title)")
 def faq_doc_theta(spark, sf):
     titles = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.array_join(F.slice(F.split("text", " ", -1), 1, 2), " ").alias("title"))
-    return graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles)
+    return graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles, stored)
 
 
 @query(
@@ -240,7 +240,7 @@ round(case when t is null then 1.0::double else rel / t end, 4) as recall, (case
 def _truth(spark, sf):
     b = passages(spark, sf)
     titles = b.select(F.col("query_id").alias("doc_id"), F.col("text").alias("title"))
-    found = graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles)
+    found = graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles, stored)
     return found.select(F.col("doc_id").alias("query_id"), F.col("case_id").alias("item"))
 
 

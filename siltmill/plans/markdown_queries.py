@@ -11,7 +11,7 @@ from ..operators.corpus import page_paragraphs
 from ..sources.markdown import parse_documents
 from ..sources.snapshots import Catalog
 from .corpus_queries import _ORDERED, ordered_lines
-from .tables import query, scratch, table
+from .tables import query, scratch, stored, table
 
 _N = "cast(n as varchar)"
 
@@ -248,7 +248,7 @@ def faq_links(spark, sf):
     cases = table(spark, sf, "customer").select(F.col("c_custkey").alias("case_id"), _say("by Law ", n, " then มาตรา ", n + 1).alias("text"), F.array().cast("array<string>").alias("cited_docs"))
     laws = table(spark, sf, "nation").select(F.col("n_nationkey").alias("doc_id"), _say("Law ", F.col("n_nationkey")).alias("title"))
     units = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.lit(citations.ACT).alias("doc"), _say("มาตรา ", F.col("o_orderkey")).alias("label"), F.lit("").alias("text"))
-    return graph.faq_links(graph.link_titles(cases, laws), citations.case_citations(cases, units))
+    return graph.faq_links(graph.link_titles(cases, laws, stored), citations.case_citations(cases, units))
 
 
 _NOW = "(l_orderkey % 5 <> 1)"

@@ -137,7 +137,20 @@ def test_edges(spark):
     assert nxt == {("u1", "u1b"), ("u1b", "u2")}
     cases = frame(spark, [(1, "see Big Law here"), (2, "none")], "case_id int, text string")
     laws = frame(spark, [(9, "Big Law"), (8, "Law of All")], "doc_id int, title string")
-    assert [tuple(r) for r in graph.link_titles(cases, laws).collect()] == [tuple(r) for r in graph.link_titles(cases, laws, 12).collect()] == [(1, 9)]
+    assert [tuple(r) for r in graph.link_titles(cases, laws).collect()] == [(1, 9)]
+
+
+def test_titles_in_texts_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abกข ") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 40))) for i in range(120)] + [(200, None), (201, ""), (5, "copy ab"), (202, "copy ab"), (203, "copy ab")]
+    names = [(i, word(rng.choice([1, 2, 3, 9, 12]))) for i in range(60)] + [(70, "copy ab"), (71, "copy ab"), (72, None), (73, "  "), (74, "never in any text")]
+    cases, laws = spark.createDataFrame(texts, "case_id int, text string"), spark.createDataFrame(names, "doc_id int, title string")
+    want = sorted((i, j) for i, t in texts for j, n in names if t is not None and n and n.strip(" ") and n in t)
+    assert sorted(map(tuple, graph.link_titles(cases, laws).collect())) == want and len(want) > 100
+    assert graph.link_titles(cases, laws.limit(0)).count() == 0 and graph.link_titles(cases.limit(0), laws).count() == 0
 
 
 def test_writes(spark):
