@@ -46,8 +46,8 @@ def brute_keep_one(rows):
     return sorted(least.values())
 
 
-@pytest.mark.parametrize("block_texts,sample", [(1024, 8_192), (7, 40)])
-def test_pipeline_near_duplicates_by_five_words(spark, block_texts, sample):
+@pytest.mark.parametrize("block_texts,sample,shingle_rows", [(1024, 8_192, 4096), (7, 40, 4096), (1024, 8_192, 6), (7, 8_192, 1)])
+def test_pipeline_near_duplicates_by_five_words(spark, block_texts, sample, shingle_rows):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     base = [word() for _ in range(90)]
@@ -55,10 +55,22 @@ def test_pipeline_near_duplicates_by_five_words(spark, block_texts, sample):
     shared = [" ".join([*base[:60], *(word() for _ in range(40))]) for _ in range(10)]
     rows = docs(spark, *edited, *shared, edited[0].upper(), None, "", " \n", "one two", "One  two", "one two three")
     expected = brute_keep_one([(x.doc_id, x.text) for x in rows.collect()])
-    got = near_duplicates.keep_one(rows, block_texts=block_texts, sample=sample)
+    got = near_duplicates.keep_one(rows, block_texts=block_texts, sample=sample, shingle_rows=shingle_rows)
     assert got.columns == rows.columns and sorted(x.doc_id for x in got.collect()) == expected
 
 
+def test_pipeline_near_duplicates_of_odd_rows(spark):
+    """Null ids come last, rows of one id are told apart by their texts, and columns may have any names."""
+    far = "one two three four five six seven"
+    rows = [(None, "a b c d e f", 1, 2), (3, "a b c d e f", 3, 4), (3, far, 5, 6), (3, far, 7, 8), (None, "x y z u v w", 9, 10), (None, None, 11, 12), (None, "", 13, 14)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, id long, `digest.root` long")
+    kept = near_duplicates.keep_one(d, shingle_rows=1)
+    assert kept.columns == d.columns
+    got = kept.collect()
+    assert sorted((str(r.doc_id), r.text) for r in got if (r.text or "").strip()) == [("3", "a b c d e f"), ("3", far), ("None", "x y z u v w")]
+    assert len(got) == 4 and near_duplicates.keep_one(d.limit(0)).count() == 0
+
+
 def test_pipeline_near_duplicates_on_documents(spark):
     import corpus_pipeline as P
 
