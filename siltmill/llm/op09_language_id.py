@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,21 +143,25 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     language that sorts first. Repeated rows stay; an empty table stays empty."""
     p = profiles
 
-    @F.pandas_udf("lang string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         held = p.space.letters()
-        for s in parts:
-            if not p.langs or not len(s):
-                yield pd.DataFrame({"lang": [UNKNOWN] * len(s), "score": 0.0})
-                continue
-            done = []
+        names = np.array([*p.langs, UNKNOWN], object)
+        for s in parts:  # a batch stays in Arrow; only TEXTS of its texts are Python strings at once
+            lang, score = [names[:0]], [np.zeros(0)]
             for at in range(0, len(s), TEXTS):
-                v, has = p.space.bundle(s.iloc[at : at + TEXTS].fillna("").tolist(), held)
+                texts = [t or "" for t in s.slice(at, TEXTS).to_pylist()]
+                if not p.langs:
+                    lang.append(np.full(len(texts), UNKNOWN, object))
+                    score.append(np.zeros(len(texts)))
+                    continue
+                v, has = p.space.bundle(texts, held)
                 norm = np.linalg.norm(v, axis=1)
                 cos = (v @ p.prototypes.T) / np.where(norm > 0, norm, 1)[:, None]
                 ok = has & (norm > 0)
-                done.append(pd.DataFrame({"lang": np.where(ok, np.array(p.langs, object)[cos.argmax(axis=1)], UNKNOWN), "score": np.where(ok, cos.max(axis=1).clip(0, 1), 0.0).astype("f8")}))
-            yield pd.concat(done, ignore_index=True)
+                lang.append(names[np.where(ok, cos.argmax(axis=1), len(p.langs))])
+                score.append(np.where(ok, cos.max(axis=1).clip(0, 1), 0.0))
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(lang).tolist(), pa.string()), pa.array(np.concatenate(score).astype("f8"))], ["lang", "score"])
 
     return docs.withColumn("_siltmill_lid", predict("text")).withColumns({"lang_pred": F.col("_siltmill_lid.lang"), "score": F.col("_siltmill_lid.score")}).drop("_siltmill_lid")
 
