@@ -172,17 +172,35 @@ def unit_labels(spark, sf):
 _ACT_UNITS = "u as (select o_orderkey as id, o_orderkey as num, o_custkey as cites from orders)"
 
 
-@query(
-    f"""with {_ACT_UNITS} select a.id as src, b.id as dst, 'CITES' as rel from u a join u b on b.num = a.cites where a.id <> b.id and a.id % 5 <> 0
-    union all select id, n2, 'NEXT_SECTION' from (select id, lead(id) over (order by num) as n2, num, lead(num) over (order by num) as nn from u) where nn = num + 1 and num <> 0"""
-)
-def citation_edges(spark, sf):
-    """Citations in the text of an act's sections: none of another law, none of itself; and the reading order."""
+def _act_units(spark, sf):
     o = table(spark, sf, "orders")
     other = F.when(F.col("o_orderkey") % 5 == 0, " แห่งประมวลรัษฎากร").otherwise(" และต่อไป")
     text = F.concat(_say("ให้นำมาตรา ", F.col("o_custkey")), other, _say(" หรือมาตรา ", F.col("o_orderkey"), " มาใช้"))
-    units = o.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.lit(citations.ACT).alias("doc"), T.to_thai(_say("มาตรา ", F.col("o_orderkey"))).alias("label"), T.to_thai(text).alias("text"))
-    return citations.legal_edges(units).select(F.col("src").cast("long"), F.col("dst").cast("long"), "rel")
+    return o.select(F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("id"), F.lit(citations.ACT).alias("doc"), T.to_thai(_say("มาตรา ", F.col("o_orderkey"))).alias("label"), T.to_thai(text).alias("text"))
+
+
+_ACT_EDGES = f"""with {_ACT_UNITS} select a.id as src, b.id as dst, 'CITES' as rel from u a join u b on b.num = a.cites where a.id <> b.id and a.id % 5 <> 0
+    union all select id, n2, 'NEXT_SECTION' from (select id, lead(id) over (order by num) as n2, num, lead(num) over (order by num) as nn from u) where nn = num + 1 and num <> 0"""
+
+
+@query(_ACT_EDGES)
+def citation_edges(spark, sf):
+    """Citations in the text of an act's sections: none of another law, none of itself; and the reading order."""
+    return citations.legal_edges(_act_units(spark, sf)).select(F.col("src").cast("long"), F.col("dst").cast("long"), "rel")
+
+
+@query(_ACT_EDGES)
+def citation_edges_lateral(spark, sf):
+    """The same edges from mentions that SQL lists with a lateral table function."""
+    return citations.legal_edges(_act_units(spark, sf), find=citations.lateral_mentions).select(F.col("src").cast("long"), F.col("dst").cast("long"), "rel")
+
+
+@query("select o_orderkey, ord, kind, num, case ord when 0 then 11 else 24 + length(o_custkey::varchar) end as start, 6 + length(num::varchar) - case ord when 0 then 0 else 3 end as length from (select o_orderkey, o_custkey, 0 as ord, 'section' as kind, o_custkey as num from orders union all select o_orderkey, o_custkey, 1, 'clause', o_orderkey from orders)")
+def mention_offsets(spark, sf):
+    """Where each unit is named in the text as it is, Thai digits and bracketed marks included."""
+    text = F.concat(F.lit("[มาตรา ๙] ก"), T.to_thai(_say("มาตรา ", F.col("o_custkey"))), F.lit(" และต่อ"), T.to_thai(_say("ข้อ", F.col("o_orderkey"))))
+    rows = citations.lateral_mentions(table(spark, sf, "orders").select("o_orderkey", text.alias("text")))
+    return rows.select("o_orderkey", F.col("ord").cast("long"), "kind", F.col("num").cast("long"), F.col("start").cast("long"), F.col("length").cast("long"))
 
 
 @query("select c_custkey, 'section' as kind, c_nationkey + 1 as num from customer where c_custkey % 3 <> 0 union all select c_custkey, 'clause', c_custkey from customer where c_custkey % 2 = 0")
