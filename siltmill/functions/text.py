@@ -45,7 +45,11 @@ def entry(title: Column, label: Column) -> Column:
 
 
 def clean_label(c: Column, most: int = 120) -> Column:
-    return F.substring(collapse(F.regexp_replace(c, r"[|#*_`]", " ")), 1, most)
+    return F.rtrim(F.substring(collapse(F.regexp_replace(c, r"[|#*_`]", " ")), 1, most))
+
+
+def chunk_id(entry: Column) -> Column:
+    return F.concat(F.lit("chunk_"), md5_id(entry))
 
 
 def md5_id(c: Column, digits: int = 16) -> Column:

@@ -45,10 +45,10 @@ def token_hash_index(spark, sf):
     return d.select("term", T.token_index(F.col("term")).alias("idx"))
 
 
-@query(f"with {LINES}, e as (select doc_id, ord, 'doc_' || doc_id || ' | line ' || ord as entry from lines) select doc_id, ord, entry, substr(md5(entry), 1, 16) as chunk_id from e")
+@query(f"with {LINES}, e as (select doc_id, ord, 'doc_' || doc_id || ' | line ' || ord as entry from lines) select doc_id, ord, entry, 'chunk_' || substr(md5(entry), 1, 16) as chunk_id from e")
 def chunk_ids(spark, sf):
     e = T.entry(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")), F.concat(F.lit("line "), F.col("ord").cast("string")))
-    return C.lines(table(spark, sf, "documents")).select("doc_id", F.col("ord").cast("long"), e.alias("entry"), T.md5_id(e).alias("chunk_id"))
+    return C.lines(table(spark, sf, "documents")).select("doc_id", F.col("ord").cast("long"), e.alias("entry"), T.chunk_id(e).alias("chunk_id"))
 
 
 @query("select p_partkey, substr(regexp_replace(p_name, '[^\\p{L}\\p{N}_]+', '_', 'g'), 1, 40) || '_' || substr(md5(p_name), 1, 8) as slug from part")

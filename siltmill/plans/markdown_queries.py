@@ -91,7 +91,7 @@ def _chunks(df):
 @query(
     f"""with {_ORDERED}, c as (select l_orderkey as doc_id, 0 as n, 'preamble' as kind, 'บทนำ' as label, 'คำปรารภ' as content, '' as path from l where n = 1 and pages > 1
     union all select l_orderkey, n, 'statute_unit', 'มาตรา ' || {_THAI}, 'มาตรา ' || {_THAI} || ' เนื้อหา ' || word, 'หมวด ๑ ' || first_value(word) over (partition by l_orderkey order by n) from l where pages > 1)
-    select doc_id, n as ord, 'statute' as doc_type, kind, label, content, path, 'Doc ' || doc_id || ' | ' || label as entry, substr(md5(doc_id || '|Doc ' || doc_id || ' | ' || label), 1, 16) as chunk_id from c"""
+    select doc_id, n as ord, 'statute' as doc_type, kind, label, content, path, 'Doc ' || doc_id || ' | ' || label as entry, 'chunk_' || substr(md5('Doc ' || doc_id || ' | ' || label), 1, 16) as chunk_id from c"""
 )
 def statute_units(spark, sf):
     """A provision a chunk, the chapter its path, what comes before the preamble; a number out of sequence is text."""
