@@ -58,7 +58,7 @@ def quote_attribution(spark, sf):
     of the same number in another document is not theirs."""
     li = table(spark, sf, "lineitem")
     n, o, case = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey") % 5
-    qid = (((o * 10 + n) * 1_000_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("quote_id")
+    qid = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("quote_id")  # keys of any size stay apart
     law = F.when(case == 0, "").when(case == 1, "หน้าอื่น").when(case == 2, F.concat(F.lit("ระเบียบ ก | "), T.to_thai(_say("ข้อ ", n)))).when(case == 3, _say("พระราชบัญญัติ ข มาตรา ", n)).otherwise(_say("กฎอื่น ข้อ ", n))
     quote = F.when(case == 1, _say("words of the tenant ", o)).otherwise("q")
     quotes = li.select(qid, o.alias("answer_id"), law.alias("law"), quote.alias("quote"))
@@ -72,7 +72,7 @@ def quote_attribution(spark, sf):
     records = records.unionByName(given.select("chunk_id", _say("reg", F.col("answer_id"), ".md").alias("source_file"), F.lit("ระเบียบ ก").alias("title"), *page(4, 6, 42), *unit(None, "ระเบียบ ก"), none.cast("int").alias("num")))
     records = records.unionByName(li.select(n).distinct().select(_say("s", n).alias("chunk_id"), _say("store", n, ".md").alias("source_file"), F.lit("พระราชบัญญัติ ข").alias("title"), *page(7, 7, 9), *unit("section", "พระราชบัญญัติ ข"), n.cast("int").alias("num")))
     got = audit.attribute_quotes(quotes, tenant.unionByName(given), records)
-    return got.select(F.expr("quote_id div 10000000000").alias("quote_id"), F.expr("(quote_id div 10000) % 1000000").alias("l_partkey"), F.expr("quote_id % 10000").alias("l_suppkey"), F.when(F.col("law").isNotNull(), "law").alias("law_kind"), "filename", "page")
+    return got.select((F.col("quote_id.l_orderkey") * 10 + F.col("quote_id.l_linenumber")).alias("quote_id"), "quote_id.l_partkey", "quote_id.l_suppkey", F.when(F.col("law").isNotNull(), "law").alias("law_kind"), "filename", "page")
 
 
 @query("select o_orderkey as query_id, 'ORG' || o_custkey % 3 as org_id, o_orderpriority as user_query, case when o_orderkey % 4 = 0 then 'ERROR' when o_orderkey % 4 = 1 then null else 'COMPLIANT' end as status, case when o_orderkey % 4 < 2 then 0 else 2 end as n_clauses, case when o_orderkey % 4 < 2 then null else o_orderkey % 4 = 2 end as grounded, o_custkey as latency_ms, case when o_orderkey % 4 = 0 then 'late' end as error from orders")
