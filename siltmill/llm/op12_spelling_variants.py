@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, small, stored
+from .common import discard, stored
 
 #: Latin-1 letters from À on and A to Z in small letters; all else parts words.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
@@ -86,6 +86,11 @@ def reduced_keys(words: DataFrame) -> DataFrame:
     return rows.select("word", "n", (F.col("_n") - F.when(whole, 0).otherwise(1)).alias("left"), key.alias("key"), "letter")
 
 
+def _shuffled(a: DataFrame, b: DataFrame, on: Column | str | list, how: str) -> DataFrame:
+    """A join by sorted shuffles whatever the sizes: a vocabulary grows with the texts, so no side of it is broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def near_words(words: DataFrame) -> DataFrame:
     """a, a_n, b, b_n: each pair of different words (word, n; no word twice) that one inserted, deleted or replaced letter
     parts, once."""
@@ -100,7 +105,7 @@ def near_words(words: DataFrame) -> DataFrame:
     exchanged = (F.col("a.letter") != F.col("b.letter")) & (F.col("a.word") < F.col("b.word"))
     cut = F.floor(F.col("a.left") / 2).cast("int")
     once = (F.col("a.side") == 0) | (F.left(F.col("a.word"), cut) != F.left(F.col("b.word"), cut))
-    pairs = a.join(b, [*same, longer | exchanged, once]).where(F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
+    pairs = _shuffled(a, b, [*same, longer | exchanged, once], "inner").where(F.levenshtein(F.col("a.word"), F.col("b.word"), 1) == 1)
     return pairs.select(F.col("a.word").alias("a"), F.col("a.n").alias("a_n"), F.col("b.word").alias("b"), F.col("b.n").alias("b_n"))
 
 
@@ -108,9 +113,8 @@ def followed(forms: DataFrame) -> DataFrame:
     """word, root for forms (word, form; no cycles): the last word of each chain. A round doubles the steps it looks ahead."""
     table = stored(forms.select("word", F.col("form").alias("root")), "variant-roots")
     while True:
-        n = table.count()
-        up = small(table.select(F.col("word").alias("_w"), F.col("root").alias("_r")), n)
-        ahead = table.join(up, F.col("root") == F.col("_w"), "left")
+        up = table.select(F.col("word").alias("_w"), F.col("root").alias("_r"))
+        ahead = _shuffled(table, up, F.col("root") == F.col("_w"), "left")
         further = stored(ahead.select("word", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("moved")), "variant-roots")
         discard(table)
         table = further
@@ -131,7 +135,7 @@ def spelling_variants(counts: DataFrame, least: int = 5, factor: int = 5, least_
     both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
     best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near")))
     groups = pairs.select(F.inline(both)).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    joined = words.join(groups, "word", "left")
+    joined = _shuffled(words, groups, "word", "left")
     enough = -F.col("best.less") >= factor * F.col("n")
     table = stored(
         joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n")),
@@ -139,4 +143,4 @@ def spelling_variants(counts: DataFrame, least: int = 5, factor: int = 5, least_
     )
     discard(words)
     roots = followed(table.where("form is not null"))
-    return table.join(roots, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return _shuffled(table, roots, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
