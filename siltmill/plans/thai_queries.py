@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.segment import segmenter
+from ..functions.segment import large_segmenter
 from ..operators import retrieval as R
 from .tables import bm25_sql, passages, query, stored, table, tok, top_sql
 
@@ -28,7 +28,7 @@ def thai_documents(spark, sf):
 
 
 def dictionary(spark, sf):
-    """The different words of documents and passages. A stated dictionary: the driver's vocabulary, bounded by segmenter()."""
+    """The different words of documents and passages. A stated dictionary: the driver's vocabulary, which grows with the documents."""
     texts = table(spark, sf, "documents").select("text").unionByName(table(spark, sf, "benchmark").select("text"))
     return texts.select(F.explode(thai_words(F.col("text"))).alias("word")).distinct()
 
@@ -40,7 +40,7 @@ def _sql_words(text: str) -> str:
 @query(f"select doc_id, len(w) as n_words, md5(array_to_string(w, ' ')) as words_md5 from (select doc_id, {_sql_words('text')} as w from documents)")
 def thai_segments(spark, sf):
     """Each document's words, found again in text without spaces."""
-    words = segmenter(dictionary(spark, sf))(F.col("text"))
+    words = large_segmenter(dictionary(spark, sf))(F.col("text"))
     return thai_documents(spark, sf).select("doc_id", words.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
@@ -50,7 +50,7 @@ _DOCS = f"tdocs as (select doc_id, array_to_string({_sql_words('text')}, ' ') as
 @query(f"with {_DOCS}, {bm25_sql('tdocs', 'tq').replace(tok('text'), 'list_filter(string_split(text, chr(32)), lambda x: length(x) > 1)')}, {top_sql('scores', 'top', 'doc_id', 10)} select * from top")
 def thai_bm25_topk(spark, sf):
     """BM25 over Thai documents for Thai passages, both cut by the same segmenter."""
-    cut = segmenter(dictionary(spark, sf))
+    cut = large_segmenter(dictionary(spark, sf))
     asked = passages(spark, sf).select("query_id", F.array_join(thai_words(F.col("text")), "").alias("text"))
     postings = stored(R.postings(thai_documents(spark, sf), tokenize=cut), "thai-postings")
     return R.top_k(R.bm25(R.index_from(postings, None, "doc_id"), asked, tokenize=cut), ["query_id"], "score", ["doc_id"], 10)
