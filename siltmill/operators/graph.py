@@ -101,6 +101,7 @@ def related(parts: dict[str, DataFrame]) -> DataFrame:
 
 #: Bytes of a title that are looked up in texts, and bits of the filter that texts' bytes pass first (2 MB).
 GRAM, GRAM_BITS = 8, 1 << 24
+GRAM_ROWS = 200_000  # runs that a task holds before it hands them on
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,13 +119,19 @@ def _bit(grams: np.ndarray) -> np.ndarray:
 
 
 def _grams(df: DataFrame, key: str, text: str, sizes: list[int], most: int, bits: bytes | None = None) -> DataFrame:
-    """key, size, gram, bit: the different byte runs of each text. sizes: those asked for; texts of fewer than `most` bytes
+    """key, size, gram, bit: the different byte runs of each text, copies of a row perhaps once. sizes: those asked for; texts of fewer than `most` bytes
     give themselves only (sizes empty). bits: runs whose bit is not set are left out."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool) if bits is not None else None
+        found: list[tuple] = []
+        copies: set[tuple] = set()
+        n = 0
         for pdf in parts:
             for k, t in zip(pdf[key], pdf[text]):
+                if (k, hash(t)) in copies:  # the same rows again
+                    continue
+                copies.add((k, hash(t)))
                 raw = (t or "").encode()
                 for size in sizes or [min(len(raw), most)]:
                     g = _windows(raw, size) if size else np.empty(0, np.uint64)
@@ -132,7 +139,20 @@ def _grams(df: DataFrame, key: str, text: str, sizes: list[int], most: int, bits
                     if held is not None:
                         g, at = g[held[at]], at[held[at]]
                     if len(g):
-                        yield pd.DataFrame({key: [k] * len(g), "size": size, "gram": g.view(np.int64), "bit": at.astype(np.int64)})
+                        found.append((k, size, g, at))
+                        n += len(g)
+                if n > GRAM_ROWS:
+                    yield frame(found)
+                    found, n = [], 0
+                if len(copies) > GRAM_ROWS:
+                    copies.clear()
+        if found:
+            yield frame(found)
+
+    def frame(found: list[tuple]) -> pd.DataFrame:
+        keys, of, grams, at = zip(*found)
+        many = [len(g) for g in grams]
+        return pd.DataFrame({key: np.repeat(np.array(keys), many), "size": np.repeat(np.array(of, np.int32), many), "gram": np.concatenate(grams).view(np.int64), "bit": np.concatenate(at).astype(np.int64)})
 
     rows = df.select(F.col(key), F.col(text))
     return rows.mapInPandas(run, StructType([df.schema[key], *StructType.fromDDL("size int, gram long, bit long").fields]))
