@@ -14,11 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .retrieval import QUERY_BYTES, dense_top, top_k
+from .best import TILE, Best
+from .retrieval import QUERY_BYTES, dense_top, nearest, top_k, unit
+from .retrieval import matrix as vectors_of
 
 #: Vectors that the cells are fitted on, at most about so many, by a hash of the key; and cells, at most.
 SAMPLE, CELLS = 50_000, 4096
@@ -26,14 +29,19 @@ SAMPLE, CELLS = 50_000, 4096
 TRIALS = 200
 
 
-def unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.sqrt((v * v).sum(axis=1)), 1e-9)[:, None]
-
-
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.map(np.asarray).to_list()).astype("f8")
 
 
+def closest(v: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centroid of each unit vector and the cosine, TILE of them at a time."""
+    own, near = np.zeros(len(v), "i8"), np.zeros(len(v))
+    for at in range(0, len(v), step := max(1, TILE // len(c))):
+        score = v[at : at + step] @ c.T
+        own[at : at + step], near[at : at + step] = score.argmax(axis=1), score.max(axis=1)
+    return own, near
+
+
 def _centroids(cells: int, rounds: int):
     """Spherical k-means of the sample; an empty cell takes the vector that lies farthest from its own."""
 
@@ -41,11 +49,10 @@ def _centroids(cells: int, rounds: int):
         v = unit(matrix(pdf.sort_values("_order")["embedding"]))
         c = v[np.linspace(0, len(v) - 1, min(cells, len(v))).astype(int)].copy()
         for _ in range(rounds):
-            near = v @ c.T
-            own = near.argmax(axis=1)
+            own, near = closest(v, c)
             sums = np.zeros_like(c)
             np.add.at(sums, own, v)
-            far = iter(np.argsort(near.max(axis=1), kind="stable").tolist())
+            far = iter(np.argsort(near, kind="stable").tolist())
             for empty in np.flatnonzero(np.bincount(own, minlength=len(c)) == 0):
                 sums[empty] = v[next(far)]
             c = unit(sums)
@@ -79,8 +86,8 @@ def build(vectors: DataFrame, folder: str, key: str = "vec_id", cells: int | Non
     def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
-                near = unit(matrix(pdf["embedding"])) @ c.T
-                yield pdf.assign(cell=near.argmax(axis=1).astype("i4"), near=near.max(axis=1))
+                own, near = closest(unit(matrix(pdf["embedding"])), c)
+                yield pdf.assign(cell=own.astype("i4"), near=near)
 
     placed = rows.mapInPandas(place, f"{key} {kind}, embedding {dict(rows.dtypes)['embedding']}, cell int, near double")
     # by ranges of cell and key: a cell with a third of all vectors is several tasks and files
@@ -125,20 +132,21 @@ class VectorIndex:
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, :probes]
 
     def read(self, wanted: dict[int, np.ndarray], q: np.ndarray, k: int) -> DataFrame:
-        """_i, key, score: for each cell's queries (positions in q) the best k of each batch of its vectors."""
+        """_i, key, score: for each cell's queries (positions in q) the best k of each task."""
         key = self.key
 
-        def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in parts:
-                for cell, own in pdf.groupby("cell", sort=False):
-                    asked = wanted[int(cell)]
-                    score = np.round(q[asked] @ unit(matrix(own["embedding"])).T, 6) + 0.0
-                    order = own[key].argsort(kind="stable").to_numpy()
-                    best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :k]]
-                    yield pd.DataFrame({"_i": np.repeat(asked, best.shape[1]).astype("i4"), key: own[key].to_numpy()[best.ravel()], "score": np.take_along_axis(score, best, axis=1).ravel()})
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(len(q), k)
+            for batch in batches:
+                cell, v = batch["cell"].to_numpy(), unit(vectors_of(batch["embedding"]))
+                for one in np.unique(cell):
+                    at = np.flatnonzero(cell == one)
+                    nearest(best, wanted[int(one)], q, batch[key].take(pa.array(at)), v[at])
+            for found in best.rows():
+                yield pa.RecordBatch.from_arrays(list(found), ["_i", key, "score"])
 
         some = self.rows().where(F.col("cell").isin(sorted(wanted))).select(key, "embedding", "cell")
-        return some.mapInPandas(search, f"_i int, {key} {self.kind}, score double")
+        return some.mapInArrow(search, f"_i int, {key} {self.kind}, score double")
 
 
 def open_index(spark: SparkSession, folder: str, key: str = "vec_id") -> VectorIndex:
