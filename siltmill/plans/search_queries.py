@@ -19,11 +19,18 @@ PASS = "passages as (select item_id as query_id, text from benchmark)"
 
 
 def doc_index(spark, sf):
-    return lexical_index(table(spark, sf, "documents").select("doc_id", "text"), "documents", "doc_id")
+    """The documents' index, with what searches filter by."""
+    d = table(spark, sf, "documents")
+    d = docs(spark, sf) if "source" in d.columns else d
+    return lexical_index(d.select("doc_id", "text", *(c for c in ("org_id", "lang") if c in d.columns)), "documents", "doc_id")
 
 
-def _lexical(spark, sf, variant="sparse", within=None):
-    return R.bm25(doc_index(spark, sf), passages(spark, sf), variant, within=within)
+def _lexical(spark, sf, variant="sparse"):
+    return R.bm25(doc_index(spark, sf), passages(spark, sf), variant)
+
+
+def _lexical_top(spark, sf, k, variant="sparse", seen=None):
+    return R.bm25_top(doc_index(spark, sf), passages(spark, sf), k, variant, seen=seen)
 
 
 def _vectors(spark, sf, within=None):
@@ -31,10 +38,11 @@ def _vectors(spark, sf, within=None):
     return v if within is None else v.join(within, "doc_id", "left_semi")
 
 
-def _fused(spark, sf, top, within=None):
+def _fused(spark, sf, top, seen=None):
     """Hybrid search of the passages: both legs cut at max(3 top, 30), filtered before they are ranked."""
     depth = max(3 * top, 30)
-    lex = R.top_k(_lexical(spark, sf, within=within), ["query_id"], "score", ["doc_id"], depth)
+    within = seen(docs(spark, sf)).select("doc_id") if seen else None
+    lex = _lexical_top(spark, sf, depth, seen=seen)
     sem = R.dense_top(_vectors(spark, sf, within), query_vectors(spark, sf), "doc_id", depth)
     return R.top_k(R.rrf([lex, sem], "doc_id"), ["query_id"], "score", ["doc_id"], top)
 
@@ -46,12 +54,12 @@ def bm25_scores(spark, sf):
 
 @query(f"with {PASS}, {bm25_sql('documents', 'passages')}, {top_sql('scores', 'top', 'doc_id', 10)} select * from top where score > 0")
 def bm25_topk(spark, sf):
-    return R.top_k(_lexical(spark, sf), ["query_id"], "score", ["doc_id"], 10).where("score > 0")
+    return _lexical_top(spark, sf, 10).where("score > 0")
 
 
 @query(f"with {PASS}, {bm25_sql('documents', 'passages', variant='okapi')}, {top_sql('scores', 'top', 'doc_id', 10)} select * from top")
 def bm25_okapi(spark, sf):
-    return R.top_k(_lexical(spark, sf, "okapi"), ["query_id"], "score", ["doc_id"], 10)
+    return _lexical_top(spark, sf, 10, "okapi")
 
 
 @query(f"select term, count(*) as df, cast(sum(tf) as bigint) as cf from (select doc_id, term, count(*) as tf from (select doc_id, unnest({tok('text')}) as term from documents) group by all) group by 1")
@@ -67,10 +75,7 @@ def df_table(spark, sf):
 )
 def sparse_doc_weights(spark, sf):
     """Hashed sparse vectors of the documents; terms that collide add up."""
-    index = doc_index(spark, sf)
-    w = R.saturation(F.col("tf"), F.col("doc_len"), F.col("avg_len"), 1.2, 0.75)
-    rows = index.postings.crossJoin(F.broadcast(index.stats))  # one row of statistics
-    return rows.groupBy("doc_id", T.token_index(F.col("term")).alias("idx")).agg(F.round(F.sum(F.round(w, 5)), 5).alias("weight"))
+    return R.hashed_weights(doc_index(spark, sf))
 
 
 _VQ = "vq as (select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0)"
@@ -107,8 +112,7 @@ def hybrid_rrf(spark, sf):
 )
 def hybrid_filtered(spark, sf):
     """Filters hold in each leg before ranking; statistics stay those of the whole collection."""
-    seen = visible(docs(spark, sf), "SRC7").where("lang = 'en'").select("doc_id")
-    return _fused(spark, sf, 10, seen)
+    return _fused(spark, sf, 10, lambda d: visible(d, "SRC7").where("lang = 'en'"))
 
 
 @query(f"with {DOCS}, {QVEC}, {DENSE}, fd as (select * from dense where doc_id in (select doc_id from docs where org_id in ('PUBLIC', 'SRC7') and lang = 'en')), {top_sql('fd', 's', 'doc_id', 30)}, {rrf_sql(['s'], 'fused', 'doc_id')}, {top_sql('fused', 'top', 'doc_id', 10)} select * from top")
@@ -121,8 +125,7 @@ def dense_only_fallback(spark, sf):
 def _variant_hits(spark, sf, k=40):
     """query_id, variant_id, doc_id, score, rank of every variant's lexical search."""
     v = variants(spark, sf).withColumn("vq", F.struct("query_id", "variant_id")).select(F.col("vq").alias("query_id"), "text")
-    hits = R.bm25(doc_index(spark, sf), v)
-    top = R.top_k(hits, ["query_id"], "score", ["doc_id"], k)
+    top = R.bm25_top(doc_index(spark, sf), v, k)
     return top.select("query_id.query_id", "query_id.variant_id", "doc_id", "score", "rank")
 
 
@@ -202,7 +205,7 @@ def tenant_union_search(spark, sf):
 )
 def weighted_rrf(spark, sf):
     """Legs weigh 0.7 and 0.3; a boost by document multiplies, a boost of 0 drops it."""
-    legs = [R.top_k(_lexical(spark, sf), ["query_id"], "score", ["doc_id"], 30), R.dense_top(_vectors(spark, sf), query_vectors(spark, sf), "doc_id", 30)]
+    legs = [_lexical_top(spark, sf, 30), R.dense_top(_vectors(spark, sf), query_vectors(spark, sf), "doc_id", 30)]
     rows = legs[0].select("query_id", "doc_id", (0.7 / (60 + F.col("rank"))).alias("part")).unionByName(legs[1].select("query_id", "doc_id", (0.3 / (60 + F.col("rank"))).alias("part")))
     boost = F.when(F.col("lang") == "en", 1.25).when(F.col("lang") == "es", 0.0).otherwise(1.0)
     f = rows.join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("part") * boost), 8).alias("score"))
@@ -223,7 +226,7 @@ _YEARS = "case doc_id % 5 when 0 then 2535 when 1 then 2549 when 2 then 2560 whe
 )
 def boosted_rrf(spark, sf):
     """Fusion in which rank and recency of a source weigh its parts; repealed and superseded sources drop out."""
-    legs = [R.top_k(_lexical(spark, sf), ["query_id"], "score", ["doc_id"], 30), R.dense_top(_vectors(spark, sf), query_vectors(spark, sf), "doc_id", 30)]
+    legs = [_lexical_top(spark, sf, 30), R.dense_top(_vectors(spark, sf), query_vectors(spark, sf), "doc_id", 30)]
     k = F.col("doc_id")
     entry = F.when(k % 5 == 0, "พ.ศ. 2535").when(k % 5 == 1, "พ.ศ. 2549").when(k % 5 == 2, "พ.ศ. 2560").when(k % 5 == 3, "พ.ศ. 2569").otherwise("x")
     named = table(spark, sf, "documents").select(k, F.get(F.array(*map(F.lit, _RANKS)), (k % 3).cast("int")).alias("title"), entry.alias("entry"))
@@ -233,7 +236,7 @@ def boosted_rrf(spark, sf):
 @query(f"with {PASS}, {bm25_sql('documents', 'passages')}, {top_sql('scores', 't', 'doc_id', 20)}, f as (select t.* exclude (rank) from t join documents using (doc_id) where contains(lower(source), 'src1')), {top_sql('f', 'top', 'doc_id', 10)} select * from top")
 def doc_filter_post(spark, sf):
     """The document filter comes after ranking, over twice the number asked for."""
-    t = R.top_k(_lexical(spark, sf), ["query_id"], "score", ["doc_id"], 20).drop("rank")
+    t = _lexical_top(spark, sf, 20).drop("rank")
     f = t.join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id").where(F.contains(F.lower("source"), F.lit("src1"))).drop("source")
     return R.top_k(f, ["query_id"], "score", ["doc_id"], 10)
 
@@ -259,7 +262,7 @@ def store(spark, sf):
     near = [order.select(name(F.col(a)).alias("seed"), name(F.col(b)).alias("dst"), F.lit(o).alias("ord")) for a, b, o in pairs]
     near.append(faq(spark, sf).select(F.expr("concat('d', floor(case_id / 1000))").alias("seed"), F.concat(F.lit("f"), "case_id").alias("dst"), F.lit(-1).alias("ord")))
     vectors = table(spark, sf, "embeddings").select(F.concat(F.lit("d"), "vec_id").alias("chunk_id"), "embedding")
-    return A.Store(chunks, lexical_index(chunks.select("chunk_id", "text"), "pool", "chunk_id"), vectors, near[0].unionByName(near[1]).unionByName(near[2]))
+    return A.Store(chunks, lexical_index(chunks.select("chunk_id", "kind", "org_id", "text"), "pool", "chunk_id"), vectors, near[0].unionByName(near[1]).unionByName(near[2]))
 
 
 def asked(spark, sf):
