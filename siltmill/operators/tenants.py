@@ -18,7 +18,11 @@ def search_pairs(scores: DataFrame, owners: DataFrame, asks: DataFrame, key: str
     what owners (key, org_id) lets the tenant see: public rows and its own. Filters hold before ranking. A null or empty
     tenant sees public rows only; rows without an owner are seen by none."""
     owned = scores.join(owners.select(key, "org_id").where("org_id is not null"), key)
-    best = top_k(owned, ["query_id", "org_id"], "score", [key], k).drop("rank")
+    return of_owners(top_k(owned, ["query_id", "org_id"], "score", [key], k), asks, key, k)
+
+
+def of_owners(best: DataFrame, asks: DataFrame, key: str, k: int) -> DataFrame:
+    """search_pairs from each owner's own best k (query_id, org_id, key, score) for each question."""
     pairs = asks.select("tenant", "query_id").distinct()
     public = pairs.join(best.where(F.col("org_id") == PUBLIC), "query_id")
     own = pairs.join(best.where(F.col("org_id") != PUBLIC).withColumnRenamed("org_id", "tenant"), ["tenant", "query_id"])

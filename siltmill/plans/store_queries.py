@@ -108,8 +108,8 @@ def _asks(spark, sf):
 
 
 def _tenant_hits(spark, sf):
-    scores = R.bm25(doc_index(spark, sf), passages(spark, sf))
-    return tenants.search_pairs(scores, docs(spark, sf).select("doc_id", "org_id"), _asks(spark, sf), "doc_id", 10)
+    best = R.bm25_top(doc_index(spark, sf), passages(spark, sf), 10, seen=lambda d: d.where("org_id is not null"), by="org_id")
+    return tenants.of_owners(best, _asks(spark, sf), "doc_id", 10)
 
 
 _HITS = f"""{DOCS}, {PASS}, {bm25_sql('documents', 'passages')}, who as (select org_id as tenant, row_number() over (order by org_id) - 1 as place, count(*) over () as n from (select distinct org_id from docs where org_id <> 'PUBLIC')),
