@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import audit, graph, lookup, metrics, retrieval, writes
-from .search_queries import PASS, _lexical
+from .search_queries import PASS, _lexical_top
 from .tables import DOCS, EDGES, FAQ, NEXT, UNITS, bm25_sql, docs, edges, faq, passages, query, reading_order, stored, table, tok, top_sql, units
 
 
@@ -241,11 +241,11 @@ def _truth(spark, sf):
     b = passages(spark, sf)
     titles = b.select(F.col("query_id").alias("doc_id"), F.col("text").alias("title"))
     found = graph.link_titles(table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"), "text"), titles, stored)
-    return found.select(F.col("doc_id").alias("query_id"), F.col("case_id").alias("item"))
+    return stored(found.select(F.col("doc_id").alias("query_id"), F.col("case_id").alias("item")), "truth")  # metrics read it again and again
 
 
 def _results(spark, sf):
-    return retrieval.top_k(_lexical(spark, sf), ["query_id"], "score", ["doc_id"], 20).select("query_id", F.col("doc_id").alias("item"), "rank")
+    return stored(_lexical_top(spark, sf, 20).select("query_id", F.col("doc_id").alias("item"), "rank"), "results")
 
 
 @query(f"with {_TRUTH}, {_RES}, {_METRIC} select * from metrics")
@@ -256,7 +256,8 @@ def ir_metrics_at_k(spark, sf):
 @query(f"with {_TRUTH}, {_RES}, {_METRIC} select k, count(*) as n, round(avg(precision), 4) as precision, round(avg(recall), 4) as recall, round(avg(hit), 4) as hit, round(avg(mrr), 4) as mrr from metrics where query_id in (select query_id from truth) group by 1")
 def metric_means(spark, sf):
     """Means over the queries that have targets; those without are left out."""
-    m = metrics.at_cutoffs(_results(spark, sf), _truth(spark, sf), [5, 10, 15, 20]).join(_truth(spark, sf).select("query_id").distinct(), "query_id", "left_semi")
+    truth = _truth(spark, sf)
+    m = metrics.at_cutoffs(_results(spark, sf), truth, [5, 10, 15, 20]).join(truth.select("query_id").distinct(), "query_id", "left_semi")
     return m.groupBy("k").agg(F.count("*").alias("n"), *(F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "hit", "mrr")))
 
 
