@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..session import visible
 from .models import PairModel, score_pairs
-from .retrieval import Index, Tokenize, bm25, dense_top, rrf, top_k
+from .retrieval import Index, Tokenize, bm25, bm25_top, dense_top, rrf, small, top_k
 
 
 @dataclass(frozen=True)
@@ -143,11 +143,17 @@ class Store:
 def store_search(store: Store, queries: DataFrame, vectors: DataFrame | None, org: str, k: int, kinds: list[str] | None = None, excluded: list[str] | None = None, rrf_k: int = 60) -> DataFrame:
     """query_id, chunk_id, score, rank of hybrid search; tenant and kind filters hold in both legs, before ranking.
     vectors: query_id, q; without any the lexical leg alone is fused."""
-    seen = visible(store.chunks, org)
-    seen = seen.where(F.col("kind").isin(kinds)) if kinds else seen
-    seen = (seen.where(~F.col("kind").isin(excluded)) if excluded else seen).select("chunk_id")
+    def open_to(rows: DataFrame) -> DataFrame:
+        rows = visible(rows, org)
+        rows = rows.where(F.col("kind").isin(kinds)) if kinds else rows
+        return rows.where(~F.col("kind").isin(excluded)) if excluded else rows
+
+    seen = open_to(store.chunks).select("chunk_id")
     depth = max(3 * k, 30)
-    legs = [top_k(bm25(store.index, queries, within=seen, tokenize=store.tokenize), ["query_id"], "score", ["chunk_id"], depth)]
+    if store.index.documents is not None and {"org_id", "kind"} <= set(store.index.documents.columns):
+        legs = [bm25_top(store.index, queries, depth, seen=open_to, tokenize=store.tokenize)]
+    else:
+        legs = [top_k(bm25(store.index, queries, within=seen, tokenize=store.tokenize), ["query_id"], "score", ["chunk_id"], depth)]
     if vectors is not None:
         legs.append(dense_top(store.vectors.join(seen, "chunk_id", "left_semi"), vectors, "chunk_id", depth))
     return top_k(rrf(legs, "chunk_id", rrf_k), ["query_id"], "score", ["chunk_id"], k)
@@ -201,7 +207,7 @@ def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: s
         every = store.chunks.select("chunk_id", "text")
         every = every.unionByName(store.uploads.chunks.select("chunk_id", "text")) if store.uploads else every
         texts = every.select("chunk_id", F.substring("text", 1, cfg.rerank_chars).alias("_chunk"))
-        pairs = seeds.select("query_id", "chunk_id").join(texts, "chunk_id").join(v, "query_id")
+        pairs = texts.join(small(seeds.select("query_id", "chunk_id"), seeds.count()), "chunk_id").join(v, "query_id")  # cfg.seeds a query
         keyed = pairs.select("query_id", "variant_id", "chunk_id", "text", F.col("_chunk").alias("passage"))
         if isinstance(scorer, PairModel):
             matrix = keep(score_pairs(keyed, scorer), "matrix")
