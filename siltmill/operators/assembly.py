@@ -200,7 +200,6 @@ def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: s
     hits = merged_search(store, asked, meant, org, cfg.search_top_k, excluded=["faq"] if apart else None)
     hits = keep(hits.select("query_id.query_id", "query_id.variant_id", "chunk_id", "rank"), "hits")
     seeds = keep(fuse_variants(hits, cfg, "chunk_id"), "seeds")
-    near = store.neighbours.join(visible(store.chunks, org).select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
     if scorer is None:
         kept = _fused_order(seeds, cfg)
     else:
@@ -218,6 +217,8 @@ def retrieve(store: Store, queries: DataFrame, vectors: DataFrame | None, org: s
         kept = slots(matrix, passing(rerank(matrix, "chunk_id", cfg.rank_by), cfg.threshold, "chunk_id"), "chunk_id", cfg)
         kept = kept.unionByName(_fused_order(seeds.join(failed, "query_id", "left_semi"), cfg)) if failed is not None else kept
     kept = keep(kept, "kept")
+    near = store.neighbours.join(small(kept.select(F.col("chunk_id").alias("seed")).distinct(), kept.count()), "seed", "left_semi")  # cfg.seeds a query
+    near = near.join(visible(store.chunks, org).select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
     out = carry_neighbours(kept, near, "chunk_id", cfg)
     if apart and cfg.faq_k > 0:
         first = asked.where("query_id.variant_id = 0").select("query_id.query_id", "text")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..session import PUBLIC, visible
+from .retrieval import small
 
 
 def heads(units: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -102,16 +103,28 @@ def related(parts: dict[str, DataFrame]) -> DataFrame:
 #: Bytes of a title that are looked up in texts, and bits of the filter that texts' bytes pass first (2 MB).
 GRAM, GRAM_BITS = 8, 1 << 24
 GRAM_ROWS = 200_000  # runs that a task holds before it hands them on
+GRAM_BYTES = 1 << 20  # of texts that are cut into runs at once
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _windows(raw: bytes, size: int) -> np.ndarray:
-    """Every run of `size` bytes (8 at most), as a number."""
-    b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    out = np.zeros(max(0, len(b) - size + 1), np.uint64)
+def _windows(raws: list[bytes], size: int, held: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(place in raws, run) of the different runs of `size` bytes (8 at most) of each, as numbers; held: only those whose bit
+    is set. All are cut at once."""
+    b = np.frombuffer(b"".join(raws), np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(raws)), [len(r) for r in raws])
+    n = max(0, len(b) - size + 1)
+    out = np.zeros(n, np.uint64)
     for i in range(size):
-        out |= b[i : i + len(out)] << np.uint64(8 * i)
-    return np.unique(out)
+        out |= b[i : i + n] << np.uint64(8 * i)
+    whole = owner[:n] == owner[len(owner) - n :]
+    if held is not None:
+        whole &= held[_bit(out)]
+    owner, out = owner[:n][whole], out[whole]
+    order = np.lexsort((out, owner))
+    owner, out = owner[order], out[order]
+    new = np.ones(len(out), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (out[1:] != out[:-1])
+    return owner[new], out[new]
 
 
 def _bit(grams: np.ndarray) -> np.ndarray:
@@ -124,63 +137,70 @@ def _grams(df: DataFrame, key: str, text: str, sizes: list[int], most: int, bits
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little").astype(bool) if bits is not None else None
-        found: list[tuple] = []
+        found: list[pd.DataFrame] = []
         copies: set[tuple] = set()
-        n = 0
+        keys, raws, size, n = [], [], 0, 0
         for pdf in parts:
             for k, t in zip(pdf[key], pdf[text]):
                 if (k, hash(t)) in copies:  # the same rows again
                     continue
                 copies.add((k, hash(t)))
-                raw = (t or "").encode()
-                for size in sizes or [min(len(raw), most)]:
-                    g = _windows(raw, size) if size else np.empty(0, np.uint64)
-                    at = _bit(g)
-                    if held is not None:
-                        g, at = g[held[at]], at[held[at]]
-                    if len(g):
-                        found.append((k, size, g, at))
-                        n += len(g)
+                keys.append(k)
+                raws.append((t or "").encode())
+                size += len(raws[-1])
+                if size > GRAM_BYTES:
+                    found += cut(keys, raws, held)
+                    keys, raws, size, n = [], [], 0, sum(map(len, found))
                 if n > GRAM_ROWS:
-                    yield frame(found)
+                    yield pd.concat(found)
                     found, n = [], 0
                 if len(copies) > GRAM_ROWS:
                     copies.clear()
+        found += cut(keys, raws, held)
         if found:
-            yield frame(found)
+            yield pd.concat(found)
 
-    def frame(found: list[tuple]) -> pd.DataFrame:
-        keys, of, grams, at = zip(*found)
-        many = [len(g) for g in grams]
-        return pd.DataFrame({key: np.repeat(np.array(keys), many), "size": np.repeat(np.array(of, np.int32), many), "gram": np.concatenate(grams).view(np.int64), "bit": np.concatenate(at).astype(np.int64)})
+    def cut(keys: list, raws: list[bytes], held: np.ndarray | None) -> Iterator[pd.DataFrame]:
+        for n in sizes or sorted({min(len(r), most) for r in raws} - {0}):
+            some = range(len(raws)) if sizes else [i for i, r in enumerate(raws) if min(len(r), most) == n]
+            at, grams = _windows([raws[i] for i in some], n, held)
+            if len(grams):
+                yield pd.DataFrame({key: np.array([keys[i] for i in some])[at], "size": np.full(len(at), n, np.int32), "gram": grams.view(np.int64), "bit": _bit(grams).astype(np.int64)})
 
     rows = df.select(F.col(key), F.col(text))
     return rows.mapInPandas(run, StructType([df.schema[key], *StructType.fromDDL("size int, gram long, bit long").fields]))
 
 
+def _flags(grams: DataFrame) -> bytes:
+    """The filter with the bits (bit) of grams set; at most GRAM_BITS / 64 rows come to the driver."""
+    flags = np.zeros(GRAM_BITS // 64, "<i8")
+    for w, v in grams.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v")).collect():
+        flags[w] = v
+    return flags.tobytes()
+
+
 def link_titles(cases: DataFrame, documents: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> DataFrame:
     """case_id, doc_id where the case's text (text) holds the document's whole title (title), for each row of both.
 
     Blank titles and null texts match nothing. Of each title's runs of GRAM bytes (a shorter title is one run) the one that
-    fewest texts hold is joined to the texts that hold it, and each pair is verified by containment. Texts send only runs
-    that titles may have, by a filter of GRAM_BITS; no title and no text comes to the driver. keep(df, name) may store a
-    table that is read twice.
+    fewest texts hold is joined to the texts that hold it, and each pair is verified by containment. Texts are cut twice, by
+    filters of GRAM_BITS: first to count the runs that titles may have, in the tasks, then for the chosen runs alone. Texts
+    that are in no pair are left out before any is shuffled; no title and no text comes to the driver. keep(df, name) may
+    store a table that is read twice.
     """
     named = documents.where("trim(title) <> ''").select("doc_id", "title")
     titles = named.select("title").distinct().withColumn("tid", F.xxhash64("title"))
     own = keep(_grams(titles, "tid", "title", [], GRAM), "title-grams")
-    words = own.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("v"))
-    flags = np.zeros(GRAM_BITS // 64, "<i8")
-    for w, v in words.collect():  # at most GRAM_BITS / 64 rows
-        flags[w] = v
     sizes = sorted(r[0] for r in own.select("size").distinct().collect())  # at most GRAM
     texts = cases.select("case_id", "text", F.xxhash64("text").alias("_row")).where("text is not null")
-    seen = keep(_grams(texts, "_row", "text", sizes or [GRAM], GRAM, flags.tobytes()).select("_row", "size", "gram").distinct(), "text-grams")
-    often = seen.groupBy("size", "gram").agg(F.count("*").alias("n"))
-    rarest = own.join(often, ["size", "gram"], "left").groupBy("tid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "size", "gram")).alias("_g"))
-    chosen = rarest.where("_g.n > 0").select("tid", "_g.size", "_g.gram").join(titles, "tid")
-    pairs = seen.join(chosen, ["size", "gram"]).select("_row", "title").distinct()  # copies of a text meet in its digest
-    held = pairs.join(texts, "_row").where(F.contains("text", "title"))
+    cut = lambda grams: _grams(texts, "_row", "text", sizes or [GRAM], GRAM, _flags(grams))
+    often = cut(own).groupBy("size", "gram").agg(F.count("*").alias("n"))
+    rarest = own.join(often, ["size", "gram"], "left").groupBy("tid").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "size", "gram", "bit")).alias("_g"))
+    chosen = keep(rarest.where("_g.n > 0").select("tid", "_g.size", "_g.gram", "_g.bit"), "title-chosen")
+    seen = cut(chosen).select("_row", "size", "gram")
+    pairs = keep(seen.join(chosen, ["size", "gram"]).select("_row", "tid").distinct(), "title-pairs")  # copies of a text meet in its digest
+    some = texts.join(small(pairs.select("_row").distinct(), pairs.count()), "_row", "left_semi")
+    held = some.join(pairs.join(titles, "tid"), "_row").where(F.contains("text", "title"))
     return held.join(named, "title").select("case_id", "doc_id")
 
 
