@@ -18,10 +18,11 @@ from datetime import date
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest, stored
+from .common import digest, each_text, stored
 
 #: Titles before a person's name, by the gender they tell (m, f or n for none).
 TITLES = {
@@ -263,7 +264,7 @@ def generated(key: bytes, tweak: str, alphabet: str, length: int) -> str:
     return "".join(alphabet[_number(key, tweak, str(i)) % len(alphabet)] for i in range(length))
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
     """The replacement of a normal form, itself in normal form (names: lower case). attempt: 1 and up draw again.
 
@@ -352,15 +353,32 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
     return "".join([*out, text[at:]]), found
 
 
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+
+
+def rewritten(texts: pa.Array, maps: pa.Array, key: bytes, size: int = 256) -> pa.Array:
+    """text, spans of each text; maps: its redraws or null. New texts leave for Arrow `size` at a time."""
+    out = [pa.array([], pa.string())], [pa.array([], _SPANS)]
+    for at in range(0, len(texts), size):
+        new: tuple[list[str | None], list[list[dict]]] = ([], [])
+        for t, m in zip(texts.slice(at, size).to_pylist(), maps.slice(at, size).to_pylist()):
+            text, found = (None, []) if t is None else replace(t, key, {(x["kind"], x["norm"]): x["attempt"] for x in m or ()})
+            new[0].append(text)
+            new[1].append([{"start": a, "end": z, "kind": kind} for a, z, kind in found])
+        out[0].append(pa.array(new[0], pa.string()))
+        out[1].append(pa.array(new[1], _SPANS))
+    return pa.StructArray.from_arrays([pa.concat_arrays(x) for x in out], ["text", "spans"])
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """digest (of the text), kind, norm: each entity of each different text once."""
 
-    def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = {(d, kind, normal(kind, t[a:z])) for d, t in zip(pdf["digest"], pdf["text"]) for a, z, kind in detect(t)}
-            yield pd.DataFrame(list(rows), columns=["digest", "kind", "norm"])
+    def find(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:  # a batch stays in Arrow; few of its texts are Python strings at once
+            rows = {(d, kind, normal(kind, t[a:z])) for d, t in zip(batch.column(0).to_pylist(), each_text(batch.column(1))) for a, z, kind in detect(t)}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.string(), pa.string()))], ["digest", "kind", "norm"])
 
-    return docs.where(F.col("text").isNotNull()).select(digest().alias("digest"), "text").mapInPandas(find, "digest binary, kind string, norm string").distinct()
+    return docs.where(F.col("text").isNotNull()).select(digest().alias("digest"), "text").mapInArrow(find, "digest binary, kind string, norm string").distinct()
 
 
 def redraws(entities: DataFrame, key: bytes) -> DataFrame:
@@ -397,17 +415,10 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
     again = stored(redraws(held.select("kind", "norm").distinct(), key), "redraws")
     place = "_siltmill_redraws"
 
-    @F.pandas_udf("text string, spans array<struct<start:int,end:int,kind:string>>")
-    def write(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("text string, spans array<struct<start:int,end:int,kind:string>>")
+    def write(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, maps in parts:
-            rows = []
-            for t, m in zip(texts, maps):
-                if t is None:
-                    rows.append((None, []))
-                else:
-                    new, found = replace(t, key, {(x["kind"], x["norm"]): x["attempt"] for x in m} if m is not None and len(m) else {})
-                    rows.append((new, [{"start": a, "end": z, "kind": k} for a, z, k in found]))
-            yield pd.DataFrame(rows, columns=["text", "spans"])
+            yield rewritten(texts, maps, key)
 
     kind = "array<struct<kind:string,norm:string,attempt:int>>"
     if again.isEmpty():

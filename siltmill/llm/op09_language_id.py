@@ -116,20 +116,20 @@ def train(docs: DataFrame, rows_per_lang: int = 3000, space: Space = Space()) ->
     chosen = rows.where(F.pmod("_key", F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000)
     chosen = chosen.groupBy("lang", "_key").agg(F.first("text").alias("text")).select("text", "lang")
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = space.letters(), {}
         for whole in batches:
             for at in range(0, len(whole), TEXTS):
-                pdf = whole.iloc[at : at + TEXTS]
+                pdf = whole.slice(at, TEXTS).to_pandas()
                 v, has = space.bundle(pdf["text"].tolist(), held)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
                 unit = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).astype("f8")
                 for lang in pdf["lang"].unique():
                     total[lang] = total.get(lang, 0) + unit[(pdf["lang"] == lang).to_numpy() & has].sum(axis=0)
         if total:
-            yield pd.DataFrame({"lang": list(total), "v": [x.tolist() for x in total.values()]})
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], ["lang", "v"])
 
-    sums = chosen.mapInPandas(learn, "lang string, v array<double>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.round(F.sum("col"), 6).alias("v"))
+    sums = chosen.mapInArrow(learn, "lang string, v array<double>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.round(F.sum("col"), 6).alias("v"))
     made: dict[str, np.ndarray] = {}
     for r in sums.collect():  # langs x dims numbers
         made.setdefault(r["lang"], np.zeros(space.dims))[r["pos"]] = r["v"]
