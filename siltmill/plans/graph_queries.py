@@ -293,7 +293,7 @@ def best_score_merge(spark, sf):
     return retrieval.best_of(table(spark, sf, "events").select("user_id", "event_id", "value"), "user_id", "value", "event_id")
 
 
-@query("with s as (select l_orderkey, list(l_partkey order by l_linenumber) as a, list(l_suppkey order by l_linenumber) filter (where l_linenumber < 4 or l_orderkey % 2 = 0) as b from lineitem group by 1) select l_orderkey, a[i] as doc, b[i] as section from s, unnest(range(1, len(a) + 1)) t(i) where len(a) = len(b) union all select l_orderkey, unnest(a), x from s, unnest(b) u(x) where len(a) <> len(b)")
+@query("with s as (select l_orderkey, list(l_partkey order by l_linenumber, l_partkey, l_suppkey) as a, list(l_suppkey order by l_linenumber, l_partkey, l_suppkey) filter (where l_linenumber < 4 or l_orderkey % 2 = 0) as b from lineitem group by 1) select l_orderkey, a[i] as doc, b[i] as section from s, unnest(range(1, len(a) + 1)) t(i) where len(a) = len(b) union all select l_orderkey, unnest(a), x from s, unnest(b) u(x) where len(a) <> len(b)")
 def expected_pair_expand(spark, sf):
     one = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")))
     g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(one.alias("l"))
