@@ -70,7 +70,8 @@ def html_tables(spark, sf):
     """Spans, a header of two levels, entities and line breaks of an HTML table; text before it stays a paragraph."""
     head = F.concat(F.lit("before <table><tr><th colspan=2>Order</th></tr><tr><th>First</th><th>Part &amp; more</th></tr>"))
     row = lambda x: F.concat(F.lit("<tr>"), F.when(x["n"] == 1, _say("<td rowspan=", F.size("l"), ">", x["word"], "</td>")).otherwise(""), _say("<td><b>", x["word"], "</b><br/>", x["qty"], "</td></tr>"))
-    return _blocks(_files(spark, sf, head, row, "</table>", "\n")).where("type = 'table'").select("doc_id", "text", "n_rows")
+    t = parse_documents(_files(spark, sf, head, row, "</table>", "\n"), columns=["doc", "text", "n_rows"], types=["table"])
+    return t.select(F.col("doc").cast("long").alias("doc_id"), "text", F.col("n_rows").cast("long"))
 
 
 @query(f"with {_ORDERED}, b as (select l_orderkey as doc_id, n, unnest([0, 1, 2]) as k, word from l) select doc_id, (n - 1) * 3 + k as ord, case k when 2 then 'paragraph' else 'heading' end as type, case k when 0 then 1 when 1 then 2 else 0 end as level, case k when 0 then 'part ' || word || ' goes on' when 1 then 'sub ' || word else '12345 %% ' || n end as text from b")
